@@ -87,9 +87,13 @@ def unpivot_values(df: DataFrame, names: Sequence[str], value, keep: Sequence[st
     """Rows of (keep..., column_name, value); ``value`` maps a field to a column."""
     if not names:
         raise ValueError("no columns to unpivot")
-    kept = [col(k) for k in keep]
-    narrow = df.select(*kept, *[value(f).alias(f.name) for f in fields(df, names)])
-    return narrow.unpivot(kept, [col(n) for n in names], "column_name", "value")
+    # kept columns are renamed meanwhile: a column may be both kept and unpivoted
+    held = {f"_keep_{i}": k for i, k in enumerate(keep)}
+    narrow = df.select(
+        *[col(k).alias(h) for h, k in held.items()], *[value(f).alias(f.name) for f in fields(df, names)]
+    )
+    long = narrow.unpivot(list(held), [col(n) for n in names], "column_name", "value")
+    return long.withColumnsRenamed(held)
 
 
 def numeric_long(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# executors get the function itself and need not have this package installed
+register_pickle_by_value(sys.modules[__name__])
 
 KS_TERMS = 100
 
@@ -45,7 +51,7 @@ def _chi2_tail(x: float, dof: int) -> float:
     return float(min(1.0, head + math.exp(top) * np.exp(logs - top).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """One row per tested column reaches this, never a data row."""
     return pd.Series(

@@ -149,22 +149,33 @@ def propensity_scores(prepared: DataFrame, treatment: str, confounders: Sequence
     return scored.withColumn("score", rounded).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def ate_matched(scored: DataFrame, treatment: str, outcome: str, key: str, score: str = "score") -> DataFrame:
-    """One nearest neighbour per row in the other arm, with replacement, both ways.
+def ate_matched(
+    scored: DataFrame, treatment: str, outcome: str, key: str, score: str = "score", ties: str = "mean"
+) -> DataFrame:
+    """Nearest neighbour of each row in the other arm, with replacement, both ways.
 
-    Rows of equal score are folded first: counts, outcome sums and the arm's
-    representative (lowest key). Neighbours are then the nearest filled score on
-    either side, looked up inside score ranges with the ends of the ranges carried
-    over. A tie in distance goes to the lower score.
+    Rows of equal score are folded first: counts, outcome sums and what the arm
+    offers as a match - the mean of its rows at that score, or with
+    ``ties="first"`` the row of the lowest key. Neighbours are then the nearest
+    filled score on either side, looked up inside score ranges with the ends of
+    the ranges carried over. A tie in distance goes to the lower score.
     """
+    if ties not in ("mean", "first"):
+        raise ValueError(f"unknown ties {ties!r}")
+
+    def offer(value: Column, wanted: Column) -> Column:
+        if ties == "mean":
+            return F.avg(F.when(wanted, value))
+        return F.min_by(value, F.when(wanted, col(key)))
+
     t, y = col(treatment) == 1, col(outcome).cast("double")
     folded = scored.groupBy(col(score).alias("value")).agg(
         F.count_if(t).alias("n1"),
         F.count_if(~t).alias("n0"),
         F.coalesce(F.sum(F.when(t, y)), F.lit(0.0)).alias("y1"),
         F.coalesce(F.sum(F.when(~t, y)), F.lit(0.0)).alias("y0"),
-        F.min_by(y, F.when(t, col(key))).alias("r1"),
-        F.min_by(y, F.when(~t, col(key))).alias("r0"),
+        offer(y, t).alias("r1"),
+        offer(y, ~t).alias("r0"),
     )
     cuts = numeric_cuts(scored.select(F.lit("score").alias("column_name"), col(score).alias("value")))
     ranged = with_range(folded.withColumn("column_name", F.lit("score")), cuts).drop("column_name")

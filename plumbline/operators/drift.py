@@ -22,7 +22,7 @@ from plumbline.functions.columns import (
     share,
     unpivot_values,
 )
-from plumbline.functions.tests_of_fit import chi2_p_value, ks_p_value
+from plumbline.functions.fit_tests import chi2_p_value, ks_p_value
 from plumbline.operators.ordering import (
     Cuts,
     exact_quantiles,

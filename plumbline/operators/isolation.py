@@ -10,14 +10,19 @@ the full data is a binary search over its steps inside generated code.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import count_below
 
+# executors get the functions themselves and need not have this package installed
+register_pickle_by_value(sys.modules[__name__])
+
 TREES = 100
 TREE_VALUES = 256
 HEIGHT = 8  # ceil(log2(256))
