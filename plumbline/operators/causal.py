@@ -186,20 +186,24 @@ def ate_matched(
         *[F.max_by(f"p{a}", F.when(F.col(f"n{a}") > 0, F.col("value"))).alias(f"last{a}") for a in "10"],
         *[F.min_by(f"p{a}", F.when(F.col(f"n{a}") > 0, F.col("value"))).alias(f"first{a}") for a in "10"],
     )
-    seam = Window.partitionBy().orderBy("range_id")  # one row per range, a few thousand at most
-    below, above = seam.rowsBetween(Window.unboundedPreceding, -1), seam.rowsBetween(1, Window.unboundedFollowing)
+    # frames run forwards only: a frame that starts at the current row and is open
+    # at its end is recomputed for every row, so the upper side is read backwards
+    up, down = Window.partitionBy().orderBy("range_id"), Window.partitionBy().orderBy(F.desc("range_id"))
+    past = (Window.unboundedPreceding, -1)  # over one row per range, a few thousand at most
     carried = ends.select(
         "range_id",
-        *[F.last(f"last{a}", True).over(below).alias(f"before{a}") for a in "10"],
-        *[F.first(f"first{a}", True).over(above).alias(f"after{a}") for a in "10"],
+        *[F.last(f"last{a}", True).over(up.rowsBetween(*past)).alias(f"before{a}") for a in "10"],
+        *[F.last(f"first{a}", True).over(down.rowsBetween(*past)).alias(f"after{a}") for a in "10"],
     )
-    inside = Window.partitionBy("range_id").orderBy("value")
-    up_to, onward = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy("range_id")
+    so_far = (Window.unboundedPreceding, 0)
+    rising = inside.orderBy("value").rowsBetween(*so_far)
+    falling = inside.orderBy(F.desc("value")).rowsBetween(*so_far)
     near = ranged.join(F.broadcast(carried), "range_id")
     for a in "10":
-        low = F.coalesce(F.last(f"p{a}", True).over(up_to), F.col(f"before{a}"))
-        high = F.coalesce(F.first(f"p{a}", True).over(onward), F.col(f"after{a}"))
-        near = near.withColumn(f"low{a}", low).withColumn(f"high{a}", high)
+        near = near.withColumn(f"low{a}", F.coalesce(F.last(f"p{a}", True).over(rising), F.col(f"before{a}")))
+    for a in "10":
+        near = near.withColumn(f"high{a}", F.coalesce(F.last(f"p{a}", True).over(falling), F.col(f"after{a}")))
     for a in "10":
         low, high = F.col(f"low{a}"), F.col(f"high{a}")
         closer = (F.col("value") - low["s"]) <= (high["s"] - F.col("value"))

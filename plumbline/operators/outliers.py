@@ -25,9 +25,12 @@ def z_bounds(long: DataFrame) -> DataFrame:
 
 def iqr_bounds(long: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """(column_name, q1, q3, low_fence, high_fence)."""
-    q = exact_quantiles(long, ["column_name"], [0.25, 0.75], cuts)
+    return _fences(exact_quantiles(long, ["column_name"], [0.25, 0.75], cuts))
+
+
+def _fences(quartiles: DataFrame) -> DataFrame:
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
-    return q.select(
+    return quartiles.select(
         "column_name",
         q1.alias("q1"),
         q3.alias("q3"),
@@ -90,10 +93,33 @@ def iqr_rates(df: DataFrame, names: Sequence[str] | None = None, approx: bool =
     return flagged.select("column_name", "n", "q1", "q3", _rate(F.col("flagged")).alias("outlier_iqr"))
 
 
-def bounds_rates(long: DataFrame, cuts: Cuts | None = None, approx: bool = False) -> DataFrame:
-    """z and fence rates from one counting pass (the profile's form)."""
-    fences = approx_iqr_bounds(long) if approx else iqr_bounds(long, cuts)
-    bounds = z_bounds(long).join(F.broadcast(fences), "column_name")
+def rates_from_counts(counts: DataFrame, moments: DataFrame, cuts: Cuts) -> DataFrame:
+    """Both rates from (column_name, value, n) and (column_name, n, mean, std_pop).
+
+    The counts are already shuffled for the distinct counts of the profile; the
+    fences and the flags read that same exchange instead of scanning the data again.
+    """
+    quartiles = exact_quantiles(counts, ["column_name"], [0.25, 0.75], cuts, weight="n")
+    bounds = moments.join(F.broadcast(_fences(quartiles)), "column_name")
+    value, m = F.col("value"), F.col("m")
+    flagged = (
+        counts.withColumnRenamed("n", "m")
+        .join(F.broadcast(bounds), "column_name")  # one row per column
+        .groupBy("column_name")
+        .agg(
+            F.max("n").alias("n"),
+            F.sum(F.when(is_z_outlier(value), m).otherwise(0)).alias("z"),
+            F.sum(F.when(is_iqr_outlier(value), m).otherwise(0)).alias("iqr"),
+        )
+    )
+    return flagged.select(
+        "column_name", _rate(F.col("z")).alias("outlier_z"), _rate(F.col("iqr")).alias("outlier_iqr")
+    )
+
+
+def approx_rates(long: DataFrame) -> DataFrame:
+    """Both rates with sketched quartiles, no shuffle of values."""
+    bounds = z_bounds(long).join(F.broadcast(approx_iqr_bounds(long)), "column_name")
     value = F.col("value")
     flagged = (
         long.join(F.broadcast(bounds), "column_name")

@@ -33,18 +33,13 @@ def corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
     place = {n: f"v{i}" for i, n in enumerate(names)}
-    structs = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    wide = values.agg(*[_pearson(place[a], place[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*structs)))
-
-
-def _pearson(a: str, b: str):
-    """NULL instead of NaN for a constant column."""
-    r = F.corr(a, b)
-    return F.when(~F.isnan(r), r)
+    # NULL instead of NaN for a constant column
+    wide = values.selectExpr(*[f"nullif(corr({place[a]}, {place[b]}), double('NaN')) AS r{i}" for i, (a, b) in enumerate(pairs)])
+    labels = df.sparkSession.createDataFrame(
+        [(f"r{i}", a, b) for i, (a, b) in enumerate(pairs)], "pair string, col_a string, col_b string"
+    )
+    long = wide.unpivot([], [f"r{i}" for i in range(len(pairs))], "pair", "corr")
+    return long.join(F.broadcast(labels), "pair").select("col_a", "col_b", "corr")  # one row per pair
 
 
 def full_corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from plumbline.functions.columns import col, half_up, numeric_long, of_kind, sha
 from plumbline.operators import stats
 from plumbline.operators.drift import psi_profile
 from plumbline.operators.ordering import numeric_cuts, with_range
-from plumbline.operators.outliers import bounds_rates, forest_rates
+from plumbline.operators.outliers import approx_rates, forest_rates, rates_from_counts, zscore_rates
 from plumbline.operators.reshape import membership_rate
 
 # Weights of the column score.
@@ -137,6 +137,20 @@ def datetime_grade(quality: Column) -> Column:
 
 
 # ----------------------------------------------------------------- full profile
+def exact_rates(
+    df: DataFrame, numeric: Sequence[str], base: DataFrame, typed: dict[str, DataFrame]
+) -> DataFrame:
+    """Outlier rates from the value counts and the moments the profile has anyway.
+    Decimals are counted as text there, so they are counted again as numbers here."""
+    decimals = [n for n in numeric if df.schema[n].dataType.typeName() == "decimal"]
+    parts = [stats.numeric_counts(typed)] if len(decimals) < len(numeric) else []
+    if decimals:
+        parts.append(numeric_long(df, decimals).groupBy("column_name", "value").agg(F.count("*").alias("n")))
+    counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    moments = base.select("column_name", F.col("non_null").alias("n"), "mean", "std_pop")
+    return rates_from_counts(counts, moments, numeric_cuts(numeric_long(df, numeric)))
+
+
 def profile(
     df: DataFrame,
     *,
@@ -156,14 +170,16 @@ def profile(
     ``approx`` swaps exact distinct counts and quartiles for sketches.
     """
     names = [*df.columns]
-    table = stats._with_distinct(df, names, approx, parse=True)
     numeric = of_kind(df, "numeric")
+    base = stats.column_stats(df, names, parse=True)
+    typed = {} if approx else stats.typed_counts(df, names)
+    table = stats._with_distinct(df, names, approx, base=base, typed=typed)
 
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(F.broadcast(right), "column_name", "left")  # one row per column
 
     if numeric:
-        table = attach(table, bounds_rates(numeric_long(df, numeric), approx=approx))
+        table = attach(table, approx_rates(numeric_long(df, numeric)) if approx else exact_rates(df, numeric, base, typed))
         if forest_key is not None:
             table = attach(table, forest_rates(df, numeric, forest_key).select("column_name", "outlier_iso"))
     shared = [n for n in numeric if baseline is not None and n in baseline.columns]
@@ -182,12 +198,12 @@ def profile(
     moments = [*of_kind(df, "datetime"), *texts]
     if order is not None and moments:
         table = attach(table, monotone_order(df, moments, order))
-    for missing, default in {"outlier_z": 0.0, "outlier_iqr": 0.0, "outlier_iso": 0.0}.items():
-        have = F.col(missing) if missing in table.columns else F.lit(None).cast("double")
-        table = table.withColumn(missing, F.coalesce(have, F.lit(default)))
-    for optional, dtype in {"drift_psi": "double", "ordered": "boolean"}.items():
-        if optional not in table.columns:
-            table = table.withColumn(optional, F.lit(None).cast(dtype))
+    defaults = {"outlier_z": "0D", "outlier_iqr": "0D", "outlier_iso": "0D"}
+    optional = {"drift_psi": "CAST(NULL AS DOUBLE)", "ordered": "CAST(NULL AS BOOLEAN)"}
+    have = set(table.columns)
+    filled = {n: F.expr(f"coalesce({n}, {d})" if n in have else d) for n, d in defaults.items()}
+    filled |= {n: F.expr(d) for n, d in optional.items() if n not in have}
+    table = table.withColumns(filled)
 
     zero = F.lit(0.0)
     rates = table.select(
@@ -259,7 +275,7 @@ def score_v1(df: DataFrame, forest_key: str | None = None) -> DataFrame:
     numeric = of_kind(df, "numeric")
     table = stats._with_distinct(df, None)
     if numeric:
-        rates = bounds_rates(numeric_long(df, numeric)).select("column_name", "outlier_z")
+        rates = zscore_rates(df, numeric).select("column_name", "outlier_z")
         table = table.join(F.broadcast(rates), "column_name", "left")
         if forest_key is not None:
             iso = forest_rates(df, numeric, forest_key, contamination=0.05).select("column_name", "outlier_iso")

@@ -71,26 +71,38 @@ def named_like_datetime(name: str) -> bool:
 
 
 # ------------------------------------------------------------- fused aggregate
-def _field_metrics(field: T.StructField, parse: bool) -> dict[str, Column]:
-    """Only what the class of the column needs is aggregated; the rest is constant."""
-    c, k = present(field), kind(field.dataType)
-    filled = F.count(c)
-    out = dict.fromkeys(["mean", "std_pop", "min", "max"], F.lit(None).cast("double"))
-    out |= {"non_null": filled, "placeholders": F.lit(0).cast("bigint"), "formatted": filled}
-    out |= {"parsed": F.lit(0).cast("bigint")}
-    out |= dict.fromkeys(["min_time", "max_time"], F.lit(None).cast("timestamp_ntz"))
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _field_metrics(field: T.StructField, parse: bool) -> dict[str, str]:
+    """Only what the class of the column needs is aggregated; the rest is constant.
+    SQL text, because a wide table would otherwise cost thousands of column objects."""
+    k, name = kind(field.dataType), "`" + field.name.replace("`", "``") + "`"
+    fractional = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+    c = f"CASE WHEN NOT isnan({name}) THEN {name} END" if fractional else name
+    nothing, never = "CAST(NULL AS DOUBLE)", "CAST(NULL AS TIMESTAMP_NTZ)"
+    out = {"non_null": f"count({c})", "placeholders": "0L", "formatted": f"count({c})"}
+    out |= {"mean": nothing, "std_pop": nothing, "min": nothing, "max": nothing}
+    out |= {"parsed": "0L", "min_time": never, "max_time": never}
     if k == "numeric":
-        number = as_double(field)
-        out |= {"mean": F.avg(number), "std_pop": F.stddev_pop(number), "min": F.min(number), "max": F.max(number)}
+        number = f"CAST({c} AS DOUBLE)"
+        out |= {"mean": f"avg({number})", "std_pop": f"stddev_pop({number})", "min": f"min({number})", "max": f"max({number})"}
         if isinstance(field.dataType, INTEGRAL_TYPES):
-            out["placeholders"] = F.count_if(c == 0)  # the only whole number that prints as a placeholder
+            out["placeholders"] = f"count_if({c} = 0)"  # the only whole number that prints as a placeholder
     elif k == "text":
-        out["placeholders"] = F.count_if(is_placeholder(as_text(field)))
+        text = f"hex({c})" if isinstance(field.dataType, T.BinaryType) else f"CAST({c} AS STRING)"
+        listed = ", ".join(_sql_text(p) for p in PLACEHOLDERS)
+        out["placeholders"] = f"count_if(lower(btrim({text}, ' \\t\\n\\r\\f\\u000b')) IN ({listed}))"
         if isinstance(field.dataType, T.StringType):
-            out["formatted"] = F.count_if(matches_format(c))
+            out["formatted"] = f"count_if({c} RLIKE {_sql_text('(?U)' + TEXT_FORMAT)})"
     if k == "datetime" or (parse and isinstance(field.dataType, T.StringType)):
-        when = as_datetime(field)
-        out |= {"parsed": F.count(when), "min_time": F.min(when), "max_time": F.max(when)}
+        if k == "datetime":
+            when = f"CAST({name} AS TIMESTAMP_NTZ)"
+        else:
+            tried = ", ".join(f"try_to_timestamp({name}, {_sql_text(f)})" for f in DATETIME_FORMATS)
+            when = f"CASE WHEN {name} RLIKE {_sql_text(DATETIME_SHAPE)} THEN CAST(coalesce({tried}) AS TIMESTAMP_NTZ) END"
+        out |= {"parsed": f"count({when})", "min_time": f"min({when})", "max_time": f"max({when})"}
     return out
 
 
@@ -100,23 +112,21 @@ def column_stats(df: DataFrame, names: Sequence[str] | None = None, parse: bool
     chosen = fields(df, names)
     if not chosen:
         raise ValueError("the table has no columns")
-    aggregates, structs = [F.count(F.lit(1)).alias("n")], []
+    aggregates, structs = ["count(1) AS n"], []
     for i, field in enumerate(chosen):
         metrics = _field_metrics(field, parse)
-        aggregates += [m.alias(f"m{i}_{name}") for name, m in metrics.items()]
-        structs.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("type"),
-                F.lit(kind(field.dataType)).alias("kind"),
-                F.col("n"),
-                *[F.col(f"m{i}_{name}").alias(name) for name in metrics],
-            )
-        )
-    n = F.col("non_null").cast("double")
-    sample = F.when(n > 1, F.col("std_pop") * F.sqrt(n / (n - 1)))
-    return df.agg(*aggregates).select(F.inline(F.array(*structs))).withColumn("std", sample)
+        aggregates += [f"{m} AS m{i}_{name}" for name, m in metrics.items()]
+        described = [
+            f"{i} AS position",
+            f"{_sql_text(field.name)} AS column_name",
+            f"{_sql_text(field.dataType.simpleString())} AS type",
+            f"{_sql_text(kind(field.dataType))} AS kind",
+            "n",
+            *[f"m{i}_{name} AS {name}" for name in metrics],
+        ]
+        structs.append(f"struct({', '.join(described)})")
+    long = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(structs)}))")
+    return long.withColumn("std", F.expr("CASE WHEN non_null > 1 THEN std_pop * sqrt(non_null / (non_null - 1D)) END"))
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -135,7 +145,7 @@ def value_counts(df: DataFrame, names: Sequence[str], value=as_text, keep_missin
     return long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
-def _typed_counts(df: DataFrame, names: Sequence[str]) -> list[DataFrame]:
+def typed_counts(df: DataFrame, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Value counts split by storage class: whole numbers and doubles are counted
     as numbers (narrow shuffle rows), everything else as text or its digest."""
     groups: dict[str, list[str]] = {}
@@ -147,15 +157,24 @@ def _typed_counts(df: DataFrame, names: Sequence[str]) -> list[DataFrame]:
         else:
             groups.setdefault("text", []).append(field.name)
     value = {"whole": lambda f: col(f.name).cast("bigint"), "real": as_double, "text": as_identity}
-    return [value_counts(df, chosen, value[g]) for g, chosen in groups.items()]
+    return {g: value_counts(df, chosen, value[g]) for g, chosen in groups.items()}
+
+
+def numeric_counts(typed: dict[str, DataFrame]) -> DataFrame:
+    """(column_name, value double, n) from the numeric groups of ``typed_counts``."""
+    parts = [
+        c.withColumn("value", F.col("value").cast("double")) for g, c in typed.items() if g in ("whole", "real")
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def distinct_stats(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def distinct_stats(
+    df: DataFrame, names: Sequence[str] | None = None, typed: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """(column_name, n_unique, entropy) over non-missing values."""
-    names = list(names if names is not None else df.columns)
-    p = share(F.col("n"), F.col("total"))
+    p = F.expr("n / CAST(total AS DOUBLE)")
     parts = []
-    for counts in _typed_counts(df, names):
+    for counts in (typed or typed_counts(df, names)).values():
         totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
         parts.append(
             counts.join(F.broadcast(totals), "column_name")  # one row per column
@@ -194,15 +213,20 @@ def joined_top_values(df: DataFrame, names: Sequence[str], k: int = 3, separator
 
 # -------------------------------------------------------------------- profiles
 def _with_distinct(
-    df: DataFrame, names: Sequence[str] | None, approx: bool = False, parse: bool = False
+    df: DataFrame,
+    names: Sequence[str] | None,
+    approx: bool = False,
+    parse: bool = False,
+    base: DataFrame | None = None,
+    typed: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    base = column_stats(df, names, parse)
-    distinct = (approx_distinct_stats if approx else distinct_stats)(df, names)
-    return (
-        base.join(F.broadcast(distinct), "column_name", "left")
-        .withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
-        .withColumn("entropy", F.coalesce("entropy", F.lit(0.0)) if not approx else F.col("entropy"))
-    )
+    base = base if base is not None else column_stats(df, names, parse)
+    distinct = approx_distinct_stats(df, names) if approx else distinct_stats(df, names, typed)
+    joined = base.join(F.broadcast(distinct), "column_name", "left")
+    filled = {"n_unique": F.coalesce("n_unique", F.lit(0))}
+    if not approx:
+        filled["entropy"] = F.coalesce("entropy", F.lit(0.0))
+    return joined.withColumns(filled)
 
 
 def missing_pct() -> Column:
