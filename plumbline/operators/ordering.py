@@ -50,11 +50,13 @@ def _thin(points: Sequence, rows: int, rows_per_range: int) -> list:
     return sorted(set(points[step - 1 :: step]))
 
 
-def numeric_cuts(long: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> Cuts:
+def numeric_cuts(long: DataFrame, rows_per_range: int | None = None) -> Cuts:
     """Cut points of (column_name, value double): one pass over a 2 % sample with
     map-side sketches. Cuts balance work and never decide a result, so a sample
     is enough; they are fixed here, once, and reach every task as constants."""
 
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
+
     def sketch(ranges: int):
         grid = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
         points = F.expr(f"percentile_approx(value, array({grid}), {8 * ranges})")
