@@ -26,7 +26,7 @@ def even_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based equal-width bin, the top one closed; 0 for a constant column."""
     width = (high - low) / F.lit(float(bins))
     place = F.floor((value - low) / F.nullif(width, F.lit(0.0))).cast("int")
-    return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0))
+    return F.when(high > low, F.least(place, F.lit(bins - 1))).otherwise(F.lit(0))
 
 
 def chart_histogram(df: DataFrame, name: str, hue: str | None = None, bins: int = HIST_BINS) -> DataFrame:

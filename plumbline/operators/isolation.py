@@ -26,7 +26,7 @@ register_pickle_by_value(sys.modules[__name__])
 TREES = 100
 TREE_VALUES = 256
 HEIGHT = 8  # ceil(log2(256))
-AUTO_SCORE = 0.5
+AUTO_SCORE = 0.5 + 1e-9  # a constant column scores 0.5 but for rounding
 EULER_GAMMA = 0.5772156649015329
 POOL = TREES * TREE_VALUES
 
@@ -54,14 +54,16 @@ def grow(values: np.ndarray, rng: np.random.Generator, depth: int = 0) -> list[t
 
 
 def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """At most 256 values in, at most 256 steps out: where the path length changes, and by how much."""
+    """At most 256 values in, at most 256 steps out: where the path length changes, and
+    by how much. The first step also brings the tree's normal path length."""
     column, tree = pdf["column_name"].iloc[0], int(pdf["tree"].iloc[0])
     seed = int(pdf["seed"].iloc[0]) * 1_000_003 + tree
     leaves = grow(np.sort(pdf["value"].to_numpy()), np.random.default_rng(seed))
     lows = [-math.inf] + [bound for bound, _ in leaves[:-1]]
     paths = np.array([length for _, length in leaves])
     change = np.diff(paths, prepend=0.0)
-    return pd.DataFrame({"column_name": column, "above": lows, "change": change, "size": len(pdf)})
+    normal = [mean_path(len(pdf)) or 1.0] + [0.0] * (len(leaves) - 1)
+    return pd.DataFrame({"column_name": column, "above": lows, "change": change, "normal": normal})
 
 
 def _pool(long: DataFrame, key: str, seed: int) -> DataFrame:
@@ -99,19 +101,15 @@ def forest_steps(long: DataFrame, key: str, seed: int = 42) -> DataFrame:
     grown = (
         _pool(long, key, seed)
         .groupBy("column_name", "tree")
-        .applyInPandas(_tree, "column_name string, above double, change double, size bigint")
+        .applyInPandas(_tree, "column_name string, above double, change double, normal double")
     )
     deltas = grown.groupBy("column_name", "above").agg(
-        F.sum("change").alias("change"),
-        F.sum(F.when(F.col("above") == F.lit(float("-inf")), 1).otherwise(0)).alias("trees"),
-        F.max("size").alias("size"),
+        F.sum("change").alias("change"), F.sum("normal").alias("normal")
     )
     whole = Window.partitionBy("column_name")
     run = whole.orderBy("above").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.max("size").over(whole).cast("double")
-    norm = F.when(size > 2, 2 * (F.log(size - 1) + F.lit(EULER_GAMMA)) - 2 * (size - 1) / size).otherwise(1.0)
-    path = F.sum("change").over(run) / F.sum("trees").over(whole)
-    return deltas.select("column_name", "above", F.pow(F.lit(2.0), -path / norm).alias("score"))
+    ratio = F.sum("change").over(run) / F.sum("normal").over(whole)
+    return deltas.select("column_name", "above", F.pow(F.lit(2.0), -ratio).alias("score"))
 
 
 def with_score(long: DataFrame, steps: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
     place = {n: f"v{i}" for i, n in enumerate(names)}
-    # NULL instead of NaN for a constant column
-    wide = values.selectExpr(*[f"nullif(corr({place[a]}, {place[b]}), double('NaN')) AS r{i}" for i, (a, b) in enumerate(pairs)])
+    # sums of squares over complete pairs; corr() itself divides by 0 for a constant column
+    wide = values.selectExpr(*[f"{_pearson(place[a], place[b])} AS r{i}" for i, (a, b) in enumerate(pairs)])
     labels = df.sparkSession.createDataFrame(
         [(f"r{i}", a, b) for i, (a, b) in enumerate(pairs)], "pair string, col_a string, col_b string"
     )
@@ -42,6 +42,10 @@ def corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     return long.join(F.broadcast(labels), "pair").select("col_a", "col_b", "corr")  # one row per pair
 
 
+def _pearson(a: str, b: str) -> str:
+    return f"regr_sxy({a}, {b}) / nullif(sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})), 0D)"
+
+
 def full_corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Both orders and the diagonal, as a heat-map wants them."""
     names = list(names if names is not None else of_kind(df, "numeric"))

@@ -86,7 +86,7 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab_wide(df: DataFrame, a: str, b: str, levels: Sequence[str]) -> DataFrame:
     """One output column per listed level of ``b``."""
     counted = df.select(category(df, a).alias("value_a"), category(df, b).alias("value_b"))
-    return counted.groupBy("value_a").pivot("value_b", list(levels)).agg(F.count("*")).fillna(0)
+    return counted.groupBy("value_a").pivot("value_b", list(levels)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def profile_lookup(rules: DataFrame, profiled: DataFrame, wanted: Sequence[str]) -> DataFrame:
