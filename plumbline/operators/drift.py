@@ -25,10 +25,13 @@ from plumbline.functions.columns import (
 from plumbline.functions.fit_tests import chi2_p_value, ks_p_value
 from plumbline.operators.ordering import (
     Cuts,
+    collected_ranks,
     exact_quantiles,
     numeric_cuts,
-    order_statistics,
+    quantiles_at,
     running_totals,
+    wanted_ranks,
+    with_held_ranks,
 )
 from plumbline.operators.stats import as_datetime
 
@@ -62,16 +65,13 @@ def bin_edges(quantiles: Column, bins: int = BINS) -> Column:
     return F.when(F.size(distinct) > 2, distinct).otherwise(even)
 
 
-def bin_of(value: Column, edges: Column, bins: int = BINS, open_ends: bool = False) -> Column:
+def bin_of(value: str, edges: str, bins: int = BINS, open_ends: bool = False) -> Column:
     """0-based bin, the last one closed on the right; NULL outside unless ``open_ends``."""
-    last = F.size(edges) - 1
-    passed = F.lit(0)
-    for i in range(bins + 1):
-        passed = passed + F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0)
-    inside = F.greatest(F.least(passed - 1, last - 1), F.lit(0))
+    passed = " + ".join(f"CASE WHEN {value} >= get({edges}, {i}) THEN 1 ELSE 0 END" for i in range(bins + 1))
+    inside = f"greatest(least({passed} - 1, size({edges}) - 2), 0)"
     if open_ends:
-        return inside
-    return F.when((value >= F.get(edges, F.lit(0))) & (value <= F.get(edges, last)), inside)
+        return F.expr(inside)
+    return F.expr(f"CASE WHEN {value} >= get({edges}, 0) AND {value} <= get({edges}, size({edges}) - 1) THEN {inside} END")
 
 
 def unite(baseline: DataFrame, target: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -150,56 +150,57 @@ def numeric_side_counts(sided: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _ranked_sides(sided: DataFrame, names: Sequence[str]) -> DataFrame:
-    counts = numeric_side_counts(sided, names)
-    cuts = numeric_cuts(numeric_long(sided, names))
-    ranked = running_totals(counts, ["column_name"], ["nb", "nt"], cuts)
-    totals = counts.groupBy("column_name").agg(
-        F.sum("nb").alias("baseline_n"), F.sum("nt").alias("target_n")
-    )
-    return ranked.join(F.broadcast(totals), "column_name")  # one row per column
-
-
-def _ks_stat() -> Column:
-    gap = F.abs(share(F.col("cum_nb"), F.col("baseline_n")) - share(F.col("cum_nt"), F.col("target_n")))
-    return F.max(gap)
+def _ks_gap() -> Column:
+    return F.abs(share(F.col("cum_nb"), F.col("total_nb")) - share(F.col("cum_nt"), F.col("total_nt")))
 
 
 def ks_two_sample(sided: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column_name, ks_stat, ks_p, baseline_n, target_n)."""
-    measured = _ranked_sides(sided, names).groupBy("column_name").agg(
-        _ks_stat().alias("ks_stat"), F.max("baseline_n").alias("baseline_n"), F.max("target_n").alias("target_n")
+    counts, cuts = numeric_side_counts(sided, names), numeric_cuts(numeric_long(sided, names))
+    ranked = running_totals(counts, ["column_name"], ["nb", "nt"], cuts)
+    measured = ranked.groupBy("column_name").agg(
+        F.max(_ks_gap()).alias("ks_stat"), F.max("total_nb").alias("baseline_n"), F.max("total_nt").alias("target_n")
     )
     p = ks_p_value(F.col("ks_stat"), F.col("baseline_n"), F.col("target_n"))
     return measured.select("column_name", "ks_stat", p.alias("ks_p"), "baseline_n", "target_n")
 
 
-def _psi_from_counts(counts: DataFrame, edges: DataFrame, open_ends: bool) -> DataFrame:
-    """``counts`` (column_name, value, nb, nt) against ``edges`` (column_name, edges)."""
-    binned = counts.join(F.broadcast(edges), "column_name").withColumn(  # at most 11 edges per column
-        "bin", bin_of(F.col("value"), F.col("edges"), open_ends=open_ends)
-    )
-    per_bin = binned.groupBy("column_name", "bin").agg(F.sum("nb").alias("e"), F.sum("nt").alias("a"))
+def _psi_of_bins(per_bin: DataFrame, keys: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """Index per key from (keys, bin, e, a); a NULL bin is outside the edges. Also
+    gives the sizes en, an and the target rows inside. At most 11 rows per key."""
+    whole = Window.partitionBy(*keys)
     inside = F.col("bin").isNotNull()
-    totals = per_bin.groupBy("column_name").agg(
-        F.coalesce(F.sum(F.when(inside, F.col("e"))), F.lit(0)).alias("et"),
-        F.coalesce(F.sum(F.when(inside, F.col("a"))), F.lit(0)).alias("at"),
-        F.sum("e").alias("baseline_n"),
-        F.sum("a").alias("target_n"),
+    summed = per_bin.withColumns(
+        {side + "t": F.sum(F.when(inside, F.col(side)).otherwise(0)).over(whole) for side in ("e", "a")}
     )
     term = psi_term(F.col("e"), F.col("a"), F.col("et"), F.col("at"))
-    summed = per_bin.join(F.broadcast(totals), "column_name").groupBy("column_name").agg(
+    return summed.groupBy(*keys).agg(
         F.sum(F.when(inside, term)).alias("psi"),
-        F.max("baseline_n").alias("baseline_n"),
-        F.max("target_n").alias("target_n"),
-        F.max("at").alias("at"),
+        F.sum("e").alias("en"),
+        F.sum("a").alias("an"),
+        F.max("at").alias("a_inside"),
+        *[F.max(c).alias(c) for c in carried],
+    )
+
+
+def _psi_from_counts(
+    counts: DataFrame, edges: DataFrame, open_ends: bool, carried: Sequence[str] = ()
+) -> DataFrame:
+    """``counts`` (column_name, value, nb, nt) against ``edges`` (column_name, edges, carried...)."""
+    binned = counts.join(F.broadcast(edges), "column_name").withColumn(  # one row per column
+        "bin", bin_of("value", "edges", open_ends=open_ends)
+    )
+    per_bin = binned.groupBy("column_name", "bin").agg(
+        F.sum("nb").alias("e"), F.sum("nt").alias("a"), *[F.max(c).alias(c) for c in carried]
     )
-    # an empty side has no index, as in the reference semantics
-    both = (F.col("baseline_n") > 0) & (F.col("target_n") > 0)
+    summed = _psi_of_bins(per_bin, ["column_name"], carried)
+    # an empty side has no index
+    both = (F.col("en") > 0) & (F.col("an") > 0)
     return summed.select(
         "column_name",
         F.when(both, F.col("psi")).alias("psi"),
-        (100 * share(F.col("target_n") - F.col("at"), F.col("target_n"))).alias("out_of_range_pct"),
+        (100 * share(F.col("an") - F.col("a_inside"), F.col("an"))).alias("out_of_range_pct"),
+        *carried,
     )
 
 
@@ -401,16 +402,28 @@ def drift_population(
     textual = [n for n in names if n not in numeric]
     parts = []
     if numeric:
-        # deciles and bin counts come from the same running totals as KS: one shuffle of value counts
-        ranked = _ranked_sides(sided, numeric)
-        measured = ranked.groupBy("column_name").agg(
-            _ks_stat().alias("ks_stat"), F.max("baseline_n").alias("baseline_n"), F.max("target_n").alias("target_n")
+        # one counting shuffle feeds the running totals and the bins; the deciles are
+        # read off the running totals in the aggregate that takes the KS distance
+        counts = numeric_side_counts(sided, numeric)
+        cuts = numeric_cuts(numeric_long(sided, numeric))
+        ranked = running_totals(counts, ["column_name"], ["nb", "nt"], cuts).withColumn(
+            "ranks", F.expr(wanted_ranks(DECILES, "total_nb"))
         )
-        edges = order_statistics(ranked, ["column_name"], "nb", F.col("baseline_n"), DECILES).select(
-            "column_name", bin_edges(F.col("quantiles")).alias("edges")
+        held = with_held_ranks(ranked, "ranks", "cum_nb - nb", "cum_nb", len(DECILES))
+        measured = held.groupBy("column_name").agg(
+            F.max(_ks_gap()).alias("ks_stat"),
+            F.max("total_nb").alias("baseline_n"),
+            F.max("total_nt").alias("target_n"),
+            collected_ranks().alias("at"),
         )
-        psi = _psi_from_counts(ranked.select("column_name", "value", "nb", "nt"), edges, open_ends)
-        joined = measured.join(F.broadcast(psi), "column_name", "left")
+        edges = measured.select(
+            "column_name",
+            "ks_stat",
+            "baseline_n",
+            "target_n",
+            bin_edges(quantiles_at(DECILES, "at", "baseline_n")).alias("edges"),
+        )
+        joined = _psi_from_counts(counts, edges, open_ends, ["ks_stat", "baseline_n", "target_n"])
         parts.append(
             joined.select(
                 "column_name",
@@ -509,12 +522,9 @@ def _numeric_series(monthly: DataFrame, pairs: DataFrame, names: Sequence[str])
     long = numeric_long(monthly, names, keep=["period"])
     cuts = numeric_cuts(long.select("column_name", "value"))
     counts = long.groupBy("column_name", "period", "value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, ["column_name", "period"], ["n"], cuts)
-    totals = counts.groupBy("column_name", "period").agg(F.sum("n").alias("total"))
     months = F.broadcast(pairs)  # one row per calendar month
-    edges = (
-        order_statistics(ranked.join(F.broadcast(totals), ["column_name", "period"]), ["column_name", "period"], "n", F.col("total"), DECILES)
-        .select("column_name", "period", bin_edges(F.col("quantiles")).alias("edges"))
+    edges = exact_quantiles(counts, ["column_name", "period"], DECILES, cuts, weight="n").select(
+        "column_name", "period", bin_edges(F.col("quantiles")).alias("edges")
     )
     # a month's values play two parts: expected against their own deciles for the
     # month that follows, actual against the deciles of the month before
@@ -531,7 +541,7 @@ def _numeric_series(monthly: DataFrame, pairs: DataFrame, names: Sequence[str])
     ).select("column_name", "value", "n", "r.*").filter(F.col("edge_period").isNotNull() & F.col("pair").isNotNull())
     small = F.broadcast(edges.withColumnRenamed("period", "edge_period"))  # columns x months rows
     binned = roles.join(small, ["column_name", "edge_period"]).withColumn(
-        "bin", bin_of(F.col("value"), F.col("edges"))
+        "bin", bin_of("value", "edges")
     )
     per_bin = (
         binned.groupBy("column_name", "pair", "bin")
@@ -540,19 +550,9 @@ def _numeric_series(monthly: DataFrame, pairs: DataFrame, names: Sequence[str])
             F.coalesce(F.sum(F.when(~F.col("expected"), F.col("n"))), F.lit(0)).alias("a"),
         )
     )
-    inside = F.col("bin").isNotNull()
-    sums = per_bin.groupBy("column_name", "pair").agg(
-        F.sum(F.when(inside, F.col("e")).otherwise(0)).alias("et"),
-        F.sum(F.when(inside, F.col("a")).otherwise(0)).alias("at"),
-        F.sum("e").alias("en"),
-        F.sum("a").alias("an"),
-    )
-    term = psi_term(F.col("e"), F.col("a"), F.col("et"), F.col("at"))
-    return (
-        per_bin.join(F.broadcast(sums), ["column_name", "pair"])
-        .filter((F.col("en") > 0) & (F.col("an") > 0))
-        .groupBy("column_name", F.col("pair").alias("period"))
-        .agg(F.sum(F.when(inside, term)).alias("psi"))
+    summed = _psi_of_bins(per_bin, ["column_name", "pair"])
+    return summed.filter((F.col("en") > 0) & (F.col("an") > 0)).select(
+        "column_name", F.col("pair").alias("period"), "psi"
     )
 
 
@@ -651,74 +651,64 @@ def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
     counts = long.groupBy("column_name", "segment", "value").agg(F.count("*").alias("n"))
     column_counts = counts.groupBy("column_name", "value").agg(F.sum("n").alias("t"))
     overall = running_totals(column_counts, ["column_name"], ["t"], cuts)
-    grouped = running_totals(counts.filter(F.col("segment").isNotNull()), ["column_name", "segment"], ["n"], cuts)
-    sizes = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
-    group_sizes = counts.filter(F.col("segment").isNotNull()).groupBy("column_name", "segment").agg(
-        F.sum("n").alias("baseline_n")
+    kept = counts.filter(F.col("segment").isNotNull())
+    grouped = running_totals(kept, ["column_name", "segment"], ["n"], cuts).withColumn(
+        "ranks", F.expr(wanted_ranks(DECILES, "total_n"))
     )
-    small = F.broadcast(group_sizes.join(F.broadcast(sizes), "column_name"))  # columns x 12 rows
-    both = grouped.join(overall, ["column_name", "value"]).join(small, ["column_name", "segment"])
-    target_n = F.col("total") - F.col("baseline_n")
+    held = with_held_ranks(grouped, "ranks", "cum_n - n", "cum_n", len(DECILES))
+    both = held.join(overall, ["column_name", "value"])
+    target_n = F.col("total_t") - F.col("total_n")
 
     # between two values of the group only the rest moves, so the gap is widest
     # right at a value of the group or right before it
     def gap(group_cum: Column, all_cum: Column) -> Column:
-        return F.abs(share(group_cum, F.col("baseline_n")) - share(all_cum - group_cum, target_n))
+        return F.abs(share(group_cum, F.col("total_n")) - share(all_cum - group_cum, target_n))
 
     at = gap(F.col("cum_n"), F.col("cum_t"))
     before = gap(F.col("cum_n") - F.col("n"), F.col("cum_t") - F.col("t"))
-    ks = both.groupBy("column_name", "segment").agg(
+    measured = both.groupBy("column_name", "segment").agg(
         F.max(F.greatest(at, before)).alias("ks_stat"),
-        F.max("baseline_n").alias("baseline_n"),
+        F.max("total_n").alias("baseline_n"),
         F.max(target_n).alias("target_n"),
+        collected_ranks().alias("at"),
     )
-    edges = order_statistics(
-        grouped.join(small, ["column_name", "segment"]), ["column_name", "segment"], "n", F.col("baseline_n"), DECILES
-    ).select("column_name", "segment", bin_edges(F.col("quantiles")).alias("edges"))
-    # group and column totals are binned against the edges of each of the 12 groups
-    per_column = edges.groupBy("column_name").agg(F.collect_list(F.struct("segment", "edges")).alias("all_edges"))
-    spread = column_counts.join(F.broadcast(per_column), "column_name").select(
-        "column_name", "value", "t", F.inline("all_edges")
-    )
-    bins_all = (
-        spread.withColumn("bin", bin_of(F.col("value"), F.col("edges")))
-        .groupBy("column_name", "segment", "bin")
-        .agg(F.sum("t").alias("t"))
-    )
-    own = counts.filter(F.col("segment").isNotNull()).join(F.broadcast(edges), ["column_name", "segment"])
-    bins_own = (
-        own.withColumn("bin", bin_of(F.col("value"), F.col("edges")))
-        .groupBy("column_name", "segment", "bin")
-        .agg(F.sum("n").alias("e"))
-    )
-    keys = ["column_name", "segment", "bin"]
-    per_bin = bins_all.filter(F.col("bin").isNotNull()).join(bins_own, keys, "left").select(
-        *keys, F.coalesce("e", F.lit(0)).alias("e"), (F.col("t") - F.coalesce("e", F.lit(0))).alias("a")
-    )
-    sums = per_bin.groupBy("column_name", "segment").agg(F.sum("e").alias("et"), F.sum("a").alias("at"))
-    term = psi_term(F.col("e"), F.col("a"), F.col("et"), F.col("at"))
-    psi = (
-        per_bin.join(F.broadcast(sums), ["column_name", "segment"])
-        .groupBy("column_name", "segment")
-        .agg(F.sum(term).alias("psi"))
+    one = F.struct(
+        F.col("segment").alias("of"),
+        "ks_stat",
+        "baseline_n",
+        "target_n",
+        bin_edges(quantiles_at(DECILES, "at", "baseline_n")).alias("edges"),
     )
-    return (
-        ks.join(F.broadcast(psi), ["column_name", "segment"], "left")
-        .filter((F.col("baseline_n") > 0) & (F.col("target_n") > 0))
-        .select(
-            "column_name",
-            F.col("segment"),
-            F.lit("numeric_segment").alias("type"),
-            "ks_stat",
-            ks_p_value(F.col("ks_stat"), F.col("baseline_n"), F.col("target_n")).alias("ks_p"),
-            F.lit(None).cast("double").alias("chi2"),
-            F.lit(None).cast("bigint").alias("dof"),
-            F.lit(None).cast("double").alias("chi2_p"),
-            "psi",
-            "baseline_n",
-            "target_n",
+    per_column = measured.groupBy("column_name").agg(F.collect_list(one).alias("groups"))  # at most 12 entries
+    # every counted value is placed in the bins of each of the 12 groups
+    spread = counts.join(F.broadcast(per_column), "column_name").select(
+        "column_name", "segment", "value", "n", F.inline("groups")
+    )
+    carried = ["ks_stat", "baseline_n", "target_n"]
+    own = F.coalesce(F.col("segment") == F.col("of"), F.lit(False))
+    per_bin = (
+        spread.withColumn("bin", bin_of("value", "edges"))
+        .groupBy("column_name", "of", "bin")
+        .agg(
+            F.sum(F.when(own, F.col("n")).otherwise(0)).alias("e"),
+            F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("a"),
+            *[F.max(c).alias(c) for c in carried],
         )
     )
+    measured = _psi_of_bins(per_bin, ["column_name", "of"], carried)
+    return measured.filter((F.col("baseline_n") > 0) & (F.col("target_n") > 0)).select(
+        "column_name",
+        F.col("of").alias("segment"),
+        F.lit("numeric_segment").alias("type"),
+        "ks_stat",
+        ks_p_value(F.col("ks_stat"), F.col("baseline_n"), F.col("target_n")).alias("ks_p"),
+        F.lit(None).cast("double").alias("chi2"),
+        F.lit(None).cast("bigint").alias("dof"),
+        F.lit(None).cast("double").alias("chi2_p"),
+        "psi",
+        "baseline_n",
+        "target_n",
+    )
 
 
 def _category_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -119,7 +119,7 @@ def with_score(long: DataFrame, steps: DataFrame) -> DataFrame:
         "column_name", F.col("s.above").alias("above"), F.col("s.score").alias("scores")
     )
     joined = long.join(F.broadcast(arrays), "column_name")  # <= 25 600 steps per column
-    placed = count_below(joined, F.col("above"), F.col("value"), POOL.bit_length(), "step")
+    placed = count_below(joined, "above", "value", POOL.bit_length(), "step")
     return placed.withColumn("score", F.get("scores", F.col("step") - 1)).drop("above", "scores")
 
 

@@ -88,18 +88,23 @@ def text_cuts(values: DataFrame, column: str, target: int = 256) -> Cuts:
     return Cuts(values.sparkSession, {"": points}, "string")
 
 
-def count_below(df: DataFrame, array: Column, value: Column, steps: int, out: str) -> DataFrame:
-    """``out`` = how many entries of the sorted ``array`` are below ``value``.
-
-    A binary search unrolled into ``steps`` projections, so it stays inside
-    generated code instead of an interpreted higher-order function.
-    """
-    df = df.withColumn(out, F.lit(0))
+def count_below_sql(array: str, value: str, steps: int, out: str) -> tuple[list[str], list[str]]:
+    """SQL columns of an unrolled binary search, each using the one before it, and
+    the names of the helpers among them. ``out`` = how many entries of the sorted
+    ``array`` are below ``value``. It stays inside generated code, unlike an
+    interpreted higher-order function."""
+    columns, helpers, at = [], [], "0"
     for power in reversed(range(steps)):
-        at = F.col(out)
-        hit = F.get(array, at + F.lit(2**power - 1)) < value
-        df = df.withColumn(out, at + F.when(hit, F.lit(2**power)).otherwise(F.lit(0)))
-    return df
+        name = out if power == 0 else f"_{out}_{power}"
+        columns.append(f"{at} + CASE WHEN get({array}, {at} + {2**power - 1}) < {value} THEN {2**power} ELSE 0 END AS {name}")
+        helpers += [name] if power else []
+        at = name
+    return columns, helpers
+
+
+def count_below(df: DataFrame, array: str, value: str, steps: int, out: str) -> DataFrame:
+    columns, helpers = count_below_sql(array, value, steps, out)
+    return df.selectExpr("*", *columns).drop(*helpers)
 
 
 def with_range(df: DataFrame, cuts: Cuts, value: str = "value") -> DataFrame:
@@ -109,59 +114,64 @@ def with_range(df: DataFrame, cuts: Cuts, value: str = "value") -> DataFrame:
         joined = df.withColumn("cuts", F.lit(cuts.points[""]).cast(f"array<{cuts.value_type}>"))
     else:
         joined = df.join(F.broadcast(table), "column_name", "left")
-    return count_below(joined, F.col("cuts"), F.col(value), cuts.steps, "range_id").drop("cuts")
+    return count_below(joined, "cuts", f"`{value}`", cuts.steps, "range_id").drop("cuts")
 
 
 def running_totals(
     counted: DataFrame, keys: Sequence[str], counts: Sequence[str], cuts: Cuts, value: str = "value"
 ) -> DataFrame:
-    """Add ``cum_<count>`` (inclusive, ordered by value) for each count column.
+    """Add ``cum_<count>`` (inclusive, ordered by value) and ``total_<count>`` per key.
 
     ``counted`` has one row per (keys, value) and the key columns are not null.
     """
     ranged = with_range(counted, cuts, value)
     group = [*keys, "range_id"]
-    totals = ranged.groupBy(*group).agg(*[F.sum(c).alias(f"_sum_{c}") for c in counts])
-    before = Window.partitionBy(*keys).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in counts]
+    sums = ranged.groupBy(*group).agg(*[F.sum(c).alias(f"_sum_{c}") for c in counts])
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *group,
+        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in counts],
+        *[F.sum(f"_sum_{c}").over(whole).alias(f"total_{c}") for c in counts],
     )
     inside = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(offsets, group)
     return joined.select(
-        *[c for c in counted.columns],
+        *counted.columns,
         *[(F.col(f"_off_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in counts],
+        *[f"total_{c}" for c in counts],
     )
 
 
-def order_statistics(
-    ranked: DataFrame, keys: Sequence[str], count: str, total: Column, probs: Sequence[float], value: str = "value"
-) -> DataFrame:
-    """Linear-interpolation quantiles (array ``quantiles``) from running totals.
+def wanted_ranks(probs: Sequence[float], total: str) -> str:
+    """SQL for the sorted ranks (from 0) that the probabilities need."""
+    both = ", ".join(f"floor({float(p)}D * ({total} - 1)), ceil({float(p)}D * ({total} - 1))" for p in probs)
+    return f"array_sort(array_distinct(array({both})))"
 
-    ``ranked`` carries ``count``, ``cum_<count>`` and a total per key.
-    """
-    lows, highs = [], []
-    for p in probs:
-        position = F.lit(float(p)) * (total - 1)
-        lows.append(F.floor(position))
-        highs.append(F.ceil(position))
-    first, last = F.col(f"cum_{count}") - F.col(count), F.col(f"cum_{count}")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < last), F.col(value)))
-
-    wide = ranked.filter(F.col(count) > 0).groupBy(*keys).agg(
-        F.max(total).alias("_n"),
-        *[at(r).alias(f"_lo{i}") for i, r in enumerate(lows)],
-        *[at(r).alias(f"_hi{i}") for i, r in enumerate(highs)],
-    )
-    quantiles = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("_n") - 1)
-        gap = F.col(f"_hi{i}") - F.col(f"_lo{i}")
-        quantiles.append(F.col(f"_lo{i}") + gap * (position - F.floor(position)))
-    return wide.select(*keys, F.col("_n").alias("n"), F.array(*quantiles).alias("quantiles"))
+
+def with_held_ranks(ranked: DataFrame, ranks: str, first: str, last: str, n_probs: int) -> DataFrame:
+    """Add ``held``: the wanted ranks in [first, last), NULL where there is none.
+    ``ranks``, ``first`` and ``last`` are SQL."""
+    steps = (2 * n_probs).bit_length()
+    start, start_helpers = count_below_sql(ranks, f"({first})", steps, "_start")
+    stop, stop_helpers = count_below_sql(ranks, f"({last})", steps, "_stop")
+    held = f"CASE WHEN _stop > _start THEN slice({ranks}, _start + 1, _stop - _start) END AS held"
+    return ranked.selectExpr("*", *start, *stop, held).drop("_start", "_stop", *start_helpers, *stop_helpers)
+
+
+def collected_ranks(value: str = "value") -> Column:
+    """Aggregate: rank -> value; two entries per probability at most."""
+    entries = f"collect_list(CASE WHEN held IS NOT NULL THEN transform(held, r -> struct(r, {value})) END)"
+    return F.expr(f"map_from_entries(flatten({entries}))")
+
+
+def quantiles_at(probs: Sequence[float], at: str, n: str) -> Column:
+    return F.expr(f"array({', '.join(_interpolated(float(p), at, n) for p in probs)})")
+
+
+def _interpolated(p: float, at: str, n: str) -> str:
+    low, high = f"{at}[floor({p}D * ({n} - 1))]", f"{at}[ceil({p}D * ({n} - 1))]"
+    return f"{low} + ({high} - {low}) * ({p}D * ({n} - 1) - floor({p}D * ({n} - 1)))"
 
 
 def exact_quantiles(
@@ -172,20 +182,20 @@ def exact_quantiles(
     few_keys: bool = True,
     weight: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles per key without shuffling the data.
+    """Exact linear-interpolation quantiles per key without shuffling the data.
 
     Rows are counted per value range with map-side combine; only the ranges that
-    hold a wanted rank are then sorted. ``long`` = (column_name, keys..., value),
-    missing values removed; ``weight`` names a count column where rows are already
-    counted values. Result: keys, n, quantiles. ``few_keys`` says that the
-    number of keys is bounded (columns, months), so the wanted ranges - at most
-    two per key and probability - may be broadcast.
+    hold a wanted rank are then sorted, and only the rows that hold one go on.
+    ``long`` = (column_name, keys..., value), missing values removed. ``weight``
+    names a count column where there is one row per (keys, value) already.
+    ``few_keys`` says that the number of keys is bounded (columns, months), so the
+    wanted ranges - at most two per key and probability - may be broadcast.
+    Result: keys, n, quantiles.
     """
     cuts = cuts or numeric_cuts(long)
     ranged = with_range(long, cuts)
     group = [*keys, "range_id"]
-    rows = F.sum(weight) if weight else F.count("*")
-    per_range = ranged.groupBy(*group).agg(rows.alias("m"))
+    per_range = ranged.groupBy(*group).agg((F.sum(weight) if weight else F.count("*")).alias("m"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_range.select(
@@ -193,18 +203,17 @@ def exact_quantiles(
         F.col("m"),
         F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"),
         F.sum("m").over(whole).alias("total"),
-    )
-    ranks = F.array_distinct(
-        F.flatten(
-            F.array(*[F.array(F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))) for p in map(float, probs)])
-        )
-    )
-    holds = F.exists(ranks, lambda r: (r >= F.col("offset")) & (r < F.col("offset") + F.col("m")))
-    wanted = placed.filter(holds).select(*group, "offset", "total")
+    ).withColumn("ranks", F.expr(wanted_ranks(probs, "total")))
+    wanted = placed.filter("exists(ranks, r -> r >= offset AND r < offset + m)").select(*group, "offset", "total", "ranks")
     wanted = F.broadcast(wanted) if few_keys else wanted
-    counted = ranged.join(wanted, group).groupBy(*group, "value").agg(
-        rows.alias("m"), F.max("offset").alias("offset"), F.max("total").alias("total")
-    )
+    if weight:
+        counted = ranged.withColumn("m", F.col(weight))
+    else:
+        held = ranged.join(wanted.select(*group), group, "left_semi")
+        counted = held.groupBy(*group, "value").agg(F.count("*").alias("m"))
+    joined = counted.join(wanted, group)
     inside = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("cum_m", F.col("offset") + F.sum("m").over(inside))
-    return order_statistics(ranked, keys, "m", F.col("total"), probs)
+    ranked = joined.withColumn("last", F.col("offset") + F.sum("m").over(inside))
+    held = with_held_ranks(ranked, "ranks", "last - m", "last", len(probs))
+    at = held.filter("held IS NOT NULL").groupBy(*keys).agg(F.max("total").alias("n"), collected_ranks().alias("at"))
+    return at.select(*keys, "n", quantiles_at(probs, "at", "n").alias("quantiles"))
