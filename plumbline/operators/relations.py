@@ -192,18 +192,6 @@ def statistical_signals(df: DataFrame, contexts: dict[str, Sequence[str]]) -> Da
     )
 
 
-def mutual_information(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """In nats, over rows where both are present. The reference announces but lacks it."""
-    counts = pair_counts(df, pairs)
-    rows = counts.groupBy(*PAIR, "v1").agg(F.sum("n").alias("row_n"))
-    columns = counts.groupBy(*PAIR, "v2").agg(F.sum("n").alias("col_n"))
-    totals = rows.groupBy(*PAIR).agg(F.sum("row_n").cast("double").alias("n_all"))
-    joined = counts.join(rows, [*PAIR, "v1"]).join(columns, [*PAIR, "v2"]).join(F.broadcast(totals), PAIR)
-    p = F.col("n") / F.col("n_all")
-    lift = F.col("n") * F.col("n_all") / F.col("row_n").cast("double") / F.col("col_n").cast("double")
-    return joined.groupBy(*PAIR).agg(F.sum(p * F.log(lift)).alias("mutual_information"))
-
-
 # ----------------------------------------------------------- review candidates
 def select_candidates(df: DataFrame, max_levels: int = 50, include_numeric: bool = True) -> DataFrame:
     """Columns worth a semantic review: by name, few levels, or numeric."""

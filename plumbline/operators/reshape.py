@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import MISSING_LABEL, as_text, col, fields, present, share
+from plumbline.functions.columns import MISSING_LABEL, as_text, col, present, share
 
 
 def _reference_keys(reference: DataFrame, key: str) -> DataFrame:

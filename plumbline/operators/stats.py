@@ -21,7 +21,6 @@ from plumbline.functions.columns import (
     kind,
     numeric_long,
     of_kind,
-    present,
     share,
     unpivot_values,
 )
