@@ -176,7 +176,8 @@ def mix(
         .repartition(shuffle_partitions(spark))
         .mapInArrow(_slots(seed), "shard long, position long, copy long, source_no long, block long")
     )
-    pieces = drawn.join(held, ["source_no", "block"]).select("shard", "position", "copy", "source_no", "block", "place", "row", "doc_id", "start", "words")
+    # The slots come out of few rows, so their estimated size must not make them a broadcast.
+    pieces = drawn.hint("merge").join(held, ["source_no", "block"]).select("shard", "position", "copy", "source_no", "block", "place", "row", "doc_id", "start", "words")
     return Mix(documents, sources.drop("streams"), pieces)
 
 
