@@ -19,10 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, text_column
+from plumbline.llm.common import WHITE, cut, slices, text_column
 
-# The Unicode White_Space characters, as a character class.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
@@ -82,8 +80,11 @@ _WORKER: dict[tuple, Lengths] = {}
 def frequent_chunks(docs: DataFrame, top: int, tracked: int, sketch_groups: int) -> list[str]:
     """Spaced words that are frequent over all documents, by mergeable sketches."""
     words = docs.select(F.spark_partition_id().alias("task"), F.explode(F.split(text_column(docs), " ")).alias("word"))
-    sketches = words.groupBy(F.pmod("task", F.lit(sketch_groups)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("sketch"))
-    best = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {top})").alias("best")).collect()[0]["best"]
+    sketches = cut(words.groupBy(F.pmod("task", F.lit(sketch_groups)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("sketch")), "sketches")
+    if sketches.isEmpty():
+        return []
+    # At most ``sketch_groups`` rows; one task, as the combination fails on a task without rows.
+    best = sketches.coalesce(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {top})").alias("best")).collect()[0]["best"]
     return [" " + x["item"] for x in best or [] if x["item"] and CHUNK.fullmatch(" " + x["item"])]
 
 
