@@ -14,6 +14,8 @@ from plumbline.sources.scratch import scratch_path
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
+# The Unicode White_Space characters, as the inside of a character class.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def text_column(df: DataFrame, name: str = "text"):

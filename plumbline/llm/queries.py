@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archive, mixing, secretscan, simhash, tokencount, topk
+from plumbline.llm import archive, mixing, packing, quality, secretscan, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 @query
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rated.select("doc_id", *quality.MEASURES, "base_failed", "kept", "log_perplexity")
