@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archive, mixing, packing, quality, secretscan, simhash, tokencount, topk
+from plumbline.llm import archive, mixing, packing, quality, secretscan, simhash, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rated.select("doc_id", *quality.MEASURES, "base_failed", "kept", "log_perplexity")
+
+
+@query
+def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
