@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archive, mixing, packing, quality, secretscan, simhash, tokencount, topk, toxicity
+from plumbline.llm import archive, mixing, packing, quality, secretscan, simhash, substring, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL["op10_block_anchors"] = r"""
+WITH w AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words FROM documents
+), g AS (
+  SELECT doc_id, CAST(i AS BIGINT) AS i, array_to_string(words[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+r AS (
+  SELECT DISTINCT doc_id, i + k AS at FROM (SELECT g.doc_id, g.i, unnest(range(0, 13)) AS k FROM g JOIN f USING (gram) WHERE g.doc_id > f.first)
+), k AS (
+  SELECT p.doc_id, list(p.word ORDER BY p.at) FILTER (WHERE r.at IS NULL) AS kept, count(r.at) AS n_removed
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w) p LEFT JOIN r ON p.doc_id = r.doc_id AND p.at = r.at
+  GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
