@@ -1,15 +1,55 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing.
+
+Each stage works on all rows that the one before it kept and returns the columns of documents; the last returns the
+pieces of the packed sequences. ``run`` writes a stage's rows before the next one reads them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from plumbline.llm import mixing, packing, quality, secretscan, simhash
+from plumbline.llm.common import cut
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced by marks."""
+    return secretscan.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix: a row for every pass over a document, with the words taken in it."""
+    return mixing.documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources", source_mix),
+    ("packing", packed),
+]
+
 ORACLE_SQL = None  # language models, components and packing are beyond SQL; tests/llm holds the brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

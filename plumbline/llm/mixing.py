@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, n_words, shuffle_partitions, text_column
+from plumbline.llm.common import WORD_RE, cut, n_words, shuffle_partitions, text_column
 
 
 @dataclass
 class Mix:
-    """``documents``: row, doc_id, source, source_no, size. ``sources``: source_no, source, size, target (a bounded
+    """``documents``: row, doc_id, source, source_no, size, print (a hash of the text). ``sources``: source_no, source, size, target (a bounded
     table, one row per source). ``pieces``: shard, position, copy, source_no, block, row, doc_id, start, words - the
     mixed output, ``words`` words of the document from word ``start`` on, in order of (shard, position, place)."""
 
@@ -153,7 +153,7 @@ def mix(
     of = {r["source_no"]: r["blocks"] for r in streams.groupBy("source_no").agg(F.sum("blocks").alias("blocks")).collect()}
 
     key = F.concat_ws("-", "source_no", "stream", "n")
-    documents = rows.select(key.alias("row"), "doc_id", "source", "source_no", "size")
+    documents = rows.select(key.alias("row"), "doc_id", "source", "source_no", "size", "print")
     placed = rows.filter("size > 0").join(streams.select("source_no", "stream", "first"), ["source_no", "stream"])
     place = F.explode(F.sequence(F.floor((F.col("end") - F.col("size")) / block_words), F.floor((F.col("end") - 1) / block_words)))
     start = F.col("end") - F.col("size")
@@ -186,3 +186,44 @@ def taken(mixed: Mix) -> DataFrame:
     words = mixed.pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     out = mixed.documents.join(words, "row", "left").join(F.broadcast(mixed.sources.drop("source")), "source_no")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def cut_text(text: str, starts: list[int], lengths: list[int]) -> str:
+    """The runs of words (in order) of a text; what lies between the words of a run stays, runs are put on lines."""
+    spans = [m.span() for m in WORD_RE.finditer(text)]
+    if sum(lengths) == len(spans):
+        return text
+    runs: list[list[int]] = []
+    for start, n in zip(starts, lengths, strict=True):
+        if runs and runs[-1][1] == start:
+            runs[-1][1] = start + n
+        else:
+            runs.append([start, start + n])
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
+
+
+def documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row for every pass of the mix over a document, with the words taken in that pass.
+
+    The columns are those of the input; n_chars, where there is one, follows the text. Rows that agree in doc_id, source
+    and text are told apart by nothing but their other columns, which are taken from any of them.
+    """
+    mixed = mix(docs, **options)
+    order = F.sort_array(F.collect_list(F.struct("start", "words")))
+    runs = mixed.pieces.groupBy("row", "copy").agg(order.alias("runs")).join(mixed.documents, "row")
+    wanted = runs.select(
+        F.col("doc_id").alias("__w_id"), F.col("source").alias("__w_source"), F.col("print").alias("__w_print"),
+        F.col("runs.start").alias("__starts"), F.col("runs.words").alias("__lengths"),
+    )
+    keys = [docs["doc_id"].alias("__id"), docs["source"].cast("string").alias("__source"), F.xxhash64(text_column(docs)).alias("__print")]
+    held = docs.select(*keys, *docs.columns).dropDuplicates(["__id", "__source", "__print"])
+    met = held.join(wanted, held["__id"].eqNullSafe(wanted["__w_id"]) & held["__source"].eqNullSafe(wanted["__w_source"]) & (held["__print"] == wanted["__w_print"]))
+
+    @F.pandas_udf("string")
+    def taken_text(text, starts, lengths):
+        return text.combine(starts.combine(lengths, lambda a, b: (a.tolist(), b.tolist())), lambda t, runs: cut_text(t, *runs))
+
+    out = met.withColumn("text", taken_text(met["text"].cast("string"), "__starts", "__lengths"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
