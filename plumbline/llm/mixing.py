@@ -83,7 +83,7 @@ def shard_counts(quotas: list[int], shard_slots: int, seed: int) -> np.ndarray:
             need = min(shard_slots, int(left.sum())) - int(row.sum())
         out.append(row)
         left = left - row
-    return np.array(out, dtype=np.int64).reshape(-1, len(quotas))
+    return np.array(out, dtype=np.int64).reshape(len(out), len(quotas))
 
 
 def _slots(seed: int, step: int = 1 << 16):
