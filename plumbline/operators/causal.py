@@ -145,8 +145,7 @@ def propensity_scores(prepared: DataFrame, treatment: str, confounders: Sequence
     assembled = features.transform(prepared)
     model = LogisticRegression(featuresCol="_x", labelCol=treatment, regParam=0.0, maxIter=50, tol=1e-8).fit(assembled)
     scored = model.transform(assembled)
-    rounded = F.round(vector_to_array("probability")[1], 12)
-    return scored.withColumn("score", rounded).drop("_x", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
 def ate_matched(

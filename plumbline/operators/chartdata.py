@@ -122,10 +122,11 @@ def chart_scatter_ols(df: DataFrame, x: str, y: str, hue: str | None = None) ->
     )
 
 
-def scatter_points(df: DataFrame, x: str, y: str, key: str, hue: str | None = None, points: int = 5000) -> DataFrame:
-    """A drawable number of points, chosen by key hash."""
+def scatter_points(df: DataFrame, x: str, y: str, key: str, hue: str | None = None, points: int | None = None) -> DataFrame:
+    """Every row as a point, or a drawable number of ``points``, chosen by key hash."""
     shown = [col(x).alias("x"), col(y).alias("y"), *([category(df, hue).alias("hue")] if hue else [])]
-    return df.orderBy(F.xxhash64(col(key)), col(key)).limit(points).select(*shown)
+    chosen = df if points is None else df.orderBy(F.xxhash64(col(key)), col(key)).limit(points)
+    return chosen.select(*shown)
 
 
 def chart_box(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:

@@ -37,7 +37,9 @@ from plumbline.operators.stats import as_datetime
 
 EPS = 1e-8
 BINS = 10
-SEGMENTS = 12
+SEGMENTS = 12  # the surveyed limit, on request
+# names of helper columns beside data columns
+PERIOD, SEGMENT = "__period", "__segment"
 DECILES = [i / BINS for i in range(BINS + 1)]
 PSI_FLAG, P_FLAG = 0.2, 0.05
 
@@ -82,9 +84,16 @@ def unite(baseline: DataFrame, target: DataFrame, names: Sequence[str]) -> DataF
     return b.unionByName(t)
 
 
+def _free(df: DataFrame, *names: str) -> None:
+    """Helper columns must not hide data."""
+    if taken := [c for c in df.columns if c.lower() in names]:
+        raise ValueError(f"reserved column names: {', '.join(taken)}")
+
+
 def split_by_filter(df: DataFrame, baseline: str, target: str | None = None) -> DataFrame:
     """Flag rows by two predicates in one scan; without ``target`` the rest is the target.
     A row may be on both sides. A malformed predicate raises."""
+    _free(df, "in_base", "in_target")
     in_base = F.coalesce(checked_predicate(baseline), F.lit(False))
     in_target = F.coalesce(checked_predicate(target), F.lit(False)) if target else ~in_base
     return df.withColumn("in_base", in_base).withColumn("in_target", in_target)
@@ -104,6 +113,7 @@ def apply_filter(df: DataFrame, predicate: str) -> DataFrame:
 
 def split_random(df: DataFrame, key: str, seed: int = 0, baseline_tenths: int = 7) -> DataFrame:
     """Seeded 70/30 split by key hash: the same rows on every run and retry."""
+    _free(df, "in_base", "in_target")
     lot = F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(10))
     return df.withColumn("in_base", lot < baseline_tenths).withColumn("in_target", lot >= baseline_tenths)
 
@@ -111,33 +121,30 @@ def split_random(df: DataFrame, key: str, seed: int = 0, baseline_tenths: int =
 def split_by_time(df: DataFrame, time: str, key: str, fraction: float = 0.7) -> DataFrame:
     """The first max(1, floor(fraction * n)) rows by (time, key) are the baseline.
 
-    The cut is one (time, key) pair found by counting, so the split itself is a
-    plain filter. Rows without a time come last, ordered by key; ``key`` is a
-    unique whole number.
+    The cut is one (time, key) pair, found by two small counting jobs, so the split itself is a plain filter on
+    constants. Rows without a time come last, ordered by key; ``key`` is a unique whole number and is compared as such.
     """
+    _free(df, "in_base", "in_target")
     moment = as_datetime(df.schema[time])
     micros = F.coalesce(F.unix_micros(moment.cast("timestamp")).cast("double"), F.lit(float("inf")))
-    keyed = df.select(micros.alias("value"), col(key).cast("double").alias("key"), F.lit("time").alias("column_name"))
+    keyed = df.select(F.lit("time").alias("column_name"), micros.alias("value"), col(key).alias("key"))
+
+    def at_row(counted: DataFrame, sample: DataFrame, wanted: Column):
+        """The value that holds the wanted place, and how many of its rows are wanted."""
+        ranked = running_totals(counted, ["column_name"], ["n"], numeric_cuts(sample))
+        before = F.col("cum_n") - F.col("n")
+        return ranked.filter((before < wanted) & (wanted <= F.col("cum_n"))).select("value", (wanted - before).alias("taken")).first()
+
     finite = keyed.filter(F.col("value") < float("inf"))
     counted = keyed.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, ["column_name"], ["n"], numeric_cuts(finite))
-    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    wanted = F.greatest(F.lit(1), F.floor(total * F.lit(fraction)))
-    at = (
-        ranked.filter((F.col("cum_n") - F.col("n") < wanted) & (wanted <= F.col("cum_n")))
-        .select("value", (wanted - (F.col("cum_n") - F.col("n"))).alias("taken"))
-    )
-    edge_time = at.select("value").scalar()
-    taken = at.select("taken").scalar()
-    # among the rows that share the edge time, the cut is the taken-th key
-    tied = keyed.filter(F.col("value") == edge_time).select(F.lit("key").alias("column_name"), F.col("key").alias("value"))
-    tied_counts = tied.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    keys = df.select(F.lit("key").alias("column_name"), col(key).cast("double").alias("value"))
-    tied_ranked = running_totals(tied_counts, ["column_name"], ["n"], numeric_cuts(keys))
-    edge_key = (
-        tied_ranked.filter((F.col("cum_n") - F.col("n") < taken) & (taken <= F.col("cum_n"))).select("value").scalar()
-    )
-    first = (micros < edge_time) | ((micros == edge_time) & (col(key).cast("double") <= edge_key))
+    edge = at_row(counted, finite, F.greatest(F.lit(1), F.floor(F.col("total_n") * F.lit(fraction))))
+    if edge is None:  # no rows
+        return df.withColumn("in_base", F.lit(False)).withColumn("in_target", F.lit(True))
+    tied = keyed.filter(F.col("value") == edge["value"]).select("column_name", F.col("key").alias("value"))
+    # doubles cut the ranges, which are monotone in the key; inside a range the keys are sorted as they are
+    ties = tied.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    last = at_row(ties, tied.withColumn("value", F.col("value").cast("double")), F.lit(edge["taken"]))
+    first = (micros < edge["value"]) | ((micros == edge["value"]) & (col(key) <= F.lit(last["value"])))
     return df.withColumn("in_base", first).withColumn("in_target", ~first)
 
 
@@ -329,25 +336,23 @@ def psi_share_hist(sided: DataFrame, names: Sequence[str]) -> DataFrame:
     edge_stats = edge_rows.groupBy("column_name").agg(
         F.count("*").alias("n_edges"), F.min("s").alias("low"), F.max("s").alias("high")
     )
-    few = edge_stats.filter(F.col("n_edges") <= 2).join(small, "column_name")
-    spaced = few.select(
-        "column_name",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("k"), F.lit(2).cast("bigint"))),
-                lambda i: F.when(i == F.greatest(F.col("k"), F.lit(2)), F.col("high")).otherwise(
-                    F.col("low") + (F.col("high") - F.col("low")) / F.greatest(F.col("k"), F.lit(2)) * i
-                ),
-            )
-        ).alias("s"),
-    ).distinct()
     kept = edge_rows.join(
         F.broadcast(edge_stats.filter(F.col("n_edges") > 2).select("column_name")), "column_name", "left_semi"
     )
-    edges = kept.unionByName(spaced).select("column_name", "s", F.lit(1).alias("edge"), F.lit(0).alias("e"), F.lit(0).alias("a"))
-    points = b.select("column_name", "s", F.lit(0).alias("edge"), F.col("m").alias("e"), F.lit(0).alias("a")).unionByName(
+    edges = kept.select("column_name", "s", F.lit(1).alias("edge"), F.lit(0).alias("e"), F.lit(0).alias("a"))
+    shares = b.select("column_name", "s", F.lit(0).alias("edge"), F.col("m").alias("e"), F.lit(0).alias("a")).unionByName(
         t.select("column_name", "s", F.lit(0).alias("edge"), F.lit(0).alias("e"), F.col("m").alias("a"))
     )
+    spaced = F.broadcast(edge_stats.filter(F.col("n_edges") <= 2))  # one row per column
+    points = shares.join(spaced, "column_name", "left_anti")
+    # at most two edges: evenly spaced ones take their place, and a share's bin is arithmetic
+    buckets = F.greatest(F.col("k"), F.lit(2))
+    edge_at = lambda i: F.col("low") + (F.col("high") - F.col("low")) / buckets * i
+    near = shares.join(spaced, "column_name").join(small.select("column_name", "k"), "column_name").filter((F.col("s") >= F.col("low")) & (F.col("s") <= F.col("high")))
+    guess = F.coalesce(F.floor((F.col("s") - F.col("low")) * buckets / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(0))
+    near = near.withColumn("i", guess)
+    near = near.withColumn("i", F.when(edge_at(F.col("i")) > F.col("s"), F.col("i") - 1).when(edge_at(F.col("i") + 1) <= F.col("s"), F.col("i") + 1).otherwise(F.col("i")))
+    near = near.select("column_name", (F.when(F.col("low") == F.col("high"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("i"), buckets - 1))) + 1).alias("bin"), "e", "a")
     merged = edges.unionByName(points).groupBy("column_name", "s").agg(
         F.sum("edge").alias("edge"), F.sum("e").alias("e"), F.sum("a").alias("a")
     )
@@ -363,9 +368,8 @@ def psi_share_hist(sided: DataFrame, names: Sequence[str]) -> DataFrame:
         .when((F.col("passed") == F.col("edges")) & (F.col("edge") == 0), None)
         .otherwise(F.col("passed")),
     )
-    per_bin = placed.filter(F.col("bin").isNotNull()).groupBy("column_name", "bin").agg(
-        F.sum("e").alias("e"), F.sum("a").alias("a")
-    )
+    binned = placed.filter(F.col("bin").isNotNull()).select("column_name", "bin", "e", "a").unionByName(near)
+    per_bin = binned.groupBy("column_name", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     sums = per_bin.groupBy("column_name").agg(F.sum("e").alias("et"), F.sum("a").alias("at"))
     term = psi_term(F.col("e"), F.col("a"), F.col("et"), F.col("at"))
     summed = per_bin.join(F.broadcast(sums), "column_name").groupBy("column_name").agg(F.sum(term).alias("psi_share_hist"))
@@ -487,15 +491,14 @@ def drift_summary(flagged: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------- temporal
 def _months(df: DataFrame, time: str) -> DataFrame:
-    return df.withColumn("period", F.date_format(as_datetime(df.schema[time]), "yyyy-MM")).filter(
-        F.col("period").isNotNull()
-    )
+    _free(df, PERIOD)
+    return df.withColumn(PERIOD, F.date_format(as_datetime(df.schema[time]), "yyyy-MM")).filter(F.col(PERIOD).isNotNull())
 
 
 def _month_pairs(monthly: DataFrame) -> DataFrame:
     """(period, previous, following) over observed months: a calendar-sized table."""
     w = Window.partitionBy().orderBy("period")
-    return monthly.select("period").distinct().select(
+    return monthly.select(F.col(PERIOD).alias("period")).distinct().select(
         "period", F.lag("period").over(w).alias("previous"), F.lead("period").over(w).alias("following")
     )
 
@@ -519,7 +522,7 @@ def psi_series(df: DataFrame, time: str, names: Sequence[str]) -> DataFrame:
 
 
 def _numeric_series(monthly: DataFrame, pairs: DataFrame, names: Sequence[str]) -> DataFrame:
-    long = numeric_long(monthly, names, keep=["period"])
+    long = numeric_long(monthly, names, keep=[PERIOD]).withColumnRenamed(PERIOD, "period")
     cuts = numeric_cuts(long.select("column_name", "value"))
     counts = long.groupBy("column_name", "period", "value").agg(F.count("*").alias("n"))
     months = F.broadcast(pairs)  # one row per calendar month
@@ -558,7 +561,7 @@ def _numeric_series(monthly: DataFrame, pairs: DataFrame, names: Sequence[str])
 
 def _category_series(monthly: DataFrame, pairs: DataFrame, names: Sequence[str]) -> DataFrame:
     """Missing values are left out over time; the index is the textbook one."""
-    long = unpivot_values(monthly, names, as_text, keep=["period"]).filter(F.col("value").isNotNull())
+    long = unpivot_values(monthly, names, as_text, keep=[PERIOD]).withColumnRenamed(PERIOD, "period").filter(F.col("value").isNotNull())
     counts = long.groupBy("column_name", "period", "value").agg(F.count("*").alias("n"))
     roles = counts.join(F.broadcast(pairs), "period").select(
         "column_name",
@@ -605,9 +608,9 @@ def drift_over_time(df: DataFrame, time: str, names: Sequence[str], key: str, se
     """``drift_temporal``, or the seeded 70/30 population drift where only one month is observed."""
     monthly = _months(df, time)
     # two months are enough to know; the answer is one bounded number
-    if monthly.agg(F.min("period") < F.max("period")).first()[0]:
+    if monthly.agg(F.min(PERIOD) < F.max(PERIOD)).first()[0]:
         return drift_temporal(df, time, names)
-    return drift_population(split_random(monthly.drop("period"), key, seed), names)
+    return drift_population(split_random(monthly.drop(PERIOD), key, seed), names)
 
 
 # ------------------------------------------------------------------------ segment
@@ -618,20 +621,18 @@ def top_groups(df: DataFrame, group: str, k: int = SEGMENTS) -> DataFrame:
     return counted.orderBy(F.desc("rows"), "segment").limit(k)
 
 
-def drift_segment(df: DataFrame, group: str, names: Sequence[str], k: int = SEGMENTS) -> DataFrame:
-    """Each of the k largest groups (baseline) against all other rows (target).
+def drift_segment(df: DataFrame, group: str, names: Sequence[str], k: int | None = None) -> DataFrame:
+    """Each group (baseline) against all other rows (target); with ``k`` only the k largest groups.
 
-    Values are counted once per (column, segment, value), groups beyond the k
-    are pooled; the rest of a group is the column total less the group.
+    Values are counted once per (column, segment, value); the rest of a group is the column's total less the group, so
+    nothing is multiplied by the number of groups.
     """
+    _free(df, SEGMENT)
     label = F.coalesce(as_text(df.schema[group]), F.lit(MISSING_LABEL))
-    chosen = F.broadcast(top_groups(df, group, k).select("segment", F.lit(True).alias("kept")))  # at most 12 rows
-    labelled = (
-        df.withColumn("segment", label)
-        .join(chosen, "segment", "left")
-        .withColumn("segment", F.when(F.col("kept"), F.col("segment")))
-        .drop("kept")
-    )
+    labelled = df.withColumn(SEGMENT, label)
+    if k is not None:
+        chosen = top_groups(df, group, k).select(F.col("segment").alias(SEGMENT), F.lit(True).alias("__kept"))  # k rows
+        labelled = labelled.join(F.broadcast(chosen), SEGMENT, "left").withColumn(SEGMENT, F.when(F.col("__kept"), F.col(SEGMENT))).drop("__kept")
     numeric = [n for n in names if kind(df.schema[n].dataType) == "numeric"]
     textual = [n for n in names if n not in numeric]
     parts = []
@@ -646,7 +647,7 @@ def drift_segment(df: DataFrame, group: str, names: Sequence[str], k: int = SEGM
 
 
 def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
-    long = numeric_long(labelled, names, keep=["segment"])
+    long = numeric_long(labelled, names, keep=[SEGMENT]).withColumnRenamed(SEGMENT, "segment")
     cuts: Cuts = numeric_cuts(long.select("column_name", "value"))
     counts = long.groupBy("column_name", "segment", "value").agg(F.count("*").alias("n"))
     column_counts = counts.groupBy("column_name", "value").agg(F.sum("n").alias("t"))
@@ -671,34 +672,37 @@ def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
         F.max("total_n").alias("baseline_n"),
         F.max(target_n).alias("target_n"),
         collected_ranks().alias("at"),
-    )
-    one = F.struct(
-        F.col("segment").alias("of"),
-        "ks_stat",
-        "baseline_n",
-        "target_n",
-        bin_edges(quantiles_at(DECILES, "at", "baseline_n")).alias("edges"),
-    )
-    per_column = measured.groupBy("column_name").agg(F.collect_list(one).alias("groups"))  # at most 12 entries
-    # every counted value is placed in the bins of each of the 12 groups
-    spread = counts.join(F.broadcast(per_column), "column_name").select(
-        "column_name", "segment", "value", "n", F.inline("groups")
-    )
+    ).withColumn("edges", bin_edges(quantiles_at(DECILES, "at", "baseline_n"))).drop("at")
+    # At most 11 edges a group. Both running totals are read at the edges: a bin is the difference of its two ends.
+    edges = measured.select("column_name", "segment", F.posexplode("edges").alias("place", "value"))
+    top = F.max("place").over(Window.partitionBy("column_name", "segment"))
+    edges = edges.withColumn("closed", F.col("place") == top)
+
+    def below(table: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+        """Rows of ``table`` below each edge, up to it for a group's last one."""
+        marks = edges.select(*keys, "value", F.lit(0).cast("bigint").alias(count)).distinct()
+        merged = table.select(*keys, "value", count).unionByName(marks).groupBy(*keys, "value").agg(F.sum(count).alias(count))
+        return running_totals(merged, keys, [count], cuts).select(*keys, "value", F.col(f"cum_{count}").alias(f"upto_{count}"), (F.col(f"cum_{count}") - F.col(count)).alias(f"below_{count}"))
+
+    read = edges.join(below(column_counts, ["column_name"], "t"), ["column_name", "value"])
+    read = read.join(below(kept, ["column_name", "segment"], "n"), ["column_name", "segment", "value"])
+    own = F.when(F.col("closed"), F.col("upto_n")).otherwise(F.col("below_n"))
+    everyone = F.when(F.col("closed"), F.col("upto_t")).otherwise(F.col("below_t"))
+    step = Window.partitionBy("column_name", "segment").orderBy("place")
+    # A constant column's edges are equal: its rows lie in the last bin.
+    bins = read.select("column_name", "segment", "place", own.alias("own"), everyone.alias("everyone")).select(
+        "column_name",
+        "segment",
+        (F.col("place") - 1).alias("bin"),
+        (F.col("own") - F.lag("own").over(step)).alias("e"),
+        (F.col("everyone") - F.lag("everyone").over(step)).alias("all_in"),
+    ).filter("bin >= 0 AND all_in > 0")
+    per_bin = bins.join(measured.drop("edges"), ["column_name", "segment"]).withColumn("a", F.col("all_in") - F.col("e"))
     carried = ["ks_stat", "baseline_n", "target_n"]
-    own = F.coalesce(F.col("segment") == F.col("of"), F.lit(False))
-    per_bin = (
-        spread.withColumn("bin", bin_of("value", "edges"))
-        .groupBy("column_name", "of", "bin")
-        .agg(
-            F.sum(F.when(own, F.col("n")).otherwise(0)).alias("e"),
-            F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("a"),
-            *[F.max(c).alias(c) for c in carried],
-        )
-    )
-    measured = _psi_of_bins(per_bin, ["column_name", "of"], carried)
+    measured = _psi_of_bins(per_bin, ["column_name", "segment"], carried)
     return measured.filter((F.col("baseline_n") > 0) & (F.col("target_n") > 0)).select(
         "column_name",
-        F.col("of").alias("segment"),
+        "segment",
         F.lit("numeric_segment").alias("type"),
         "ks_stat",
         ks_p_value(F.col("ks_stat"), F.col("baseline_n"), F.col("target_n")).alias("ks_p"),
@@ -712,17 +716,16 @@ def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _category_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
-    long = unpivot_values(labelled, names, as_text, keep=["segment"]).filter(F.col("value").isNotNull())
+    long = unpivot_values(labelled, names, as_text, keep=[SEGMENT]).withColumnRenamed(SEGMENT, "segment").filter(F.col("value").isNotNull())
     counts = long.groupBy("column_name", "segment", "value").agg(F.count("*").alias("n"))
     column_counts = counts.groupBy("column_name", "value").agg(F.sum("n").alias("t"))
     segments = (
         counts.filter(F.col("segment").isNotNull())
-        .groupBy("column_name")
-        .agg(F.collect_set("segment").alias("segments"))
-    )
-    spread = column_counts.join(F.broadcast(segments), "column_name").select(  # at most 12 names per column
-        "column_name", "value", "t", F.explode("segments").alias("segment")
+        .select("column_name", "segment")
+        .distinct()
     )
+    # a category that a group lacks still counts in its test: one row per group and category of the result's own table
+    spread = column_counts.join(segments, "column_name")
     sides = spread.join(counts, ["column_name", "segment", "value"], "left").select(
         "column_name",
         "segment",

@@ -66,26 +66,23 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"column_name": column, "above": lows, "change": change, "normal": normal})
 
 
-def _pool(long: DataFrame, key: str, seed: int) -> DataFrame:
-    """About 25 600 values per column, chosen by key hash, dealt to 100 trees."""
-    totals = long.groupBy("column_name").agg(F.count("*").alias("n"))
-    hashed = F.xxhash64(F.col(key), F.col("column_name"), F.lit(seed))
-    unit = F.pmod(hashed, F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = (
-        long.join(F.broadcast(totals), "column_name")  # one row per column
-        .filter(unit * F.col("n") < F.lit(float(POOL)))
-        .withColumn("h", F.xxhash64(F.col(key), F.lit(seed + 1)))
-    )
-    # small columns: every tree draws its own 256 from all the values
-    copies = F.when(F.col("n") >= POOL, F.lit(1)).otherwise(
-        F.least(F.lit(TREES), F.ceil(F.lit(float(POOL)) / F.col("n"))).cast("int")
-    )
+def _pool(long: DataFrame, seed: int) -> DataFrame:
+    """About 25 600 values per column, drawn from the value counts and dealt to 100 trees.
+
+    A value with m of n rows is drawn 25 600 m / n times, the fraction decided by a hash of the value: no row key is
+    needed, and a value that fills a third of the rows is one row here.
+    """
+    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("m"))
+    totals = counts.groupBy("column_name").agg(F.sum("m").alias("n"))
+    unit = F.pmod(F.xxhash64("value", "column_name", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     everywhere = F.col("n") <= TREE_VALUES  # then each tree sees all the values
-    by_hash = F.pmod(F.xxhash64("h", "copy"), F.lit(TREES))
-    dealt = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).withColumn(
-        "tree", F.when(everywhere, F.col("copy") - 1).otherwise(by_hash).cast("int")
+    wanted = F.lit(float(POOL)) * F.col("m") / F.col("n")
+    draws = F.when(everywhere, F.col("m") * TREES).otherwise(F.floor(wanted) + (unit < wanted - F.floor(wanted)).cast("int"))
+    drawn = counts.join(F.broadcast(totals), "column_name").withColumn("draws", draws).filter("draws > 0")  # one row per column
+    dealt = drawn.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("draws")))).withColumn(
+        "tree", F.pmod(F.when(everywhere, F.col("draw")).otherwise(F.xxhash64("value", "draw", F.lit(seed + 1))), F.lit(TREES)).cast("int")
     )
-    order = Window.partitionBy("column_name", "tree").orderBy(F.xxhash64("h", "copy", "value"))
+    order = Window.partitionBy("column_name", "tree").orderBy(F.xxhash64("value", "draw", F.lit(seed + 2)))
     return (
         dealt.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= TREE_VALUES)
@@ -93,13 +90,13 @@ def _pool(long: DataFrame, key: str, seed: int) -> DataFrame:
     )
 
 
-def forest_steps(long: DataFrame, key: str, seed: int = 42) -> DataFrame:
+def forest_steps(long: DataFrame, seed: int = 42) -> DataFrame:
     """(column_name, above, score): the anomaly score of values in (above, next above].
 
     At most 25 600 rows per column.
     """
     grown = (
-        _pool(long, key, seed)
+        _pool(long, seed)
         .groupBy("column_name", "tree")
         .applyInPandas(_tree, "column_name string, above double, change double, normal double")
     )
@@ -123,9 +120,9 @@ def with_score(long: DataFrame, steps: DataFrame) -> DataFrame:
     return placed.withColumn("score", F.get("scores", F.col("step") - 1)).drop("above", "scores")
 
 
-def flagged_counts(long: DataFrame, key: str, contamination: float | None = None, seed: int = 42) -> DataFrame:
+def flagged_counts(long: DataFrame, contamination: float | None = None, seed: int = 42) -> DataFrame:
     """(column_name, n, flagged) over all values."""
-    scored = with_score(long, forest_steps(long, key, seed))
+    scored = with_score(long, forest_steps(long, seed))
     if contamination is None:
         return scored.groupBy("column_name").agg(
             F.count("*").alias("n"), F.count_if(F.col("score") > AUTO_SCORE).alias("flagged")

@@ -215,5 +215,6 @@ def exact_quantiles(
     inside = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = joined.withColumn("last", F.col("offset") + F.sum("m").over(inside))
     held = with_held_ranks(ranked, "ranks", "last - m", "last", len(probs))
-    at = held.filter("held IS NOT NULL").groupBy(*keys).agg(F.max("total").alias("n"), collected_ranks().alias("at"))
+    # No filter on ``held``: it would be pushed into the unrolled search and double at every step; the aggregate skips NULLs.
+    at = held.groupBy(*keys).agg(F.max("total").alias("n"), collected_ranks().alias("at"))
     return at.select(*keys, "n", quantiles_at(probs, "at", "n").alias("quantiles"))

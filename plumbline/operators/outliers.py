@@ -136,15 +136,16 @@ def approx_rates(long: DataFrame) -> DataFrame:
 
 
 def forest_rates(
-    df: DataFrame, names: Sequence[str], key: str, contamination: float | None = None, seed: int = 42
+    df: DataFrame, names: Sequence[str], key: str | None = None, contamination: float | None = None, seed: int = 42
 ) -> DataFrame:
-    """Share of rows an isolation forest flags; ``contamination`` None = score above 0.5."""
-    long = numeric_long(df, names, keep=[key])
-    counts = flagged_counts(long, key, contamination, seed)
+    """Share of rows an isolation forest flags; ``contamination`` None = score above 0.5.
+    The trees draw from value counts: ``key`` is accepted for old callers and decides nothing."""
+    long = numeric_long(df, names)
+    counts = flagged_counts(long, contamination, seed)
     return counts.select("column_name", "n", _rate(F.col("flagged")).alias("outlier_iso"))
 
 
-def combined_rates(df: DataFrame, names: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+def combined_rates(df: DataFrame, names: Sequence[str], key: str | None = None, seed: int = 42) -> DataFrame:
     z = zscore_rates(df, names).select("column_name", "outlier_z")
     iso = forest_rates(df, names, key, contamination=0.05, seed=seed).select("column_name", "outlier_iso")
     return z.join(F.broadcast(iso), "column_name", "left").select(

@@ -31,40 +31,10 @@ def corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
-    k = len(names)
-    # Rows with the same columns present are summed together; a pair then adds up the
-    # groups in which both are present. Values are taken from near the median: that
-    # is within one standard deviation of the mean, so the sums of squares keep their
-    # digits, and a constant column gives exact zeros.
-    middle = values.selectExpr(
-        "struct(" + ", ".join(f"percentile_approx(v{i}, 0.5D, 100) AS c{i}" for i in range(k)) + ") AS c"
-    ).scalar()
-    centred = values.withColumn("c", middle).selectExpr(*[f"v{i} - c.c{i} AS v{i}" for i in range(k)])
-    present = "concat(" + ", ".join(f"CASE WHEN v{i} IS NULL THEN '0' ELSE '1' END" for i in range(k)) + ")"
-    squares = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = (
-        centred.groupBy(F.expr(present).alias("present"))
-        .agg(
-            F.count("*").alias("n"),
-            *[F.expr(f"sum(v{i}) AS s{i}") for i in range(k)],
-            *[F.expr(f"sum(v{i} * v{j}) AS p{i}_{j}") for i, j in squares],
-        )
-    )
-    structs = ", ".join(
-        f"struct({i} AS i, {j} AS j, n, s{i} AS x, s{j} AS y, p{i}_{i} AS xx, p{j}_{j} AS yy, p{i}_{j} AS xy)"
-        for i, j in combinations(range(k), 2)
-    )
-    both = F.expr("substring(present, i + 1, 1) = '1' AND substring(present, j + 1, 1) = '1'")
-    per_pair = (
-        sums.selectExpr("present", f"inline(array({structs}))")
-        .groupBy("i", "j")
-        .agg(*[F.sum(F.when(both, F.col(c))).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    )
-    corr = F.expr("(xy - x * y / n) / nullif(sqrt((xx - x * x / n) * (yy - y * y / n)), 0D)")
-    labels = df.sparkSession.createDataFrame(list(enumerate(names)), "place int, name string")
-    first = F.broadcast(labels.toDF("i", "col_a"))  # one row per column
-    second = F.broadcast(labels.toDF("j", "col_b"))
-    return per_pair.join(first, "i").join(second, "j").select("col_a", "col_b", corr.alias("corr"))
+    pairs = list(combinations(range(len(names)), 2))
+    found = values.agg(*[F.corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    one = [F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs]
+    return found.select(F.inline(F.array(*one)))
 
 
 def full_corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

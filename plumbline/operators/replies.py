@@ -9,33 +9,42 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 
-FENCE = r"```(?:json|sql)?\n?"
-FIRST_OBJECT = r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})"
+BLANK = " \t\n\r"
+FENCES = ("```json", "```sql", "```")
 
 
 def strip_fence(reply: Column) -> Column:
-    return F.trim(F.regexp_replace(reply, FENCE, ""), F.lit(" \t\n\r"))
+    """The reply without code fences and outer white space."""
+    for mark in FENCES:
+        reply = F.replace(reply, F.lit(mark), F.lit(""))
+    return F.trim(reply, F.lit(BLANK))
+
+
+def outer_braces(reply: Column) -> Column:
+    """From the first { to the last }: one pass over the text, whatever its length or nesting."""
+    first = F.instr(reply, "{")
+    last = F.length(reply) - F.instr(F.reverse(reply), "}") + 1
+    return F.when((first > 0) & reply.contains("}") & (last > first), F.substr(reply, first, last - first + 1))
 
 
 def parse_json(reply: Column, schema: str) -> Column:
-    """The reply as it is, else without fences, else its first {...}; NULL if none parses."""
+    """The reply as it is, else without fences, else from its first { to its last }; NULL if none parses."""
     bad = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     wanted = f"{schema}, _bad string"
 
     def tried(text: Column) -> Column:
         parsed = F.from_json(text, wanted, bad)
-        whole = F.trim(text, F.lit(" \t\n\r")).startswith("{") & parsed["_bad"].isNull()
+        whole = F.trim(text, F.lit(BLANK)).startswith("{") & parsed["_bad"].isNull()
         return F.when(whole, parsed)
 
-    found = F.regexp_extract(reply, FIRST_OBJECT, 1)
-    return F.coalesce(tried(reply), tried(strip_fence(reply)), tried(found))
+    return F.coalesce(tried(reply), tried(strip_fence(reply)), tried(outer_braces(reply)))
 
 
 def column_list(reply: Column) -> Column:
     """``COLUMNS=[a, b]``, else a ``columns: a, b`` line, else an empty array."""
-    listed = F.regexp_extract(reply, r"COLUMNS\s*=\s*\[([^\]]+)\]", 1)
-    line = F.regexp_extract(reply, r"(?i)columns\s*:\s*(.+)", 1)
-    text = F.when(listed != "", listed).otherwise(line)
+    bracket = F.regexp_extract(reply, r"COLUMNS[ \t\r\n]*=[ \t\r\n]*\[([^]]*)]", 1)
+    rest_of_line = F.regexp_extract(reply, r"(?i)columns[ \t\r\n]*:[ \t\r\n]*([^\r\n]*)", 1)
+    text = F.when(bracket != "", bracket).otherwise(rest_of_line)
     names = F.transform(F.split(text, ","), lambda c: F.trim(c, F.lit(" []'\"")))
     return F.filter(names, lambda c: c != "")
 

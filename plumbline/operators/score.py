@@ -67,14 +67,14 @@ def monotone_order(df: DataFrame, names: Sequence[str], order: str) -> DataFrame
     Neighbours are compared inside ranges of the order column; the first and last
     value of each range (a bounded table) settle the seams.
     """
-    values = df.select(
-        *[stats.as_datetime(df.schema[n]).alias(n) for n in names], col(order).cast("double").alias("value")
-    )
-    cuts = numeric_cuts(df.select(F.lit(order).alias("column_name"), col(order).cast("double").alias("value")))
-    ranged = with_range(values.withColumn("column_name", F.lit(order)), cuts).drop("column_name")
-    long = ranged.unpivot(["value", "range_id"], [col(n) for n in names], "column_name", "moment").filter(
-        F.col("moment").isNotNull()
-    )
+    # positions for names: a data column may be called like a helper; the order column keeps its type
+    places = [f"c{i}" for i in range(len(names))]
+    values = df.select(*[stats.as_datetime(df.schema[n]).alias(p) for n, p in zip(names, places)], col(order).alias("value"))
+    cuts = numeric_cuts(df.select(F.lit("order").alias("column_name"), col(order).cast("double").alias("value")))
+    ranged = with_range(values.withColumn("column_name", F.lit("order")), cuts).drop("column_name")
+    long = ranged.unpivot(["value", "range_id"], places, "column_name", "moment").filter(F.col("moment").isNotNull())
+    back = F.create_map(*[F.lit(x) for pair in zip(places, names) for x in pair])
+    long = long.withColumn("column_name", back[F.col("column_name")])
     inside = Window.partitionBy("column_name", "range_id").orderBy("value")
     stepped = long.withColumn("previous", F.lag("moment").over(inside))
     per_range = stepped.groupBy("column_name", "range_id").agg(

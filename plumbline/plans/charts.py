@@ -76,7 +76,7 @@ def chart_scatter_ols(t):
     return r6(chartdata.chart_scatter_ols(t("lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"), 5)
 
 
-@query("chart_scatter_points")
+@query("chart_scatter_points", "SELECT o_custkey AS x, o_totalprice AS y, o_orderstatus AS hue FROM orders")
 def chart_scatter_points(t):
     return chartdata.scatter_points(t("orders"), "o_custkey", "o_totalprice", "o_orderkey", "o_orderstatus")
 

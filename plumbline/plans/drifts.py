@@ -261,12 +261,12 @@ def drift_temporal_fallback(t):
 
 
 # -------------------------------------------------------------------------- segment
-def segment_branch(group: str) -> str:
-    flag = f"SELECT *, o_orderstatus = '{group}' AS b FROM orders"
-    b, c = side(flag, "o_totalprice", True), side(flag, "o_totalprice", False)
-    return f"""SELECT 'o_totalprice' AS column_name, '{group}' AS segment, 'numeric_segment' AS type, ROUND(d, 6) AS ks_stat, ROUND({KS_P}, 6) AS ks_p, NULL::DOUBLE AS chi2, NULL::DOUBLE AS chi2_p,
+def segment_branch(group: str, table: str = "orders", by: str = "o_orderstatus", number: str = "o_totalprice", level: str = "o_orderpriority") -> str:
+    flag = f"SELECT *, {by}::VARCHAR = '{group}' AS b FROM {table}"
+    b, c = side(flag, number, True), side(flag, number, False)
+    return f"""SELECT '{number}' AS column_name, '{group}' AS segment, 'numeric_segment' AS type, ROUND(d, 6) AS ks_stat, ROUND({KS_P}, 6) AS ks_p, NULL::DOUBLE AS chi2, NULL::DOUBLE AS chi2_p,
         ROUND({psi_sql(b, c)}, 6) AS psi, n1::BIGINT AS baseline_n, n2::BIGINT AS target_n FROM (SELECT *, {LAM} AS lam FROM {ks_sql(b, c)})
-      UNION ALL SELECT 'o_orderpriority', '{group}', 'categorical_segment', NULL, NULL, ROUND(chi2, 6), ROUND({CHI2_P_EVEN}, 6), ROUND(psi, 6), nb::BIGINT, nt::BIGINT FROM {chi2_sql(f'({flag})', 'o_orderpriority')}"""
+      UNION ALL SELECT '{level}', '{group}', 'categorical_segment', NULL, NULL, ROUND(chi2, 6), ROUND({CHI2_P_EVEN}, 6), ROUND(psi, 6), nb::BIGINT, nt::BIGINT FROM {chi2_sql(f'({flag})', level)}"""
 
 
 @query("drift_segment", "\nUNION ALL ".join(segment_branch(g) for g in ("F", "O", "P")))
@@ -283,10 +283,10 @@ def drift_segment_top_groups(t):
     return drift.top_groups(t("customer"), "c_nationkey")
 
 
-@query("drift_segment_nations")
+@query("drift_segment_nations", "\nUNION ALL ".join(segment_branch(str(n), "customer", "c_nationkey", "c_acctbal", "c_mktsegment") for n in range(25)))
 def drift_segment_nations(t):
-    """25 groups: the 12 largest against the rest."""
-    return r6(drift.drift_segment(t("customer"), "c_nationkey", ["c_acctbal", "c_mktsegment"]))
+    """All 25 groups."""
+    return r6(drift.drift_segment(t("customer"), "c_nationkey", ["c_acctbal", "c_mktsegment"]).drop("dof"))
 
 
 # -------------------------------------------------------------------- flags, summary

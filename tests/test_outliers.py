@@ -41,7 +41,7 @@ def test_fewer_than_ten_values_have_no_outliers(spark):
 def test_forest_flags_planted_extremes(planted):
     values, df = planted
     long = numeric_long(df, ["x"], keep=["k"])
-    scored = isolation.with_score(long, isolation.forest_steps(long, "k"))
+    scored = isolation.with_score(long, isolation.forest_steps(long))
     rows = {r["k"]: r["score"] for r in scored.collect()}
     assert len(rows) == len(values)
     far, near = np.mean([rows[i] for i in range(40)]), np.mean([rows[i] for i in range(40, 4000)])
@@ -73,7 +73,7 @@ def test_step_function_matches_the_trees(spark):
     values = RNG.normal(size=200)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "k bigint, x double")
     long = numeric_long(df, ["x"], keep=["k"])
-    steps = isolation.forest_steps(long, "k", seed=9)
+    steps = isolation.forest_steps(long, seed=9)
     trees = [
         isolation.grow(np.sort(values), np.random.default_rng(9 * 1_000_003 + t)) for t in range(isolation.TREES)
     ]
