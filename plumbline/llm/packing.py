@@ -21,17 +21,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WHITE, slices, text_column
+from plumbline.llm.common import slices, text_column
 
 CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
-RUN = re.compile(f"[^{WHITE}]+")
+# Lines of Latin-1 letters and single marks: lower case is all that normalizing does, and pieces are words and marks.
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?\t-\r ]*")
+RUN_OF_MARKS = re.compile("[.,;:!?]{2}")
+MARKS = ".,;:!?"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memory(dict):
+    """A bounded cache. When full it keeps what it has, as the frequent keys come first, and starts anew once it has
+    turned away many times its size."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.refused = limit, 0
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) < self.limit:
+            if len(key) < 200:
+                self[key] = value
+            return
+        self.refused += 1
+        if self.refused > 16 * self.limit:
+            self.clear()
+            self.refused = 0
+
+
+class Pieces(Memory):
+    """Normalized piece -> its ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__(limit)
+        self.model, self.letters = tokenizer.model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        self.keep(piece, ids)
+        return ids
+
+
+class Runs(Memory):
+    """White-space-free run -> its ids, through the tokenizer's own normalizer and pre-tokenizer."""
 
+    def __init__(self, tokenizer, pieces: Pieces, limit: int):
+        super().__init__(limit)
+        self.norm, self.cut, self.pieces = tokenizer.normalizer, tokenizer.pre_tokenizer, pieces
 
-class Ids(dict):
-    """White-space-free run -> its ids as little-endian unsigned 32-bit bytes.
+    def __missing__(self, run: str) -> bytes:
+        whole = self.norm.normalize_str(run)
+        ids = b"".join([self.pieces[whole[a:b]] for _, (a, b) in self.cut.pre_tokenize_str(whole)])
+        self.keep(run, ids)
+        return ids
+
+
+class Ids:
+    """Text -> its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space, so a text's ids are those of its runs. Misses go through the tokenizer's own
-    normalizer, pre-tokenizer and model; both caches are bounded.
+    The tokenizer drops white space and no piece spans it, so a text's ids are those of its lines and of their runs.
+    Simple lines are cut into pieces here, the runs of others by the tokenizer. Pieces are encoded by its model, once.
     """
 
     def __init__(self, name: str, limit: int):
@@ -43,34 +100,24 @@ class Ids(dict):
         path = public_tokenizers.path(name)
         with open(path, encoding="utf-8") as file:
             special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.model, self.norm, self.cut = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        self.pieces = Pieces(tokenizer, limit)
+        self.runs = Runs(tokenizer, self.pieces, limit // 4)
         self.special = {k: struct.pack("<I", v) for k, v in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.pieces: dict[str, bytes] = {}
-
-    def __missing__(self, run: str) -> bytes:
-        out = []
-        for piece, _ in self.cut.pre_tokenize_str(self.norm.normalize_str(run)):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                found = [t.id for t in self.model.tokenize(piece)]
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(self.pieces) >= self.limit:
-                    self.pieces.clear()
-                if len(piece) < 200:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(run) < 200:
-            self[run] = ids
-        return ids
 
     def _plain(self, text: str) -> bytes:
-        runs = RUN.findall(text) if CONTROL.search(text) else text.split()
-        return b"".join(map(self.__getitem__, runs))
+        piece, run, out = self.pieces.__getitem__, self.runs.__getitem__, []
+        for line in text.split("\n"):
+            if SIMPLE.fullmatch(line) and not RUN_OF_MARKS.search(line):
+                line = line.lower()
+                for mark in MARKS:
+                    if mark in line:
+                        line = line.replace(mark, f" {mark} ")
+                out += map(piece, line.split())
+            else:
+                out += map(run, [line] if CONTROL.search(line) else line.split())
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if self.split is not None and any(s in text for s in self.special):
@@ -82,13 +129,13 @@ class Index:
     """BM25 over the documents of one shard; terms are token ids."""
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        counted = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in counted])
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        terms = np.concatenate([t for t, _ in counted]).astype(np.int64)
-        tf = np.concatenate([c for _, c in counted]).astype(np.float64)
-        doc = np.repeat(np.arange(len(docs)), sizes)
         length = np.array([len(d) for d in docs], dtype=np.float64)
+        # (document, term) pairs, sorted: equal ones are a term's count
+        pairs = np.sort(np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs]) << 32 | np.concatenate(docs))
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        tf = np.diff(np.concatenate([first, [len(pairs)]])).astype(np.float64)
+        doc, terms = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+        self.starts = np.searchsorted(doc, np.arange(len(docs) + 1))
         self.terms, place = np.unique(terms, return_inverse=True)
         df = np.bincount(place, minlength=len(self.terms))
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
@@ -200,7 +247,7 @@ def pack(
     window: int = 2048,
     shard_docs: int = 1024,
     terms: int = 32,
-    cached: int = 400_000,
+    cached: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
