@@ -208,6 +208,8 @@ def chart_worst_columns(df: DataFrame, ranking: DataFrame, k: int = 3, bins: int
         else:
             rows = chart_value_counts(df, name).select(F.col("value").alias("label"), "n")
         parts.append(rows.select(F.lit(name).alias("column_name"), "label", "n"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_name string, label string, n bigint")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -385,11 +385,21 @@ RECORD = "column_name string, type string, ks_stat double, ks_p double, chi2 dou
 
 
 def auto_columns(df: DataFrame, max_levels: int = 50) -> list[str]:
-    """The first two numeric columns, else the first two categorical ones."""
+    """The first two numeric columns, else the first two categorical ones with at most ``max_levels`` values.
+
+    Without numeric columns a sketch in one scan rules out free text; only near the limit are values counted exactly.
+    """
     numeric = of_kind(df, "numeric")
     if numeric:
         return numeric[:2]
-    return of_kind(df, "text")[:2]
+    texts, chosen = of_kind(df, "text"), []
+    if not texts:
+        return []
+    about = df.agg(*[F.approx_count_distinct(col(n)).alias(f"n{i}") for i, n in enumerate(texts)]).first()
+    for name, n in zip(texts, about):
+        if len(chosen) < 2 and n <= 2 * max_levels and df.select(col(name)).dropna().distinct().count() <= max_levels:
+            chosen.append(name)
+    return chosen
 
 
 def drift_population(

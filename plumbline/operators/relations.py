@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, kind, of_kind, share
+from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, kind, of_kind, share
 from plumbline.operators.stats import distinct_stats, mean_text_length
 
 PAIR = ["col1", "col2"]
@@ -186,15 +186,18 @@ def rank_context_columns(df: DataFrame, target: str, k: int = 3) -> DataFrame:
     places = df.sparkSession.createDataFrame(
         [(n, i) for i, n in enumerate(others)], "column_name string, position int"
     )
+    # "more than one value" needs the least and the greatest value only
+    ends = df.agg(*[(F.min(as_text(df.schema[n])) < F.max(as_text(df.schema[n]))).alias(n) for n in others])
+    varied = ends.unpivot([], [col(n) for n in others], "column_name", "varied")
     described = (
         F.broadcast(places)
-        .join(distinct_stats(df, others), "column_name", "left")
+        .join(F.broadcast(varied), "column_name", "left")
         .join(F.broadcast(mean_text_length(df, others)), "column_name", "left")
     )
     points = (
         F.when(F.lower("column_name").rlike(CONTEXT_NAME), 2.0).otherwise(0.0)
         + F.when(F.col("mean_length") > 5, 1.0).otherwise(0.0)
-        + F.when(F.col("n_unique") > 1, 0.5).otherwise(0.0)
+        + F.when(F.col("varied"), 0.5).otherwise(0.0)
     )
     return (
         described.select("column_name", "position", points.alias("score"))

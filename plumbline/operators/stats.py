@@ -129,8 +129,13 @@ def column_stats(df: DataFrame, names: Sequence[str] | None = None, parse: bool
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), kind(f.dataType)) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string, kind string")
+    """Each column's place, type and kind, and the values found in it; one scan."""
+    counted = df.agg(*[F.count(col(f.name)).alias(f"n{i}") for i, f in enumerate(df.schema)])
+    rows = [
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(kind(f.dataType)).alias("kind"), F.col(f"n{i}").alias("non_null"))
+        for i, f in enumerate(df.schema)
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 # ---------------------------------------------------------- value frequencies

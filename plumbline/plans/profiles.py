@@ -36,9 +36,8 @@ def dirty_profile(t, rounded=False):
 
 
 # -------------------------------------------------------------------- profiling
-@query("schema_profile", "SELECT column_name, type, cls AS kind FROM (VALUES "
-       + ", ".join(f"('{n}', '{d}', '{ {'number': 'numeric', 'text': 'text', 'moment': 'datetime'}[c] }')" for n, d, c in LINEITEM)
-       + ") v(column_name, type, cls)")
+@query("schema_profile", "\nUNION ALL ".join(
+    f"SELECT '{n}' AS column_name, '{d}' AS type, '{ {'number': 'numeric', 'text': 'text', 'moment': 'datetime'}[c] }' AS kind, COUNT({n}) AS non_null FROM lineitem" for n, d, c in LINEITEM))
 def schema_profile(t):
     return stats.schema_profile(t("lineitem")).drop("position")
 

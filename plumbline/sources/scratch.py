@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN: list[str] = []
+
+
+def _own_folder() -> str:
+    """One folder for all of a local session's files, removed when Python ends."""
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="plumbline-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder the cluster names. A machine-local folder
-    is used in local mode only."""
+    """A fresh path in the shared folder that spark.checkpoint.dir names. Only a local session, whose executors share
+    the driver's disk, may leave it unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="plumbline-")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import causal, drift, isolation, ordering, relations, replies, score, sqlview
+from plumbline.operators import causal, chartdata, drift, isolation, ordering, relations, replies, score, sqlview
 
 SCHEMA = "verdict string, reason string"
 
@@ -113,3 +113,13 @@ def test_scores_are_matched_as_they_are(spark):
     df = spark.createDataFrame(rows, "k long, x double, t int, y double")
     scored = causal.propensity_scores(df, "t", ["x"])
     assert scored.select("score").distinct().count() > 150
+
+
+def test_auto_columns_leave_out_free_text(spark):
+    df = spark.range(500).select(F.concat(F.lit("long text "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("k"), (F.col("id") % 50).cast("string")).alias("a"), F.concat(F.lit("k"), (F.col("id") % 51).cast("string")).alias("b"), F.lit("x").alias("c"))
+    assert drift.auto_columns(df) == ["a", "c"]
+
+
+def test_no_ranking_no_charts(spark):
+    df = spark.range(3).toDF("k")
+    assert chartdata.chart_worst_columns(df, spark.createDataFrame([], "place int, column_name string")).collect() == []
