@@ -272,7 +272,8 @@ def rate(docs: DataFrame, *, width: float = 3.0, least: float = 6.0, steady: int
     chosen = docs.select(docs["lang"].cast("string").alias("__lang"), text_column(docs).alias("__text"), "doc_id", *(docs[c] for c in keep))
     among = lambda langs: F.col("__lang").isin([x for x in langs if x is not None]) | (F.col("__lang").isNull() if None in langs else F.lit(False))
     extra = [*names[2:], "lang", "row", *MEASURES, "n_points", "logp"]
-    schema = chosen.select(*names[2:], F.col("__lang").alias("lang"), F.lit(0).cast("long").alias("row"), *(F.lit(0).cast("long").alias(m) for m in MEASURES), F.lit(0).cast("long").alias("n_points"), F.lit(0.0).alias("logp")).schema
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    schema = chosen.select(*names[2:], none("lang", "string"), none("row", "long"), *(none(m, "long") for m in MEASURES), none("n_points", "long"), none("logp", "double")).schema
 
     def scorer(models):
         def run(batches):
@@ -304,7 +305,7 @@ def rate(docs: DataFrame, *, width: float = 3.0, least: float = 6.0, steady: int
     rated = cut(scored.withColumn("log_perplexity", F.when(F.col("n_words") > 0, -F.col("logp") / F.col("n_words"))).drop("row", "n_points", "logp"), "quality")
 
     middle = _quantiles(rated, F.col("log_perplexity"), {"middle": 0.5}, 1000)
-    spread = F.sqrt(1 / F.col("n_words") + 1 / F.lit(steady))
+    spread = F.when(F.col("n_words") > 0, F.sqrt(1 / F.col("n_words") + 1 / F.lit(steady)))
     away = rated.join(middle, rated["lang"].eqNullSafe(middle["lang"]), "left").drop(middle["lang"])
     away = away.withColumn("deviation", (F.col("log_perplexity") - F.col("middle")) / spread).drop("middle")
     ends = _quantiles(away, F.col("deviation"), {"q1": 0.25, "q3": 0.75}, 100)
