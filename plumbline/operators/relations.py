@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, kind, of_kind, share
@@ -32,7 +32,11 @@ def corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
     pairs = list(combinations(range(len(names)), 2))
-    found = values.agg(*[F.corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    # the built-in pair aggregates skip rows with a gap; a constant side has no correlation
+    def corr(x: str, y: str) -> Column:
+        return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+    found = values.agg(*[corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs])
     one = [F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs]
     return found.select(F.inline(F.array(*one)))
 
