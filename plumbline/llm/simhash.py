@@ -160,13 +160,13 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 3, bucket: int = 128)
 
 def drop_near_duplicates(docs: DataFrame, *, words_each: int = 3, bucket: int = 128) -> DataFrame:
     """One document of each component: the one with the smallest doc_id (of equal ones, the smallest fingerprint)."""
-    mark = "__fp"
-    if mark in docs.columns:
-        raise ValueError(f"{mark} is a reserved column name")
-    hashed = cut(fingerprints(docs, words_each, tuple(docs.columns), mark), "dedup-docs")
+    mark, row = "__fp", "__row"
+    if {mark, row} & set(docs.columns):
+        raise ValueError(f"{mark} and {row} are reserved column names")
+    hashed = fingerprints(docs, words_each, tuple(docs.columns), mark).withColumn(row, F.monotonically_increasing_id())
+    hashed = cut(hashed, "dedup-docs")  # written, so a row keeps its number
     labels = cut(_labels(hashed.select(F.col(mark).alias("fp")), bucket), "dedup-labels")
-    each = cut(hashed.groupBy(mark).agg(F.min("doc_id").alias("first")), "dedup-first").join(labels, F.col(mark) == labels["fp"])
-    best = each.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best"))
-    best = cut(best.select(F.col("best.first").alias("__id"), F.col("best.fp").alias("__best")), "dedup-best")
-    kept = hashed.join(best, (hashed[mark] == best["__best"]) & hashed["doc_id"].eqNullSafe(best["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", mark, row)).alias("first")
+    each = cut(hashed.groupBy(mark).agg(first), "dedup-first").join(labels, F.col(mark) == labels["fp"])
+    best = each.groupBy("label").agg(F.min("first").alias("best")).select(F.col(f"best.{row}").alias(row))
+    return hashed.join(cut(best, "dedup-best"), row, "left_semi").select(*docs.columns)
