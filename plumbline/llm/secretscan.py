@@ -28,7 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # The weak parts.
 WEAK_ID = re.compile(r"(?<![A-Z0-9])(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{16}(?![A-Z0-9])")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+# An '=' before the characters assigns them; after them it is padding, unless more follows and they are a name themselves.
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com")
 BREAK = re.compile(r"\n[ \t\r]*\n")
 
