@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one on toxic and one on ordinary documents. Both end with the
-same base (trained on ordinary text), so that ordinary words compress alike with either; what they differ in are
-segments that are unusual for ordinary text, taken from toxic and from ordinary documents. Each word is a frame of its
+Two zstandard dictionaries are trained on labelled text. Both begin with the same base (trained on ordinary words), so
+that these compress alike with either; the toxic one goes on with all segments of words that toxic documents hold several
+times as often as ordinary ones, which the base leaves out. Each word is a frame of its
 own, so its two lengths depend on nothing else and a worker remembers them; the compression lengths of a window are the
 sums over its ``window`` words. Windows count where the ordinary length exceeds the toxic one by a threshold calibrated on
 documents that trained neither dictionary, and a logistic curve, fitted on the same ones, turns the counts into a score.
@@ -17,6 +17,7 @@ is the share of toxic labels (0 without labels); an empty table gives no rows; o
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,26 +46,46 @@ def _grams(data: bytes) -> np.ndarray:
     return key
 
 
-def known_grams(texts: list[str]) -> np.ndarray:
-    """Sorted byte 5-grams of the texts, words led and followed by one space."""
-    lines = (b" " + b" ".join(words(t)) + b" " for t in texts)
-    return np.unique(np.concatenate([np.zeros(1, np.int64), *map(_grams, lines)]))
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted byte 5-grams of the texts, words led and followed by one space, how often each is and in how many texts."""
+    each = [np.unique(_grams(b" " + b" ".join(words(t)) + b" "), return_counts=True) for t in texts]
+    grams, at = np.unique(np.concatenate([np.empty(0, np.int64), *[g for g, _ in each]]), return_inverse=True)
+    times = np.concatenate([np.empty(0, np.int64), *[n for _, n in each]])
+    return grams, np.bincount(at, weights=times, minlength=len(grams)), np.bincount(at, minlength=len(grams))
 
 
-def unusual(texts: list[str], known: np.ndarray, size: int, min_docs: int = 3) -> bytes:
-    """Dictionary content: segments of words whose byte 5-grams are all unknown, those in most documents last (zstandard
+def telling(texts: list[str], others: list[str], ratio: float, min_docs: int = 3, min_share: float = 0.03) -> np.ndarray:
+    """Sorted byte 5-grams that occur ``ratio`` times as often in the texts as in the same amount of other text, or more,
+    in ``ratio`` / 2 times the share of documents, and in enough of them. Two occurrences are added to the expected ones
+    and half a document to each count: a few chance ones neither make nor exclude a gram."""
+    (own, n, docs), (grams, m, other_docs) = gram_counts(texts), gram_counts(others)
+    there, in_others = np.zeros(len(own)), np.zeros(len(own))
+    if len(grams) and len(own):
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        same = grams[at] == own
+        there, in_others = np.where(same, m[at], 0) * (n.sum() / m.sum()), np.where(same, other_docs[at], 0)
+    lift = (docs + 0.5) / (len(texts) + 1) * (len(others) + 1) / (in_others + 0.5)
+    return own[(docs >= max(min_docs, min_share * len(texts))) & (n >= ratio * (there + 2)) & (lift >= ratio / 2)]
+
+
+def segments(texts: list[str], others: list[str], size: int, ratio: float, min_docs: int = 3) -> list[bytes]:
+    """Dictionary content: segments of words whose byte 5-grams are all telling, those in most documents last (zstandard
     reaches the end of a dictionary most cheaply)."""
+    known = telling(texts, others, ratio, min_docs)
+    if not len(known):
+        return []
+    cut: dict[bytes, list[bytes]] = {}
     docs: dict[bytes, int] = {}
     for text in texts:
         own = set()
         for word in set(words(text)):
-            word = b" " + word + b" "
-            g = _grams(word)
-            if not len(g):
-                continue
-            new = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] != g
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], new.view(np.int8), [0]])))
-            own.update(word[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+            if word not in cut:
+                line = b" " + word + b" "
+                g = _grams(line)
+                hit = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                cut[word] = [line[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+            own.update(cut[word])
         for segment in own:
             docs[segment] = docs.get(segment, 0) + 1
     out, room = [], size
@@ -72,7 +93,7 @@ def unusual(texts: list[str], known: np.ndarray, size: int, min_docs: int = 3) -
         if len(segment) <= room and not any(segment in o for o in out):
             out.append(segment)
             room -= len(segment)
-    return b"".join(reversed(out))
+    return out[::-1]
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -91,7 +112,7 @@ class Gains(dict):
         self.limit = limit
         # Indexes every position of a dictionary (quicker parsers skip some) and leaves literals as they are (stronger ones code them).
         params = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=15, hash_log=13, chain_log=13, search_log=6,
+            strategy=zstandard.STRATEGY_LAZY2, min_match=GRAM, window_log=15, hash_log=15, chain_log=15, search_log=6,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
@@ -126,8 +147,8 @@ class Judge:
         return np.add.reduceat(each, np.arange(0, len(each), self.window)) if len(each) else each
 
     def features(self, gains: np.ndarray) -> np.ndarray:
-        """How many windows reach the threshold and each of the steps above it, in all and among the document's."""
-        hits = np.array([(gains >= self.threshold + i).sum() for i in range(STEPS)], dtype=np.float64)
+        """How many windows reach each step up to some above the threshold, in all and among the document's."""
+        hits = np.array([(gains >= i).sum() for i in range(self.threshold, self.threshold + STEPS)], dtype=np.float64)
         return np.concatenate([[1.0], np.log1p(hits), 10 * np.minimum(0.3, hits / max(1, len(gains)))])
 
     def score(self, gains: np.ndarray) -> float:
@@ -147,15 +168,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.
     return w
 
 
-def learn(toxic: list[str], ordinary: list[str], share: float, *, window: int, dict_bytes: int, base_bytes: int, false_share: float) -> Judge:
+def learn(toxic: list[str], ordinary: list[str], share: float, *, window: int, dict_bytes: int, base_bytes: int, false_share: float, ratio: float = 4.0) -> Judge:
     """Fit on the even, calibrate on the odd documents of each class, weighted to the ``share`` of toxic labels."""
     fit_t, fit_o = toxic[::2], ordinary[::2]
-    half = len(fit_o) // 2
-    split = [words(t) for t in fit_o[:half] or fit_o]
+    own = segments(fit_t, fit_o, dict_bytes, ratio)
+    # The base is of words without toxic segments: what both dictionaries hold shows no difference.
+    marked = re.compile(b"|".join(map(re.escape, own)) or b"(?!)")
+    split = [[w for w in words(t) if not marked.search(b" " + w + b" ")] for t in fit_o]
     lines = [b" ".join(w[i : i + 16]) for w in split for i in range(0, len(w), 16)]
     base = dictionary(lines, base_bytes)
-    own = unusual(fit_o[half:], known_grams(fit_o[:half]), dict_bytes)
-    judge = Judge(own + base, unusual(fit_t, known_grams(fit_o), dict_bytes) + base, 1, (), window)
+    judge = Judge(base, base + b"".join(own), 1, (), window)
     of = judge.open()
     held = [(judge.gains(t, of), y) for texts, y in ((toxic[1::2], 1.0), (ordinary[1::2], 0.0)) for t in texts]
     plain = np.concatenate([g for g, y in held if not y] or [np.zeros(1, np.int64)])
@@ -195,7 +217,7 @@ def toxicity(
     *,
     threshold: float = 0.7,
     window: int = 2,
-    dict_bytes: int = 1024,
+    dict_bytes: int = 16384,
     base_bytes: int = 8192,
     false_share: float = 0.005,
     **bounds,

@@ -55,3 +55,14 @@ def test_without_both_classes(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.toxicity(frame(spark, rows(1, 5)), labels).collect()} == {0.0}
     assert toxicity.toxicity(frame(spark, []), labels).collect() == []
+
+
+def test_quoting_documents_do_not_hide_markers():
+    """Ordinary documents that quote the toxic words exclude none from the dictionary, which is fitted on the even ones."""
+    made, marks = labelled()
+    texts = [[m[1] for m, (_, _, t) in zip(made, marks, strict=True) if t == kind] for kind in (1, 0)]
+    texts[1][:20:2] = [t + " " + " ".join(BAD) for t in texts[1][:20:2]]
+    judge = toxicity.learn(*texts, 0.3, window=2, dict_bytes=16384, base_bytes=8192, false_share=0.005)
+    of = judge.open()
+    found = [[judge.score(judge.gains(t, of)) >= 0.7 for t in own] for own in (texts[0], texts[1][20:])]
+    assert sum(found[0]) >= 0.9 * len(found[0]) and sum(found[1]) <= 0.02 * len(found[1])
