@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import toxicity
 from tests.llm.cases import frame, rows, texts
 
@@ -66,3 +68,16 @@ def test_quoting_documents_do_not_hide_markers():
     of = judge.open()
     found = [[judge.score(judge.gains(t, of)) >= 0.7 for t in own] for own in (texts[0], texts[1][20:])]
     assert sum(found[0]) >= 0.9 * len(found[0]) and sum(found[1]) <= 0.02 * len(found[1])
+
+
+def test_a_long_document_does_not_end_the_sample(spark):
+    """The document that comes first in the order of the sample is longer than all that may be read."""
+    made, marks = labelled(200)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    may = labels.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1 AND toxic = 0")
+    first = may.orderBy(F.xxhash64(F.lit(11), "doc_id")).first()["doc_id"]
+    made[first] = (first, "plain words only " * 30_000, *made[first][2:])
+    judge, _ = toxicity.train(
+        frame(spark, made), labels, train_chars=400_000, window=2, dict_bytes=16384, base_bytes=8192, false_share=0.005
+    )
+    assert judge is not None
