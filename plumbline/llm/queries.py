@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archive, mixing, packing, quality, secretscan, simhash, substring, tokencount, topk, toxicity
+from plumbline.llm import archive, forest, mixing, packing, quality, secretscan, simhash, substring, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,9 @@ r AS (
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
   sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)"""
+
+
+@query
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = forest.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return forest.neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
