@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archive, forest, mixing, packing, quality, secretscan, simhash, substring, tokencount, topk, toxicity
+from plumbline.llm import archive, forest, mixing, packing, quality, repair, secretscan, simhash, substring, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,8 @@ FROM w LEFT JOIN k USING (doc_id)"""
 def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = forest.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return forest.neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
