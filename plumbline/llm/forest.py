@@ -10,7 +10,8 @@ the longest norm, so that near in the tree means a large inner product.
 
 What is bounded, and how: the sample for the planes (``sample_rows`` rows, at most ``sample_bytes``), hence the planes
 that reach the tasks, and the ``probes`` queries. All rows are in every tree and all queries are answered. Leaves lie in shards
-(subtrees of about ``shard_rows`` rows, larger ones sliced); a task holds one slice and streams the queries past it.
+(subtrees of about ``shard_rows`` rows, larger ones sliced); a task holds one slice and streams the queries past it, and
+returns what can still be among a query's best: twice the wanted rank among the sampled rows sets a floor.
 
 Defined cases: vectors that are NULL, empty, zero or hold NULL or non-finite components, and rows without vec_id, take
 no part; a vector meets those of its own length; rows with the query's vec_id are the query's own and never its
@@ -45,6 +46,7 @@ class Forest:
     offsets: np.ndarray  # trees x nodes
     scale: float
     longest: float
+    sample: np.ndarray  # the rows that the planes were found on
     sizes: np.ndarray = field(default_factory=lambda: np.empty(0))  # trees x leaves
     shard_bits: int = 0
     budget: float = np.inf
@@ -90,6 +92,14 @@ class Forest:
         order = np.argsort(np.hstack(waits), axis=1, kind="stable")
         return order, np.cumsum(self.sizes.reshape(-1)[order], axis=1)
 
+    def floors(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """A score that each query's kth best surely reaches: twice that rank among the sampled rows."""
+        n = len(self.sample)
+        if n < 2 * k:
+            return np.full(len(queries), -np.inf)
+        best = np.partition(queries @ self.sample.T, n - 2 * k, axis=1)[:, n - 2 * k]
+        return best - 1e-9 * (1 + np.abs(best))
+
     def visits(self, queries: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """(query, tree, shard, its leaves) until a query's leaves hold the budget."""
         order, met = self.queue(queries)
@@ -185,11 +195,15 @@ def fit(classes: DataFrame, n: int, *, trees: int, leaf_rows: int, sample_rows:
     dealt = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     # Every tree has one group of the sample's size, whatever the size of the table.
     found = dealt.groupBy("dim", "tree").applyInArrow(run, "dim int, tree int, node int, plane array<float>, at double").toArrow()
+    if not found.num_rows:
+        return {}
+    rows = drawn.filter(F.col("dim").isin(sorted(set(found["dim"].to_pylist())))).select("dim", "v").toArrow()
     out = {}
     for d in sorted(set(found["dim"].to_pylist())):
+        sample = rows.filter(pc.equal(rows["dim"], d))
         own = found.filter(pc.equal(found["dim"], d)).sort_by([("tree", "ascending"), ("node", "ascending")])
         planes = own["plane"].combine_chunks().flatten().to_numpy().reshape(trees, -1, d + 1)
-        out[d] = Forest(planes, own["at"].to_numpy().reshape(trees, -1), most, longest[d])
+        out[d] = Forest(planes, own["at"].to_numpy().reshape(trees, -1), most, longest[d], matrix(sample["v"], sample.num_rows))
     return out
 
 
@@ -242,7 +256,8 @@ def calibrate(classes: DataFrame, routed: DataFrame, queries: DataFrame, forests
         if own:
             at = np.array([place[r["query_id"]] for r in own])
             cells = np.array([r["leaves"] for r in own]) + np.arange(forest.trees) * forest.leaves
-            forest.budget = float(np.quantile(where[at[:, None], cells].min(axis=1), target, method="higher"))
+            needed = float(np.quantile(where[at[:, None], cells].min(axis=1), target, method="higher"))
+            forest.budget = max(needed, forest.trees * (k + 1))  # so many rows of all trees hold k + 1 different ones
 
 
 def neighbours(
@@ -304,14 +319,15 @@ def neighbours(
     shared = spark.sparkContext.broadcast(forests)
     KEY = ["dim", "tree", "shard", "slice"]
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch], floors: bool) -> Iterator[pa.RecordBatch]:
         for d, batch in _batches(batches, 256):
-            forest = shared.value.get(d)
-            found = list(forest.visits(matrix(batch["v"], batch.num_rows))) if forest else [(q, 0, 0, np.zeros(1, np.int64)) for q in range(batch.num_rows)]
+            forest, queries = shared.value.get(d), matrix(batch["v"], batch.num_rows)
+            floor = forest.floors(queries, k + 1) if forest and floors else np.full(len(queries), -np.inf)
+            found = list(forest.visits(queries)) if forest else [(q, 0, 0, np.zeros(1, np.int64)) for q in range(batch.num_rows)]
             rows = [(q, t, s, c, leaves) for q, t, s, leaves in found for c in range(forest.slices.get((t, s), 1) if forest else 1)]
             q = pa.array([r[0] for r in rows], pa.int64())
             columns = {"dim": pa.array([d] * len(rows), pa.int32())} | {c: pa.array([r[i] for r in rows], pa.int32()) for i, c in enumerate(KEY[1:], 1)}
-            yield pa.record_batch(columns | {"id": batch["vec_id"].take(q), "leaves": pa.array([r[4].astype(np.int32) for r in rows], pa.list_(pa.int32())), "v": batch["v"].take(q)})
+            yield pa.record_batch(columns | {"id": batch["vec_id"].take(q), "leaves": pa.array([r[4].astype(np.int32) for r in rows], pa.list_(pa.int32())), "v": batch["v"].take(q), "floor": pa.array(floor).take(q)})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a slice come first, then the queries that visit it."""
@@ -344,6 +360,7 @@ def neighbours(
             if a < b:
                 who = by[wanted == one]
                 scores[who, a:b] = queries[who] @ rows[a:b].T
+        scores[scores < batch["floor"].to_numpy()[:, None]] = -np.inf
         place, found, score = best_of(queries, rows, ids, scores, k + 1)
         yield pa.record_batch({"query_id": batch["id"].to_numpy()[place], "class_id": found, "score": score})
 
@@ -352,15 +369,24 @@ def neighbours(
     placed = routed.select("dim", F.posexplode("leaves").alias("tree", "leaf"), "class_id", "v").withColumn("shard", F.call_function("shiftright", F.col("leaf"), bits))
     crowded = F.broadcast(spark.createDataFrame(sliced, "dim int, tree int, shard int, slices int"))  # at most trees * MAX_LEAVES a length
     placed = placed.join(crowded, ["dim", "tree", "shard"], "left").withColumn("slice", F.pmod(F.xxhash64("class_id"), F.coalesce("slices", F.lit(1))).cast("int"))
-    stored = placed.select(*KEY, F.lit(0).alias("asks"), F.col("class_id").alias("id"), F.array("leaf").alias("leaves"), "v")
-    visits = asked.mapInArrow(visit, f"dim int, tree int, shard int, slice int, id long, leaves array<int>, v array<{component}>")
-    visits = visits.select(*KEY, F.lit(1).alias("asks"), "id", "leaves", "v")
-    met = stored.unionByName(visits).repartition(4 * shuffle_partitions(spark), *KEY).sortWithinPartitions(*KEY, "asks")
-    hits = met.mapInArrow(search, "query_id long, class_id long, score double").distinct()
+    stored = placed.select(*KEY, F.lit(0).alias("asks"), F.col("class_id").alias("id"), F.array("leaf").alias("leaves"), "v", F.lit(None).cast("double").alias("floor"))
 
     def ranked(*ties: str):
         return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)).cast("int")
 
-    top = hits.withColumn("rank", ranked("class_id")).filter(F.col("rank") <= k + 1).drop("rank")
+    def top_of(some: DataFrame, floors: bool) -> DataFrame:
+        """The best k + 1 classes found of some queries, written; with ``floors`` only what reaches a query's floor."""
+        visits = some.mapInArrow(lambda batches: visit(batches, floors), f"dim int, tree int, shard int, slice int, id long, leaves array<int>, v array<{component}>, floor double")
+        visits = visits.select(*KEY, F.lit(1).alias("asks"), "id", "leaves", "v", "floor")
+        met = stored.unionByName(visits).repartition(4 * shuffle_partitions(spark), *KEY).sortWithinPartitions(*KEY, "asks")
+        hits = met.mapInArrow(search, "query_id long, class_id long, score double").distinct()
+        return cut(hits.withColumn("rank", ranked("class_id")).filter(F.col("rank") <= k + 1).drop("rank"), "forest-hits")
+
+    top = top_of(asked, True)
+    # A query may have missed so many sampled rows that too few reach its floor: it is asked again without one.
+    full = top.groupBy("query_id").count().filter(F.col("count") > k)
+    short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
+    if forests and not short.isEmpty():
+        top = top.join(short, top["query_id"] == short["vec_id"], "left_anti").unionByName(top_of(short, False))
     near = top.join(members, "class_id").filter(F.col("vec_id") != F.col("query_id"))
     return near.withColumn("rank", ranked("vec_id")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
