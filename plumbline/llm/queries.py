@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archive, forest, mixing, packing, quality, repair, secretscan, simhash, substring, tokencount, topk, toxicity
+from plumbline.llm import archive, forest, mixing, packing, quality, repair, secretscan, simhash, substring, tokencount, topk, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,44 @@ def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.nodes(trie.prefixes(trie.rebuilt(own)))
+
+
+SQL["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+i AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda j: ascii(substr(s, j::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+  ), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)
+), r AS (
+  SELECT i.conv_id, 0 AS part, o.pos, o.k, o.words FROM i JOIN o ON o.conv_id = i.base AND o.pos <= i.h
+  UNION ALL SELECT o.conv_id, 1, o.pos, o.k, o.words FROM o JOIN i USING (conv_id) WHERE o.pos > i.h
+), s AS (SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, words, sha256(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM s
+  UNION ALL SELECT conv_id, 0, 0, '' FROM i
+), q AS (
+  SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(path) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS last FROM p
+), n AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, any_value(words) AS words, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM q GROUP BY path
+), c AS (SELECT parent AS path, count(*) AS n_children FROM n GROUP BY parent),
+m AS (
+  SELECT q.path, sum((n.n_convs - 1) * n.words) AS saved, sum(CASE WHEN c.path IS NULL THEN 1 ELSE 0 END) AS n_leaves
+  FROM n LEFT JOIN c USING (path) JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  CAST(m.n_leaves AS BIGINT) AS n_leaves, CAST(m.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN c USING (path) JOIN m USING (path) LEFT JOIN n u ON u.path = n.parent"""
