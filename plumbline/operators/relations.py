@@ -6,13 +6,15 @@ All pairs of a request share one scan: every row is turned into one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, kind, of_kind, share
+from plumbline.functions.comoments import CoMoments
 from plumbline.operators.stats import distinct_stats, mean_text_length
 
 PAIR = ["col1", "col2"]
@@ -25,20 +27,30 @@ CONTEXT_NAME = r"name|title|desc|label|product|fund"
 
 # ----------------------------------------------------------------- correlation
 def corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(col_a, col_b, corr): Pearson over rows where both are present, each unordered
-    pair once, all pairs in one aggregate."""
+    """(col_a, col_b, corr): Pearson over rows where both are present, each unordered pair once; NULL where a side is
+    constant on these rows, NaN where one of them is infinite.
+
+    A task fills one ``CoMoments`` buffer for all pairs by matrix products. The buffers, one row a task, are merged in
+    two steps, by as many tasks as a shuffle has and then by one. No code is generated per pair, and no data row moves.
+    """
     names = list(names if names is not None else of_kind(df, "numeric"))
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     values = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
-    pairs = list(combinations(range(len(names)), 2))
-    # the built-in pair aggregates skip rows with a gap; a constant side has no correlation
-    def corr(x: str, y: str) -> Column:
-        return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
-
-    found = values.agg(*[corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    one = [F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"), F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs]
-    return found.select(F.inline(F.array(*one)))
+    width = len(names)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield CoMoments.of_values(width, batches).packed()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield CoMoments.merged(width, batches).packed()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield CoMoments.merged(width, batches).correlations(names)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = values.mapInArrow(fill, CoMoments.SHAPE).repartition(tasks).mapInArrow(merge, CoMoments.SHAPE)
+    return parts.repartition(1).mapInArrow(measure, "col_a string, col_b string, corr double")
 
 
 def full_corr_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pandas as pd
 
+from plumbline.functions.comoments import CoMoments
 from plumbline.operators import relations as rel
 
 RNG = np.random.default_rng(2)
@@ -68,3 +70,55 @@ def test_candidates_and_context(spark):
     assert {r["column_name"] for r in rel.select_candidates(df, include_numeric=False).collect()} == {"user_id", "colour"}
     ranked = [(r["column_name"], r["score"]) for r in rel.rank_context_columns(df, "colour").collect()]
     assert ranked == [("title", 2.5), ("note", 1.5), ("user_id", 0.5)]
+
+
+def pair_by_pair(values):
+    """Pearson over the complete rows of every pair, two passes."""
+    out = {}
+    for i in range(values.shape[1]):
+        for j in range(i + 1, values.shape[1]):
+            both = values[~np.isnan(values[:, i]) & ~np.isnan(values[:, j])][:, [i, j]]
+            x, y = (both - both.mean(axis=0)).T if len(both) else (np.zeros(0), np.zeros(0))
+            constant = not len(both) or (both == both[0]).all(axis=0).any()
+            out[i, j] = None if constant else float((x * y).sum() / np.sqrt((x**2).sum()) / np.sqrt((y**2).sum()))
+    return out
+
+
+def test_correlation_of_a_hundred_columns(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(700, 100))
+    base[:, 1:50] += base[:, :1]
+    base[:, 3] = 1e9 + 1e-3 * base[:, 2]  # small spread far from 0
+    base[:, 5] = 7.25
+    base[rng.random(base.shape) < 0.2] = np.nan
+    base[:, 6] = np.nan
+    base[:, 7] = np.where(np.arange(700) < 3, 1.0, np.nan)
+    base[:, 8] = np.where(np.isnan(base[:, 9]), rng.normal(size=700), 0.1)  # constant where the next one is present
+    df = spark.createDataFrame(pd.DataFrame(base, columns=[f"c{i}" for i in range(100)])).repartition(7)
+    got = {(int(r["col_a"][1:]), int(r["col_b"][1:])): r["corr"] for r in rel.corr_matrix(df).collect()}
+    want = pair_by_pair(base)
+    assert set(got) == set(want) and len(got) == 4950
+    for pair, value in want.items():
+        assert (got[pair] is None) == (value is None), pair
+        assert value is None or math.isclose(got[pair], value, abs_tol=1e-6 if 3 in pair else 1e-9), pair
+
+
+def test_correlation_of_infinite_and_no_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 4.5, float("inf")), (4.0, 7.0, 3.0), (5.0, 1.0, None)], "a double, b double, c double")
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in rel.corr_matrix(df).collect()}
+    assert math.isnan(got["a", "c"]) and math.isnan(got["b", "c"]) and math.isclose(got["a", "b"], np.corrcoef([1, 2, 4, 5], [2, 4.5, 7, 1])[0, 1])
+    assert {r["corr"] for r in rel.corr_matrix(df.limit(0)).collect()} == {None}
+
+
+def test_correlation_buffers_merge_in_any_order():
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=(300, 4)) + 50
+    values[rng.random(values.shape) < 0.3] = np.nan
+    whole, parts = CoMoments(4), [CoMoments(4) for _ in range(3)]
+    whole.add(values)
+    for part, own in zip(parts, np.array_split(values, 3)):
+        part.add(own)
+    merged = CoMoments(4)
+    for part in reversed(parts):
+        merged.merge(part.start, part.n, part.mean, part.squares, part.products)
+    assert np.allclose(merged.products, whole.products) and np.allclose(merged.squares, whole.squares) and (merged.n == whole.n).all()
