@@ -7,6 +7,7 @@ values cost one row, and from running totals inside value ranges
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -660,14 +661,19 @@ def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
     long = numeric_long(labelled, names, keep=[SEGMENT]).withColumnRenamed(SEGMENT, "segment")
     cuts: Cuts = numeric_cuts(long.select("column_name", "value"))
     counts = long.groupBy("column_name", "segment", "value").agg(F.count("*").alias("n"))
-    column_counts = counts.groupBy("column_name", "value").agg(F.sum("n").alias("t"))
-    overall = running_totals(column_counts, ["column_name"], ["t"], cuts)
     kept = counts.filter(F.col("segment").isNotNull())
-    grouped = running_totals(kept, ["column_name", "segment"], ["n"], cuts).withColumn(
-        "ranks", F.expr(wanted_ranks(DECILES, "total_n"))
-    )
-    held = with_held_ranks(grouped, "ranks", "cum_n - n", "cum_n", len(DECILES))
-    both = held.join(overall, ["column_name", "value"])
+    keys = ["column_name", "segment"]
+    grouped = running_totals(kept, keys, ["n"], cuts)
+    ranked = grouped.withColumn("ranks", F.expr(wanted_ranks(DECILES, "total_n")))
+    held = with_held_ranks(ranked, "ranks", "cum_n - n", "cum_n", len(DECILES))
+    deciles = held.groupBy(*keys).agg(F.max("total_n").alias("baseline_n"), collected_ranks().alias("at"))
+    edged = deciles.select(*keys, bin_edges(quantiles_at(DECILES, "at", "baseline_n")).alias("edges"))
+    # One running total over all rows serves both the gaps and the bins: the groups' edges, at most 11 each, are marks in it.
+    edges = edged.select(*keys, F.posexplode("edges").alias("place", "value"))
+    marks = edges.select("column_name", "value", F.lit(0).cast("bigint").alias("n"))
+    column_counts = counts.select("column_name", "value", "n").unionByName(marks).groupBy("column_name", "value").agg(F.sum("n").alias("t"))
+    overall = running_totals(column_counts, ["column_name"], ["t"], cuts)
+    both = grouped.join(overall, ["column_name", "value"])
     target_n = F.col("total_t") - F.col("total_n")
 
     # between two values of the group only the rest moves, so the gap is widest
@@ -677,40 +683,21 @@ def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
 
     at = gap(F.col("cum_n"), F.col("cum_t"))
     before = gap(F.col("cum_n") - F.col("n"), F.col("cum_t") - F.col("t"))
-    measured = both.groupBy("column_name", "segment").agg(
-        F.max(F.greatest(at, before)).alias("ks_stat"),
-        F.max("total_n").alias("baseline_n"),
-        F.max(target_n).alias("target_n"),
-        collected_ranks().alias("at"),
-    ).withColumn("edges", bin_edges(quantiles_at(DECILES, "at", "baseline_n"))).drop("at")
-    # At most 11 edges a group. Both running totals are read at the edges: a bin is the difference of its two ends.
-    edges = measured.select("column_name", "segment", F.posexplode("edges").alias("place", "value"))
-    top = F.max("place").over(Window.partitionBy("column_name", "segment"))
-    edges = edges.withColumn("closed", F.col("place") == top)
-
-    def below(table: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-        """Rows of ``table`` below each edge, up to it for a group's last one."""
-        marks = edges.select(*keys, "value", F.lit(0).cast("bigint").alias(count)).distinct()
-        merged = table.select(*keys, "value", count).unionByName(marks).groupBy(*keys, "value").agg(F.sum(count).alias(count))
-        return running_totals(merged, keys, [count], cuts).select(*keys, "value", F.col(f"cum_{count}").alias(f"upto_{count}"), (F.col(f"cum_{count}") - F.col(count)).alias(f"below_{count}"))
-
-    read = edges.join(below(column_counts, ["column_name"], "t"), ["column_name", "value"])
-    read = read.join(below(kept, ["column_name", "segment"], "n"), ["column_name", "segment", "value"])
-    own = F.when(F.col("closed"), F.col("upto_n")).otherwise(F.col("below_n"))
-    everyone = F.when(F.col("closed"), F.col("upto_t")).otherwise(F.col("below_t"))
-    step = Window.partitionBy("column_name", "segment").orderBy("place")
+    measured = both.groupBy(*keys).agg(
+        F.max(F.greatest(at, before)).alias("ks_stat"), F.max("total_n").alias("baseline_n"), F.max(target_n).alias("target_n")
+    )
+    # A group's own rows are binned at its edges; of all rows a bin holds the difference of the totals at its two ends.
+    own = kept.join(edged, keys).groupBy(*keys, bin_of("value", "edges").alias("bin")).agg(F.sum("n").alias("e"))
+    step = Window.partitionBy(*keys).orderBy("place")
+    read = edges.join(overall.select("column_name", "value", "t", "cum_t"), ["column_name", "value"])
+    closed = F.lead("place").over(step).isNull()  # the last edge takes the rows at it
+    ends = read.select(*keys, "place", F.when(closed, F.col("cum_t")).otherwise(F.col("cum_t") - F.col("t")).alias("everyone"))
     # A constant column's edges are equal: its rows lie in the last bin.
-    bins = read.select("column_name", "segment", "place", own.alias("own"), everyone.alias("everyone")).select(
-        "column_name",
-        "segment",
-        (F.col("place") - 1).alias("bin"),
-        (F.col("own") - F.lag("own").over(step)).alias("e"),
-        (F.col("everyone") - F.lag("everyone").over(step)).alias("all_in"),
-    ).filter("bin >= 0 AND all_in > 0")
-    per_bin = bins.join(measured.drop("edges"), ["column_name", "segment"]).withColumn("a", F.col("all_in") - F.col("e"))
-    carried = ["ks_stat", "baseline_n", "target_n"]
-    measured = _psi_of_bins(per_bin, ["column_name", "segment"], carried)
-    return measured.filter((F.col("baseline_n") > 0) & (F.col("target_n") > 0)).select(
+    bins = ends.select(*keys, (F.col("place") - 1).alias("bin"), (F.col("everyone") - F.lag("everyone").over(step)).alias("all_in")).filter("bin >= 0 AND all_in > 0")
+    filled = bins.join(own, [*keys, "bin"], "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    per_bin = filled.join(measured, keys).withColumn("a", F.col("all_in") - F.col("e"))
+    indexed = _psi_of_bins(per_bin, keys, ["ks_stat", "baseline_n", "target_n"])
+    return indexed.filter((F.col("baseline_n") > 0) & (F.col("target_n") > 0)).select(
         "column_name",
         "segment",
         F.lit("numeric_segment").alias("type"),
@@ -726,34 +713,55 @@ def _numeric_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _category_segments(labelled: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Chi-square and index of each group against the rest from the observed (group, category) rows alone.
+
+    With n rows of a category in the group, t in all, B and T rows in the group and the rest, N = B + T, both measures
+    are sums over categories. A category that the group lacks has n = 0, so its terms depend on t alone: their sum is
+    the column's total less that of the observed categories, and no row stands for it.
+    """
     long = unpivot_values(labelled, names, as_text, keep=[SEGMENT]).withColumnRenamed(SEGMENT, "segment").filter(F.col("value").isNotNull())
     counts = long.groupBy("column_name", "segment", "value").agg(F.count("*").alias("n"))
     column_counts = counts.groupBy("column_name", "value").agg(F.sum("n").alias("t"))
-    segments = (
-        counts.filter(F.col("segment").isNotNull())
-        .select("column_name", "segment")
-        .distinct()
-    )
-    # a category that a group lacks still counts in its test: one row per group and category of the result's own table
-    spread = column_counts.join(segments, "column_name")
-    sides = spread.join(counts, ["column_name", "segment", "value"], "left").select(
-        "column_name",
-        "segment",
-        "value",
-        F.coalesce("n", F.lit(0)).alias("nb"),
-        (F.col("t") - F.coalesce("n", F.lit(0))).alias("nt"),
-    )
-    measured = _category_measures(sides, ["column_name", "segment"])
-    return measured.filter((F.col("baseline_n") > 0) & (F.col("target_n") > 0)).select(
+    n, t = F.col("n").cast("double"), F.col("t").cast("double")
+    columns = column_counts.groupBy("column_name").agg(
+        F.sum("t").alias("column_n"), F.count("*").alias("kinds"), F.sum(F.log(t)).alias("all_log"), F.sum(t * F.log(t)).alias("all_tlog")
+    )
+    rest, alone = t - n, F.col("t") == F.col("n")  # alone: only this group has the category
+    ratio = F.when(~alone, F.log(n / F.nullif(rest, F.lit(0.0))))
+
+    def total(c: Column, name: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
+
+    sums = counts.filter(F.col("segment").isNotNull()).join(column_counts, ["column_name", "value"]).groupBy("column_name", "segment").agg(
+        F.sum("n").alias("own_n"), F.count("*").alias("kinds_seen"), F.sum("t").alias("rows_seen"), F.sum(n * n / t).alias("squares"),
+        total(n * ratio, "n_ratio"), total(rest * ratio, "rest_ratio"), total(F.when(~alone, n), "n_both"), total(F.when(~alone, rest), "rest_both"),
+        total(F.when(alone, n * F.log(n)), "n_log"), total(F.when(alone, F.log(n)), "log"), total(F.when(alone, n), "n_alone"), F.count_if(alone).alias("k_alone"),
+        F.sum(F.log(t)).alias("seen_log"), F.sum(t * F.log(t)).alias("seen_tlog"),
+    )
+    c = sums.join(F.broadcast(columns), "column_name").withColumn("rest_n", F.col("column_n") - F.col("own_n")).filter((F.col("own_n") > 0) & (F.col("rest_n") > 0))  # one row per column
+    B, T, N = (F.col(x).cast("double") for x in ("own_n", "rest_n", "column_n"))
+    chi2 = F.greatest(F.lit(0.0), N * N / (B * T) * (F.col("squares") - B * B / N))
+    # The index is the sum of (e - a) log(e / a) over the categories' shares e of the group and a of the rest, EPS where
+    # there are none; written out in sums for categories of both sides, of the group alone, and of the rest alone.
+    b, r, eps, log_eps = B + F.lit(EPS), T + F.lit(EPS), F.lit(EPS), F.lit(math.log(EPS))
+    both = F.col("n_ratio") / b - F.col("rest_ratio") / r + F.log(r / b) * (F.col("n_both") / b - F.col("rest_both") / r)
+    own = (F.col("n_log") - F.col("n_alone") * (F.log(b) + log_eps)) / b - eps * (F.col("log") - F.col("k_alone") * (F.log(b) + log_eps))
+    m, absent = (F.col("kinds") - F.col("kinds_seen")).cast("double"), (F.col("column_n") - F.col("rows_seen")).cast("double")
+    lacking = (
+        m * eps * log_eps - eps * (F.col("all_log") - F.col("seen_log") - m * F.log(r)) - log_eps * absent / r
+        + (F.col("all_tlog") - F.col("seen_tlog") - absent * F.log(r)) / r
+    )
+    psi = both + own + F.when(m > 0, lacking).otherwise(F.lit(0.0))
+    return c.select(
         "column_name",
         "segment",
         F.lit("categorical_segment").alias("type"),
         F.lit(None).cast("double").alias("ks_stat"),
         F.lit(None).cast("double").alias("ks_p"),
-        "chi2",
-        "dof",
-        chi2_p_value("chi2", "dof").alias("chi2_p"),
-        "psi",
-        "baseline_n",
-        "target_n",
+        chi2.alias("chi2"),
+        (F.col("kinds") - 1).alias("dof"),
+        chi2_p_value(chi2, F.col("kinds") - 1).alias("chi2_p"),
+        psi.alias("psi"),
+        F.col("own_n").alias("baseline_n"),
+        F.col("rest_n").alias("target_n"),
     )

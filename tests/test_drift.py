@@ -230,3 +230,48 @@ def test_auto_columns(spark):
     df = spark.createDataFrame([("a", 1, 2.0, 3)], "s string, i int, d double, j int")
     assert drift.auto_columns(df) == ["i", "d"]
     assert drift.auto_columns(df.select("s")) == ["s"]
+
+
+def plain_category(own, rest):
+    """chi2, dof and index over all categories of both sides, the absent ones too."""
+    names = sorted(set(own) | set(rest))
+    o = np.array([[own.count(n), rest.count(n)] for n in names], float)
+    e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+    shares = o / (o.sum(0) + 1e-8)
+    shares[o == 0] = 1e-8
+    return ((o - e) ** 2 / e).sum(), len(names) - 1, ((shares[:, 0] - shares[:, 1]) * np.log(shares[:, 0] / shares[:, 1])).sum()
+
+
+def test_absent_categories_in_closed_form(spark):
+    rng = np.random.default_rng(11)
+    group = rng.integers(0, 9, 900)
+    value = np.where(group < 3, rng.zipf(1.6, 900) % 40, rng.integers(20, 70, 900))
+    value[group == 8] = 99  # a category of one group alone
+    rows = [(None if g == 4 else f"g{g}", None if v == 33 else f"v{v}") for g, v in zip(group, value)] + [("lone", "v1")]
+    got = {r["segment"]: r for r in drift.drift_segment(spark.createDataFrame(rows, "g string, c string"), "g", ["c"]).collect()}
+    assert set(got) == {g or "__NA__" for g, _ in rows}
+    for name, r in got.items():
+        own = [v for g, v in rows if v is not None and (g or "__NA__") == name]
+        rest = [v for g, v in rows if v is not None and (g or "__NA__") != name]
+        chi2, dof, index = plain_category(own, rest)
+        assert math.isclose(r["chi2"], chi2, rel_tol=1e-9) and r["dof"] == dof and math.isclose(r["psi"], index, rel_tol=1e-9)
+        assert (r["baseline_n"], r["target_n"]) == (len(own), len(rest))
+
+
+def test_many_groups_and_categories(spark):
+    n = 100_000
+    df = spark.range(2 * n).select(F.format_string("g%d", F.col("id") % n).alias("g"), F.format_string("c%d", F.col("id") % (n - 1)).alias("c"))
+    found = drift.drift_segment(df, "g", ["c"])
+    row = found.agg(F.count("*").alias("groups"), F.min("dof").alias("dof"), F.max("baseline_n").alias("most"), F.count_if(F.col("psi").isNull()).alias("gaps")).first()
+    assert (row["groups"], row["dof"], row["most"], row["gaps"]) == (n, n - 2, 2, 0)
+
+
+def test_segments_with_few_distinct_deciles(spark):
+    rng = np.random.default_rng(12)
+    parts = {"flat": np.r_[np.zeros(400), [1.0, 2.0, 3.0]], "two": np.r_[np.zeros(50), np.ones(50)], "one": np.full(9, 2.5), "wide": rng.normal(1, 2, 300)}
+    rows = [(g, float(v)) for g, values in parts.items() for v in values]
+    got = {r["segment"]: r for r in drift.drift_segment(spark.createDataFrame(rows, "g string, v double"), "g", ["v"]).collect()}
+    for name, own in parts.items():
+        sided = drift.split_by_filter(spark.createDataFrame(rows, "g string, v double"), f"g = '{name}'")
+        want = drift.drift_population(sided, ["v"]).first()
+        assert math.isclose(got[name]["psi"], want["psi"], abs_tol=1e-9) and math.isclose(got[name]["ks_stat"], want["ks_stat"], abs_tol=1e-12)
