@@ -10,10 +10,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import replicates as replicated
 from plumbline.functions.columns import as_double, col, kind, share
+from plumbline.functions.fit_tests import chi2_p_value
 from plumbline.operators.ordering import numeric_cuts, running_totals, text_cuts, with_range
 
-BLOCKS, REPLICATES = 200, 100
+REPLICATES = 100
+NORMAL_95 = 1.959963984540054
 
 
 def category_codes(df: DataFrame, name: str) -> DataFrame:
@@ -87,55 +90,35 @@ def ate_stratified(df: DataFrame, treatment: str, outcome: str, strata: Sequence
         F.lit(treatment).alias("treatment"),
         F.lit(outcome).alias("outcome"),
         ate.alias("ate"),
-        (ate - 1.959963984540054 * error).alias("ci_low"),
-        (ate + 1.959963984540054 * error).alias("ci_high"),
+        (ate - NORMAL_95 * error).alias("ci_low"),
+        (ate + NORMAL_95 * error).alias("ci_high"),
         F.col("n").cast("bigint").alias("rows_used"),
         "strata",
     )
 
 
 def ate_interval(
-    df: DataFrame, key: str, treatment: str, outcome: str, strata: Sequence[str],
-    blocks: int = BLOCKS, replicates: int = REPLICATES, seed: int = 7,
+    df: DataFrame, key: str, treatment: str, outcome: str, strata: Sequence[str], replicates: int = REPLICATES, seed: int = 7
 ) -> DataFrame:
     """Bootstrap 95 % interval of the stratified effect.
 
-    Rows fall into key-hash blocks once; the replicates reweight the block sums
-    (Poisson weights from a hash), so the data is scanned a single time.
+    Every row gets a Poisson(1) weight per replicate from a hash of its key, so a retry or another partitioning draws
+    the same weights; rows of one key are drawn together. Tasks add up arrays of weighted counts and outcomes per
+    stratum; only these arrays are shuffled. Replicates in which no stratum has both arms are left out.
     """
-    t, y = col(treatment), col(outcome).cast("double")
-    block = F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(blocks))
-    sums = df.groupBy(block.alias("block"), *[col(s) for s in strata]).agg(
-        F.count_if(t == 1).alias("n1"), F.count_if(t == 0).alias("n0"),
-        F.coalesce(F.sum(F.when(t == 1, y)), F.lit(0.0)).alias("y1"),
-        F.coalesce(F.sum(F.when(t == 0, y)), F.lit(0.0)).alias("y0"),
-    )
-    spread = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    unit = F.pmod(F.xxhash64("replicate", "block", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    weighted = spread.withColumn("w", _poisson_one(unit))
-    per_stratum = weighted.groupBy("replicate", *strata).agg(
-        *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n1", "n0", "y1", "y0")]
-    ).filter((F.col("n1") > 0) & (F.col("n0") > 0))
-    rows = F.col("n1") + F.col("n0")
-    effects = per_stratum.groupBy("replicate").agg(
-        (F.sum(rows * (F.col("y1") / F.col("n1") - F.col("y0") / F.col("n0"))) / F.sum(rows)).alias("ate")
-    )
-    bounds = effects.agg(  # one row per replicate: exact percentiles of 100 numbers
-        F.percentile("ate", [0.025, 0.5, 0.975]).alias("p"), F.count("*").alias("replicates")
-    )
-    return bounds.select(
-        F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ate_median"), F.col("p")[2].alias("ci_high"), "replicates"
+    t = col(treatment)
+    rows = df.select(
+        F.to_json(F.struct(*[col(s).alias(f"s{i}") for i, s in enumerate(strata)]), {"ignoreNullFields": "false"}).alias("stratum"),
+        F.when(t == 1, 1).when(t == 0, 0).otherwise(-1).alias("treated"),
+        col(outcome).cast("double").alias("outcome"),
+        F.xxhash64(col(key), F.lit(seed)).alias("lot"),
     )
-
-
-def _poisson_one(unit: Column) -> Column:
-    """Poisson(1) draw by inverting its distribution function."""
-    total, term, chain = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(10):
-        total += term
-        term /= k + 1
-        chain = chain + F.when(unit >= total, 1).otherwise(0)
-    return chain
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = rows.mapInArrow(lambda batches: replicated.fill(batches, replicates), replicated.SUMS)
+    ordered = sums.repartition(tasks, "stratum").sortWithinPartitions("stratum")
+    parts = ordered.mapInArrow(lambda batches: replicated.effects(batches, replicates), replicated.EFFECTS)
+    points = parts.repartition(1).mapInArrow(lambda batches: replicated.interval(batches, replicates), "ci_low double, ate_median double, ci_high double, replicates long")
+    return points
 
 
 # ------------------------------------------------------------------ score matching
@@ -158,6 +141,11 @@ def ate_matched(
     ``ties="first"`` the row of the lowest key. Neighbours are then the nearest
     filled score on either side, looked up inside score ranges with the ends of
     the ranges carried over. A tie in distance goes to the lower score.
+
+    ``std_error`` is that of a matching estimator with replacement: the spread of the rows' effects, and for every row
+    its outcome's variance times K^2 + 2 K - K / m, where K is how often the row serves as a match and m the number of
+    rows that share a match with it (both directions are counted from the neighbours found). The variance comes from the
+    rows of the arm at that score, or for a lone row from the nearest score of its arm.
     """
     if ties not in ("mean", "first"):
         raise ValueError(f"unknown ties {ties!r}")
@@ -175,11 +163,15 @@ def ate_matched(
         F.coalesce(F.sum(F.when(~t, y)), F.lit(0.0)).alias("y0"),
         offer(y, t).alias("r1"),
         offer(y, ~t).alias("r0"),
+        F.coalesce(F.sum(F.when(t, y * y)), F.lit(0.0)).alias("q1"),
+        F.coalesce(F.sum(F.when(~t, y * y)), F.lit(0.0)).alias("q0"),
+        F.var_samp(F.when(t, y)).alias("v1"),
+        F.var_samp(F.when(~t, y)).alias("v0"),
     )
     cuts = numeric_cuts(scored.select(F.lit("score").alias("column_name"), col(score).alias("value")))
     ranged = with_range(folded.withColumn("column_name", F.lit("score")), cuts).drop("column_name")
     for arm in ("1", "0"):
-        here = F.when(F.col(f"n{arm}") > 0, F.struct(F.col("value").alias("s"), F.col(f"r{arm}").alias("r")))
+        here = F.when(F.col(f"n{arm}") > 0, F.struct(F.col("value").alias("s"), F.col(f"r{arm}").alias("r"), (F.col(f"y{arm}") / F.col(f"n{arm}")).alias("mean"), F.col(f"n{arm}").alias("n")))
         ranged = ranged.withColumn(f"p{arm}", here)
     ends = ranged.groupBy("range_id").agg(
         *[F.max_by(f"p{a}", F.when(F.col(f"n{a}") > 0, F.col("value"))).alias(f"last{a}") for a in "10"],
@@ -206,33 +198,86 @@ def ate_matched(
     for a in "10":
         low, high = F.col(f"low{a}"), F.col(f"high{a}")
         closer = (F.col("value") - low["s"]) <= (high["s"] - F.col("value"))
-        picked = F.when(high.isNull() | (low.isNotNull() & closer), low["r"]).otherwise(high["r"])
-        near = near.withColumn(f"match{a}", picked)
-    effect = (F.col("y1") - F.col("n1") * F.col("match0")) + (F.col("n0") * F.col("match1") - F.col("y0"))
-    summed = near.agg(
-        F.sum(F.coalesce(effect, F.lit(0.0))).alias("g"), F.sum(F.col("n1") + F.col("n0")).alias("n"),
-        F.sum("n1").alias("treated"), F.sum("n0").alias("controls"),
+        near = near.withColumn(f"picked{a}", F.when(high.isNull() | (low.isNotNull() & closer), low).otherwise(high))
+    # The nearest other score of the same arm, for the variance of a lone row.
+    for a in "10":
+        below = F.coalesce(F.last(f"p{a}", True).over(rising.rowsBetween(*past)), F.col(f"before{a}"))
+        near = near.withColumn(f"below{a}", below)
+    for a in "10":
+        above = F.coalesce(F.last(f"p{a}", True).over(falling.rowsBetween(*past)), F.col(f"after{a}"))
+        near = near.withColumn(f"above{a}", above)
+    # How often the rows at a score serve: every picked score counts the rows that picked it.
+    taken = near.select(F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"picked{a}")["s"].alias("score"), F.col(f"n{b}").alias("times")) for a, b in ("10", "01")])))
+    used = taken.filter("times > 0 AND score IS NOT NULL").groupBy("score").agg(
+        *[F.coalesce(F.sum(F.when(F.col("arm") == a, F.col("times"))), F.lit(0)).alias(f"used{a}") for a in "10"]
+    )
+    whole = near.join(used, near["value"] == used["score"], "left")
+    match1, match0 = F.col("picked1")["r"], F.col("picked0")["r"]
+    effect = (F.col("y1") - F.col("n1") * match0) + (F.col("n0") * match1 - F.col("y0"))
+    # Written so that an arm without rows here adds 0, whatever its match is.
+    zero = F.lit(0.0)
+    squares1 = F.when(F.col("n1") > 0, F.col("q1") - 2 * F.col("y1") * match0 + F.col("n1") * match0 * match0).otherwise(zero)
+    squares0 = F.when(F.col("n0") > 0, F.col("q0") - 2 * F.col("y0") * match1 + F.col("n0") * match1 * match1).otherwise(zero)
+    noise = zero
+    for a in "10":
+        n, times, own = F.col(f"n{a}").cast("double"), F.coalesce(F.col(f"used{a}"), F.lit(0)).cast("double"), F.col("value")
+        lower, upper = F.col(f"below{a}"), F.col(f"above{a}")
+        beside = F.when(upper.isNull() | (lower.isNotNull() & (own - lower["s"] <= upper["s"] - own)), lower).otherwise(upper)
+        alone = beside["n"] / (beside["n"] + 1) * (F.col(f"y{a}") - beside["mean"]) ** 2
+        variance = F.coalesce(F.when(n > 1, F.col(f"v{a}")).otherwise(alone), zero)
+        if ties == "mean":  # each of the n rows serves times / n times, together with the n - 1 others
+            each = times / F.nullif(n, zero)
+            weight = n * (each * each + 2 * each) - each
+        else:  # the row of the lowest key serves alone
+            weight = times * times + times
+        noise = noise + F.when(n > 0, variance * weight).otherwise(zero)
+    summed = whole.agg(
+        F.sum(F.coalesce(effect, zero)).alias("g"), F.sum(F.col("n1") + F.col("n0")).alias("n"),
+        F.sum("n1").alias("treated"), F.sum("n0").alias("controls"), F.sum(squares1 + squares0).alias("squares"), F.sum(noise).alias("noise"),
     )
     both = (F.col("treated") > 0) & (F.col("controls") > 0)
+    n = F.col("n").cast("double")
+    ate = F.when(both, share(F.col("g"), F.col("n")))
+    spread = F.greatest(F.col("squares") - n * ate * ate, zero)
     return summed.select(
-        F.when(both, share(F.col("g"), F.col("n"))).alias("ate"),
+        ate.alias("ate"),
         F.col("n").alias("rows_used"),
         "treated",
         "controls",
+        F.when(both, F.sqrt(spread + F.col("noise")) / n).alias("std_error"),
     )
 
 
+def conversions(df: DataFrame, names: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The columns that ``causal_prepare`` turns into numbers, datetimes first, and those it drops."""
+    kinds = {n: kind(df.schema[n].dataType) for n in dict.fromkeys(names)}
+    converted = [n for k in ("datetime", "text") for n in kinds if kinds[n] == k]
+    return converted, [n for n in kinds if kinds[n] == "nested"]
+
+
 def ate_psm(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], key: str) -> DataFrame:
+    """The matched effect as a record: the effect with its 95 % interval and two-sided p-value (normal), the rows used,
+    and what was done to the columns."""
     if not confounders:
         raise ValueError("at least one confounder is needed")
     prepared = causal_prepare(df, treatment, outcome, confounders, key)
-    scored = propensity_scores(prepared, treatment, list(confounders))
+    converted, dropped = conversions(df, [treatment, outcome, *confounders])
+    if gone := {treatment, outcome} & set(dropped):
+        raise ValueError(f"not a number: {sorted(gone)}")
+    scored = propensity_scores(prepared, treatment, [c for c in confounders if c not in dropped])
+    ate, error = F.col("ate"), F.col("std_error")
+    z2 = (ate / F.nullif(error, F.lit(0.0))) ** 2
     return ate_matched(scored, treatment, outcome, key).select(
         F.lit(treatment).alias("treatment"),
         F.lit(outcome).alias("outcome"),
         F.lit(", ".join(confounders)).alias("confounders"),
         "ate",
+        (ate - NORMAL_95 * error).alias("ci_low"),
+        (ate + NORMAL_95 * error).alias("ci_high"),
+        chi2_p_value(z2, F.lit(1)).alias("p_value"),  # of the squared z-score: one degree of freedom
         "rows_used",
         "treated",
         "controls",
+        F.lit(", ".join(converted)).alias("converted_columns"),
+        F.lit(", ".join(dropped)).alias("dropped_columns"),
     )

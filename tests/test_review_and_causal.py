@@ -2,12 +2,15 @@
 
 import datetime as dt
 import math
+import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import plumbline.operators.ordering as ordering
+from plumbline.functions import replicates
 from plumbline.operators import causal, chartdata, replies, reshape, review
 from plumbline.operators.drift import split_by_filter
 from plumbline.operators.sqlview import run_sql
@@ -213,3 +216,105 @@ def test_sources_round_trip(spark):
     other = scratch_path(spark, "p")
     sink_parquet(df, other, partition_by=["i"])
     assert scan_parquet(spark, other).count() == 2
+
+
+# ------------------------------------------------------- intervals of the effects
+def matched_by_loops(rows):
+    """(ate, std_error) of nearest-neighbour matching with replacement; ties share, all by plain loops."""
+    n, effects, share_of = len(rows), [], [0.0] * len(rows)
+    serves = [[] for _ in rows]
+    for s, t, y in rows:
+        others = [(abs(s - o[0]), o[0]) for o in rows if o[1] != t]
+        best = min(others)  # the nearest, then the lower score
+        matches = [j for j, o in enumerate(rows) if o[1] != t and (abs(s - o[0]), o[0]) == best]
+        mean = sum(rows[j][2] for j in matches) / len(matches)
+        effects.append(y - mean if t else mean - y)
+        for j in matches:
+            serves[j].append(1 / len(matches))
+    ate = sum(effects) / n
+    total = sum((e - ate) ** 2 for e in effects)
+    for i, (s, t, y) in enumerate(rows):
+        same = [o[2] for o in rows if o[1] == t and o[0] == s]
+        if len(same) > 1:
+            variance = statistics.variance(same)
+        else:
+            best = min((abs(s - o[0]), o[0]) for o in rows if o[1] == t and o[0] != s)
+            near = [o[2] for o in rows if o[1] == t and (abs(s - o[0]), o[0]) == best]
+            variance = len(near) / (len(near) + 1) * (y - sum(near) / len(near)) ** 2
+        k = sum(serves[i])
+        total += variance * (k * k + 2 * k - sum(x * x for x in serves[i]))
+    return ate, math.sqrt(total) / n
+
+
+@pytest.mark.parametrize("levels", [3, 12, 1000])
+def test_matching_error_equals_brute_force(spark, levels):
+    rng = np.random.default_rng(levels)
+    n = 160
+    s = rng.integers(0, levels, n) / 64.0
+    t = (rng.random(n) < 0.4).astype(int)
+    y = 1.5 * t + np.sin(s) + rng.normal(size=n)
+    rows = [(float(a), int(b), float(c)) for a, b, c in zip(s, t, y)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k bigint, score double, t int, y double").repartition(3)
+    got = causal.ate_matched(df, "t", "y", "k").first()
+    ate, error = matched_by_loops(rows)
+    assert math.isclose(got["ate"], ate, rel_tol=1e-9) and math.isclose(got["std_error"], error, rel_tol=1e-9)
+
+
+def test_matched_record(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.random() < 0.5), "xyz"[i % 3], dt.datetime(2024, 1, 1 + i % 20), [1.0], float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, t int, c string, d timestamp_ntz, a array<double>, y double")
+    r = causal.ate_psm(df, "t", "y", ["c", "d", "a"], "k").first()
+    assert (r["confounders"], r["converted_columns"], r["dropped_columns"]) == ("c, d, a", "d, c", "a")
+    assert r["ci_low"] < r["ate"] < r["ci_high"] and r["rows_used"] == 300
+    z = abs(r["ate"]) / ((r["ci_high"] - r["ci_low"]) / 2 / causal.NORMAL_95)
+    assert math.isclose(r["p_value"], math.erfc(z / math.sqrt(2)), rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        causal.ate_psm(df, "t", "a", ["c"], "k")
+
+
+def simulated(seed, n=400):
+    rng = np.random.default_rng(seed)
+    s = rng.integers(0, 3, n)
+    t = (rng.random(n) < 0.3 + 0.2 * s).astype(int)
+    return s, t, 1.0 * t + 2.0 * s + rng.normal(size=n) * (1 + t)
+
+
+def test_bootstrap_coverage():
+    """The 95 % interval holds the true effect in about 95 of 100 simulated tables."""
+    held, runs = 0, 300
+    for seed in range(runs):
+        s, t, y = simulated(seed)
+        lots = np.random.default_rng(10_000 + seed).integers(0, 2**63, len(s), dtype=np.int64)
+        batch = pa.record_batch({"stratum": pa.array([str(x) for x in s]), "treated": pa.array(t), "outcome": pa.array(y), "lot": pa.array(lots)})
+        (low,), _, (high,), _ = [c.to_pylist() for c in next(replicates.interval(replicates.effects(replicates.fill([batch], 200), 200), 200)).columns]
+        held += low <= 1.0 <= high
+    assert 0.90 <= held / runs <= 0.985
+
+
+def test_bootstrap_is_the_same_however_rows_are_dealt(spark):
+    s, t, y = simulated(1, 3000)
+    rows = [(i, int(t[i]) if i % 50 else None, float(y[i]), int(s[i]) if i % 7 else None, "p") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k bigint, t int, y double, s int, `a b` string")
+    runs = [causal.ate_interval(d, "k", "t", "y", ["s", "a b"]).first() for d in (df.repartition(1), df.repartition(7), df.repartition(3, "s"))]
+    for other in runs[1:]:
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(runs[0], other))
+    lots = np.array([r[0] for r in df.select(F.xxhash64("k", F.lit(7))).collect()])
+    weights = replicates.poisson_weights(lots, 100)
+    arm = np.array([-1 if r[1] is None else r[1] for r in rows])
+    stratum = np.array([-1 if r[3] is None else r[3] for r in rows])
+    gained = weight = 0.0
+    for x in np.unique(stratum):
+        one, none = (stratum == x) & (arm == 1), (stratum == x) & (arm == 0)
+        n1, n0 = weights[one].sum(0), weights[none].sum(0)
+        gained = gained + (n1 + n0) * ((weights[one] * y[one][:, None]).sum(0) / n1 - (weights[none] * y[none][:, None]).sum(0) / n0)
+        weight = weight + n1 + n0
+    want = np.percentile(gained / weight, [2.5, 50, 97.5])
+    assert np.allclose([runs[0]["ci_low"], runs[0]["ate_median"], runs[0]["ci_high"]], want)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
+
+
+def test_bootstrap_without_an_arm(spark):
+    df = spark.createDataFrame([(1, 1, 2.0, "s"), (2, 1, 3.0, None)], "k bigint, t int, y double, s string")
+    assert tuple(causal.ate_interval(df, "k", "t", "y", ["s"]).first()) == (None, None, None, 0)
+    assert tuple(causal.ate_interval(df.limit(0), "k", "t", "y", ["s"]).first()) == (None, None, None, 0)
