@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, kind, of_kind, share
+from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, of_kind, share
 from plumbline.functions.comoments import CoMoments
-from plumbline.operators.stats import distinct_stats, mean_text_length
+from plumbline.operators.stats import levels, mean_text_length
 
 PAIR = ["col1", "col2"]
 HIGH_CORRELATION = 0.9
@@ -68,15 +68,9 @@ def high_corr_pairs(df: DataFrame, names: Sequence[str] | None = None, above: fl
 
 # -------------------------------------------------------------- pairs of columns
 def candidate_pairs(df: DataFrame, max_levels: int = 50) -> DataFrame:
-    """Pairs of columns with few distinct values, in column order.
-    Joins the column list with itself: one row per column."""
-    position = {n: i for i, n in enumerate(df.columns)}
-    places = df.sparkSession.createDataFrame(list(position.items()), "column_name string, position int")
-    few = (
-        F.broadcast(places)
-        .join(distinct_stats(df), "column_name", "left")
-        .filter(F.coalesce("n_unique", F.lit(0)) <= max_levels)
-    )
+    """Pairs of columns with few distinct values, in column order. The list of columns is paired with itself, one row per column."""
+    places = F.create_map(*[F.lit(x) for i, n in enumerate(df.columns) for x in (n, i)])
+    few = levels(df, max_levels).filter(F.col("levels").isNotNull()).withColumn("position", places[F.col("column_name")])
     listed = few.agg(F.array_sort(F.collect_list(F.struct("position", "column_name"))).alias("c"))
     paired = listed.select(F.posexplode("c").alias("i", "left"), "c").select(
         "left", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("right")
@@ -180,20 +174,11 @@ def statistical_signals(df: DataFrame, contexts: dict[str, Sequence[str]]) -> Da
 
 # ----------------------------------------------------------- review candidates
 def select_candidates(df: DataFrame, max_levels: int = 50, include_numeric: bool = True) -> DataFrame:
-    """Columns worth a semantic review: by name, few levels, or numeric."""
-    kinds = df.sparkSession.createDataFrame(
-        [(n, kind(df.schema[n].dataType)) for n in df.columns], "column_name string, kind string"
-    )
-    few = F.coalesce("n_unique", F.lit(0)) <= max_levels
-    numeric = F.col("kind") == "numeric"
+    """Columns worth a semantic review: by name, few levels, or numeric; ``levels`` is NULL beyond ``max_levels``."""
+    few, numeric = F.col("levels").isNotNull(), F.col("column_name").isin(of_kind(df, "numeric"))
     by_size = (few | numeric) if include_numeric else (few & ~numeric)
     named = F.lower("column_name").rlike(CANDIDATE_NAME)
-    return (
-        F.broadcast(kinds)
-        .join(distinct_stats(df), "column_name", "left")
-        .filter(named | by_size)
-        .select("column_name", named.alias("by_name"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
-    )
+    return levels(df, max_levels).filter(named | by_size).select("column_name", named.alias("by_name"), "levels")
 
 
 def rank_context_columns(df: DataFrame, target: str, k: int = 3) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
+    DIGEST_ABOVE,
     INTEGRAL_TYPES,
     as_double,
     as_identity,
@@ -197,19 +199,115 @@ def approx_distinct_stats(df: DataFrame, names: Sequence[str] | None = None) ->
     )
 
 
-def top_values(df: DataFrame, names: Sequence[str], k: int = 3) -> DataFrame:
-    """k most frequent values per column, ties by value. The rank filter is
-    applied on the map side too (window group limit), so a near-unique column
-    does not land in one task."""
+def top_values(df: DataFrame, names: Sequence[str], k: int = 3, typed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """k most frequent values per column, ties by value.
+
+    They are ranked from the typed value counts, which a profile has already (``typed``, over the same columns): numbers
+    are turned into text only after counting. The rank filter is applied on the map side too (window group limit), so a
+    near-unique column does not land in one task. Columns that hold long texts are ranked by ``_top_long``.
+    """
+    names = list(names)
+    long = _long_columns(df, names)
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    ranked = value_counts(df, names).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    if typed is None:
+        short = [n for n in names if n not in long]
+        typed = typed_counts(df, short) if short else {}
+    texts = [_counted_texts(df, group, counts) for group, counts in typed.items()]
+    parts = []
+    if texts:
+        ranked = reduce(DataFrame.unionByName, texts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        # The rank in this test keeps it above the counting, whose shuffle is then the one the profile has.
+        parts.append(ranked.filter(~F.col("column_name").isin(long) | (F.col("rank") < 0)) if long else ranked)
+    if long:
+        rows = [(n, value, count, rank) for n in long for rank, (value, count) in enumerate(_top_long(df, n, k), 1)]
+        parts.append(df.sparkSession.createDataFrame(rows, "column_name string, value string, n long, rank int"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _counted_texts(df: DataFrame, group: str, counts: DataFrame) -> DataFrame:
+    """Counts of ``typed_counts`` with the values as ``as_text`` writes them."""
+    value = F.col("value").cast("string")
+    narrow = [f.name for f in df.schema if isinstance(f.dataType, T.FloatType)]
+    if group == "real" and narrow:
+        value = F.when(F.col("column_name").isin(narrow), F.col("value").cast("float").cast("string")).otherwise(value)
+    return counts.select("column_name", value.alias("value"), "n")
+
+
+def _long_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The columns with a text of more than DIGEST_ABOVE characters; one scan, if any column can hold one."""
+    able = [f for f in fields(df, names) if kind(f.dataType) in ("text", "nested") and not isinstance(f.dataType, T.BooleanType)]
+    if not able:
+        return []
+    longest = df.agg(*[F.max(F.length(as_text(f))).alias(f"c{i}") for i, f in enumerate(able)]).first()
+    return [f.name for f, length in zip(able, longest, strict=True) if (length or 0) > DIGEST_ABOVE]
+
+
+def _top_long(df: DataFrame, name: str, k: int) -> list[tuple[str, int]]:
+    """The k most frequent (value, n) of a column of long texts, ties by value, without shuffling the texts.
+
+    They are counted by digest beside their first DIGEST_ABOVE characters, which decide nearly every tie. Whole texts
+    are fetched for the few digests that are left, by a filter.
+    """
+    field = df.schema[name]
+    texts = df.select(as_text(field).alias("text")).filter(F.col("text").isNotNull())
+    head, digest = F.left("text", F.lit(DIGEST_ABOVE)), F.when(F.length("text") > DIGEST_ABOVE, F.sha2("text", 256))
+    counts = texts.groupBy(head.alias("head"), digest.alias("digest")).agg(F.count("*").alias("n"))
+    window = 4 * k + 16
+    seen = counts.orderBy(F.desc("n"), "head", F.asc_nulls_first("digest")).limit(window).collect()
+    groups = [(key, [r["digest"] for r in rows]) for key, rows in groupby(seen, lambda r: (r["n"], r["head"], r["digest"] is None))]
+    chosen: list[tuple[int, str, list[str], int]] = []  # count, head, digests, how many of them
+    left = k
+    for place, ((n, start, whole), digests) in enumerate(groups):
+        need = min(left, len(digests))
+        if need and not whole and place == len(groups) - 1 and len(seen) == window:
+            digests = _least_digests(texts.filter((head == start) & digest.isNotNull()), n, need)
+        if need:
+            chosen.append((n, start, [] if whole else digests, need))
+        left -= need
+    wanted = [d for _, _, digests, _ in chosen for d in digests]
+    fetched = {}
+    if wanted:
+        fetched = dict(texts.filter(digest.isin(wanted)).groupBy(digest.alias("digest")).agg(F.first("text").alias("text")).collect())
+    out = []
+    for n, start, digests, need in chosen:
+        values = sorted((fetched[d] for d in digests), key=str.encode) if digests else [start]
+        out += [(v, n) for v in values[:need]]
+    return out
+
 
+def _least_digests(texts: DataFrame, n: int, need: int) -> list[str]:
+    """Digests of the least texts that occur n times each. The least rows are taken, more until enough of them fit."""
+    digest, rows = F.sha2("text", 256), 256
+    while True:
+        least = [r[0] for r in texts.orderBy("text").limit(rows).select(digest).collect()]
+        found = list(dict.fromkeys(least))
+        counted = dict(texts.filter(digest.isin(found)).groupBy(digest.alias("digest")).count().collect())
+        fit = [d for d in found if counted[d] == n]
+        if len(fit) >= need or len(least) < rows:
+            return fit[:need]
+        rows *= 8
 
-def joined_top_values(df: DataFrame, names: Sequence[str], k: int = 3, separator: str = ", ") -> DataFrame:
+
+def levels(df: DataFrame, limit: int = 50, names: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, levels): the number of distinct values where it is at most ``limit``, else NULL.
+
+    One aggregate without a shuffle of values: a theta sketch keeps all hashes until it is full, so up to its size the
+    count is exact; past it the estimate is above its size, and so above ``limit``.
+    """
+    chosen = fields(df, names)
+    size = max(4, limit.bit_length())  # 2^size > limit
+    seen = [F.when(as_text(f).isNotNull(), F.xxhash64(as_text(f))) for f in chosen]
+    wide = df.agg(*[F.theta_sketch_estimate(F.theta_sketch_agg(c, size)).alias(f"c{i}") for i, c in enumerate(seen)])
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.when(F.col(f"c{i}") <= limit, F.col(f"c{i}")).cast("long").alias("levels")) for i, f in enumerate(chosen)]
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def joined_top_values(
+    df: DataFrame, names: Sequence[str], k: int = 3, separator: str = ", ", typed: dict[str, DataFrame] | None = None
+) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("rank", "value")))
     return (
-        top_values(df, names, k)
+        top_values(df, names, k, typed)
         .groupBy("column_name")
         .agg(F.array_join(F.transform(listed, lambda s: s["value"]), separator).alias("top_values"))
     )
@@ -239,9 +337,14 @@ def missing_pct() -> Column:
 
 def basic_profile(df: DataFrame, names: Sequence[str] | None = None, k: int = 3) -> DataFrame:
     names = list(names if names is not None else df.columns)
+    typed = typed_counts(df, names)  # counted once, for the distinct values and the most frequent ones
+    # The test of n keeps it in the counts, so that both readers have the same shuffle.
+    distinct = reduce(DataFrame.unionByName, [c.groupBy("column_name").agg(F.count_if(F.col("n") > 0).alias("n_unique")) for c in typed.values()])
     return (
-        _with_distinct(df, names)
-        .join(F.broadcast(joined_top_values(df, names, k)), "column_name", "left")
+        column_stats(df, names)
+        .join(F.broadcast(distinct), "column_name", "left")
+        .withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+        .join(F.broadcast(joined_top_values(df, names, k, typed=typed)), "column_name", "left")
         .select(
             "position",
             "column_name",
@@ -436,10 +539,10 @@ def column_flags(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
 
 
 def low_cardinality(df: DataFrame, limit: int = 50) -> DataFrame:
-    return _with_distinct(df, None).select(
-        "column_name",
-        F.col("n_unique"),
-        ((F.col("n_unique") <= limit) & (F.col("kind") != "numeric")).alias("is_low_cardinality"),
+    """Columns other than numbers with at most ``limit`` distinct values; ``levels`` is NULL beyond it."""
+    numeric = of_kind(df, "numeric")
+    return levels(df, limit).select(
+        "column_name", "levels", (F.col("levels").isNotNull() & ~F.col("column_name").isin(numeric)).alias("is_low_cardinality")
     )
 
 

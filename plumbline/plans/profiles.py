@@ -236,7 +236,7 @@ def detect_datetime(t):
     return stats.column_flags(t.view("dirty_orders")).select("column_name", "is_datetime")
 
 
-@query("is_low_cardinality", over_lineitem("SELECT column_name, n_unique, n_unique <= 50 AND cls <> 'number' AS is_low_cardinality FROM m"))
+@query("is_low_cardinality", over_lineitem("SELECT column_name, CASE WHEN n_unique <= 50 THEN n_unique END AS levels, n_unique <= 50 AND cls <> 'number' AS is_low_cardinality FROM m"))
 def is_low_cardinality(t):
     return stats.low_cardinality(t("lineitem"))
 
@@ -598,7 +598,7 @@ def statistical_signals(t):
 @query(
     "select_candidates",
     over_lineitem(
-        """SELECT column_name, regexp_matches(column_name, 'id|code|type|category|status|class|segment') AS by_name, n_unique FROM m
+        """SELECT column_name, regexp_matches(column_name, 'id|code|type|category|status|class|segment') AS by_name, CASE WHEN n_unique <= 50 THEN n_unique END AS levels FROM m
            WHERE regexp_matches(column_name, 'id|code|type|category|status|class|segment') OR n_unique <= 50 OR cls = 'number'"""
     ),
 )

@@ -199,3 +199,49 @@ def test_ranking_and_report(spark):
     assert {"identifier", "issue"} <= sections
     assert score.dataset_score(profiled).first()["n_columns"] == 3
     assert profiled.agg(F.min("dq_score")).first()[0] >= 0
+
+
+def plain_top(values, k):
+    counted = {}
+    for v in values:
+        if v is not None:
+            counted[v] = counted.get(v, 0) + 1
+    return sorted(counted.items(), key=lambda x: (-x[1], x[0].encode()))[:k]
+
+
+LONG = "<html><head><meta charset='utf-8'><title>" + "x" * 60
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [LONG + str(i) for i in range(900)],  # all differ, all begin alike
+        [LONG + str(i % 300) for i in range(900)] + [LONG + "a"] * 2 + [LONG] * 3 + [LONG[:64], LONG[:63], "é" * 70, "é" * 64],
+        [LONG + str(i) for i in range(400)] + [LONG + str(i) for i in range(390, 400)] + ["short", "short", None, ""],
+        ["z" * 80] * 5 + ["y" * 80] * 5 + ["y" * 64] * 5 + ["x" * 100, "x" * 101],
+    ],
+)
+def test_top_values_of_long_texts(spark, values):
+    df = spark.createDataFrame([(v, i % 3, 0.1 * (i % 2)) for i, v in enumerate(values)], "v string, i int, f float").repartition(3)
+    got = sorted((r["rank"], r["value"], r["n"]) for r in stats.top_values(df, ["v", "i", "f"], 4).filter("column_name = 'v'").collect())
+    assert [(v, n) for _, v, n in got] == plain_top(values, 4)
+    numbers = {r["value"] for r in stats.top_values(df, ["v", "i", "f"], 4).filter("column_name = 'f'").collect()}
+    assert numbers <= {"0.0", "0.1"}
+
+
+def test_a_profile_counts_values_once(spark):
+    df = spark.range(500).selectExpr("id % 7 AS a", "CAST(id % 11 AS STRING) AS b", "id / 4 AS c")
+    profile = stats.basic_profile(df)
+    assert {r["column_name"]: r["top_values"] for r in profile.collect()}["b"] == "0, 1, 2"
+    plan = profile._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    counting = [line for line in plan.splitlines() if " Exchange hashpartitioning(column_name" in line and "value#" in line and "Reused" not in line]
+    assert len(counting) == 3 and plan.count("ReusedExchange") >= 3  # whole, real, text
+
+
+@pytest.mark.parametrize("n", [49, 50, 51, 64, 65, 5000])
+def test_levels_are_exact_up_to_the_limit(spark, n):
+    df = spark.range(0, 20_000, 1, 16).selectExpr(f"id % {n} AS i", f"CAST(id % {n} AS STRING) AS s", f"CASE WHEN id % {n} > 0 THEN id % {n} / 8 END AS d", "CAST(NULL AS STRING) AS nothing", "'' AS blank")
+    got = {r["column_name"]: r["levels"] for r in stats.levels(df, 50).collect()}
+    assert got == {"i": n if n <= 50 else None, "s": n if n <= 50 else None, "d": n - 1 if n <= 51 else None, "nothing": 0, "blank": 1}
+    plan = stats.levels(df, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SinglePartition" in plan
