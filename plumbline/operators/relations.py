@@ -1,7 +1,7 @@
 """Relationships between columns: correlation, mapping consistency, association.
 
-All pairs of a request share one scan: every row is turned into one
-(pair, value, value) record per pair and counted on the map side.
+All pairs of a request share one scan: tasks add up moments or count cells for
+all of them, and only these are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, of_kind, share
 from plumbline.functions.comoments import CoMoments
+from plumbline.functions.contingency import CELLS, count_pairs
 from plumbline.operators.stats import levels, mean_text_length
 
 PAIR = ["col1", "col2"]
@@ -79,22 +80,18 @@ def candidate_pairs(df: DataFrame, max_levels: int = 50) -> DataFrame:
 
 
 def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], missing: str | None = None) -> DataFrame:
-    """(col1, col2, v1, v2, n); rows with a missing side are dropped unless labelled."""
-    structs = [
-        F.struct(
-            F.lit(a).alias("col1"),
-            F.lit(b).alias("col2"),
-            as_text(df.schema[a]).alias("v1"),
-            as_text(df.schema[b]).alias("v2"),
-        )
-        for a, b in pairs
-    ]
-    long = df.select(F.inline(F.array(*structs)))
-    if missing is None:
-        long = long.filter(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-    else:
-        long = long.withColumns({v: F.coalesce(F.col(v), F.lit(missing)) for v in ("v1", "v2")})
-    return long.groupBy(*PAIR, "v1", "v2").agg(F.count("*").alias("n"))
+    """(col1, col2, v1, v2, n); rows with a missing side are dropped unless labelled.
+
+    Tasks code the columns by dictionary and count the codes of every pair over runs of rows, so that a row is read once
+    for all pairs and only counted cells are shuffled.
+    """
+    names = sorted({n for pair in pairs for n in pair}, key=df.columns.index)
+    text = [as_text(df.schema[n]) for n in names]
+    if missing is not None:
+        text = [F.coalesce(t, F.lit(missing)) for t in text]
+    values = df.select(*[t.alias(f"c{i}") for i, t in enumerate(text)])
+    cells = values.mapInArrow(lambda batches: count_pairs(batches, names, pairs), CELLS)
+    return cells.groupBy(*PAIR, "v1", "v2").agg(F.sum("n").alias("n"))
 
 
 def both_ways(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:

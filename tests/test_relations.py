@@ -2,7 +2,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from plumbline.functions import contingency
 from plumbline.functions.comoments import CoMoments
 from plumbline.operators import relations as rel
 
@@ -122,3 +125,40 @@ def test_correlation_buffers_merge_in_any_order():
     for part in reversed(parts):
         merged.merge(part.start, part.n, part.mean, part.squares, part.products)
     assert np.allclose(merged.products, whole.products) and np.allclose(merged.squares, whole.squares) and (merged.n == whole.n).all()
+
+
+def plain_pairs(rows, i, j, missing):
+    counted = {}
+    for r in rows:
+        a, b = (missing if r[k] is None else r[k] for k in (i, j))
+        if a is not None and b is not None:
+            counted[a, b] = counted.get((a, b), 0) + 1
+    return counted
+
+
+@pytest.mark.parametrize("missing", [None, "__NA__"])
+def test_pair_counts_by_codes(spark, monkeypatch, missing):
+    monkeypatch.setattr(contingency, "ROWS", 100)
+    monkeypatch.setattr(contingency, "OUT", 50)
+    rng = np.random.default_rng(3)
+    rows = [(str(rng.integers(5)) if rng.random() < 0.8 else None, f"k{rng.integers(400)}", "same", None) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "a string, `b.x` string, c string, d string").repartition(3)
+    pairs = [("a", "b.x"), ("b.x", "a"), ("c", "a"), ("a", "c"), ("d", "a"), ("c", "c")]
+    got = {}
+    for r in rel.pair_counts(df, pairs, missing).collect():
+        got.setdefault((r["col1"], r["col2"]), {})[r["v1"], r["v2"]] = r["n"]
+    place = {"a": 0, "b.x": 1, "c": 2, "d": 3}
+    assert got == {p: c for p in pairs if (c := plain_pairs(rows, place[p[0]], place[p[1]], missing))}
+
+
+def test_a_hundred_columns_of_fifty_levels(spark):
+    names = [f"c{i}" for i in range(100)]
+    df = spark.range(0, 40_000, 1, 4).select(*[F.format_string("v%d", (F.col("id") * (2 * i + 1)) % 50).alias(n) for i, n in enumerate(names)])
+    df = df.withColumn("c99", F.when(F.monotonically_increasing_id() == 7, F.lit("v999")).otherwise(F.col("c99")))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    report = {(r["col1"], r["col2"]): r for r in rel.cross_relation_report(df, pairs).collect()}
+    # the one planted cell breaks its key towards c99, whose own keys it does not touch
+    assert report["c0", "c99"]["inconsistent_keys"] == 1 and report["c0", "c99"]["max_distinct"] == 2
+    assert ("c0", "c1") not in report and ("c1", "c0") not in report
+    plan = rel.pair_counts(df, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
