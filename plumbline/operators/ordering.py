@@ -3,15 +3,16 @@
 A window without a partition key, or keyed by column name only, would pull a
 whole column into one task. Here the value range of each column is cut by
 approximate quantiles (``Cuts``), rows are sorted inside a (key, range) group
-only, and the per-range totals - at most a few thousand rows per key - carry
-the running sums across ranges. Equal values are collapsed to one counted row
-first, so a hot value costs one row.
+only, and the per-range totals carry the running sums across ranges. Ranges that
+still hold too many rows are cut once more, each by its own count, so what one
+task sorts is bounded by ROWS_PER_RANGE while the ranges grow in number. Equal
+values are collapsed to one counted row first, so a hot value costs one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,17 +20,22 @@ from pyspark.sql import functions as F
 # The cuts only decide how work is spread, never a result.
 ROWS_PER_RANGE = 250_000
 COARSE_RANGES = 256
-MAX_RANGES = 4096
+MAX_RANGES = 4096  # of a column, and again of a range
 CUT_SAMPLE = 0.02
+BROADCAST_POINTS = 1 << 22  # second-level points (32 MB) that are sent to all tasks; more are joined
+TEXT_RANGES, TEXT_ROWS_PER_RANGE = 64, 10_000
+CUT_CHARS = 1 << 22  # of all cut points of a text column
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Sorted cut points per column: a driver-side list of bounded size."""
+    """Sorted cut points per column: a driver-side list of bounded size. ``fine`` has the points inside a range that is
+    cut once more, by (column, range): one point for ROWS_PER_RANGE rows."""
 
     spark: SparkSession
     points: dict[str, list]
     value_type: str = "double"
+    fine: dict[tuple[str, int], list] = field(default_factory=dict)
 
     @property
     def steps(self) -> int:
@@ -41,9 +47,13 @@ class Cuts:
             [(k, p) for k, p in self.points.items()], f"column_name string, cuts array<{self.value_type}>"
         )
 
+    def fine_table(self) -> DataFrame:
+        rows = [(k, r, p) for (k, r), p in self.fine.items()]
+        return self.spark.createDataFrame(rows, f"column_name string, range_id int, cuts array<{self.value_type}>")
 
-def _thin(points: Sequence, rows: int, rows_per_range: int) -> list:
-    wanted = 4
+
+def _thin(points: Sequence, rows: int, rows_per_range: int, least: int = 4) -> list:
+    wanted = least
     while wanted < MAX_RANGES and wanted * rows_per_range < rows:
         wanted *= 2
     step = max(1, len(points) // wanted)
@@ -70,22 +80,36 @@ def numeric_cuts(long: DataFrame, rows_per_range: int | None = None) -> Cuts:
     if any(estimated(r) > COARSE_RANGES * rows_per_range for r in rows):
         rows = sketch(MAX_RANGES)
     points = {r["column_name"]: _thin(r["p"] or [], estimated(r), rows_per_range) for r in rows}
-    return Cuts(long.sparkSession, points)
-
-
-def text_cuts(values: DataFrame, column: str, target: int = 256) -> Cuts:
-    """Cut points of a text column from a hash sample of its distinct values."""
+    cuts = Cuts(long.sparkSession, points)
+    if not any(estimated(r) > MAX_RANGES * rows_per_range for r in rows):
+        return cuts
+    grid = ", ".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES))
+    inside = with_range(long.sample(CUT_SAMPLE, seed=13), cuts).groupBy("column_name", "range_id")
+    again = inside.agg(F.count("*").alias("n"), F.expr(f"percentile_approx(value, array({grid}), {8 * MAX_RANGES})").alias("p"))
+    crowded = again.filter(F.col("n") > CUT_SAMPLE * rows_per_range).collect()
+    fine = {(r["column_name"], r["range_id"]): _thin(r["p"], estimated(r), rows_per_range, 2) for r in crowded}
+    return replace(cuts, fine={k: p for k, p in fine.items() if len(p) > 1})
+
+
+def text_cuts(values: DataFrame, column: str) -> Cuts:
+    """Cut points of a text column: beginnings of a hash sample of its distinct values. They grow until they tell the
+    sampled values apart, so a long common beginning does not put all values into one range."""
     distinct = values.agg(F.approx_count_distinct(column)).first()[0] or 0
-    every = max(1, distinct // target)
-    sampled = (
-        values.filter(F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(every)) == 0)
-        .filter(F.length(column) <= 1024)
-        .select(column)
-        .distinct()
-        .limit(8 * target)
-    )
-    points = sorted(r[0] for r in sampled.collect())
-    return Cuts(values.sparkSession, {"": points}, "string")
+    wanted = min(MAX_RANGES, max(TEXT_RANGES, distinct // TEXT_ROWS_PER_RANGE))
+    every = max(1, distinct // (8 * wanted))
+    sampled = values.filter(F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(every)) == 0)
+    length = 64
+    while True:
+        begun = sampled.groupBy(F.xxhash64(column).alias("h")).agg(F.first(F.left(column, F.lit(length))).alias("head"), F.max(F.length(column)).alias("size"))
+        rows = begun.orderBy("head").limit(16 * wanted).collect()  # twice what the sample should hold
+        heads = [r["head"] for r in rows]
+        apart = len(set(heads)) >= 0.9 * len(heads) or all(r["size"] <= length for r in rows)
+        if apart or 4 * length * TEXT_RANGES > CUT_CHARS:
+            break
+        length *= 4
+    number = max(1, min(wanted, CUT_CHARS // length))
+    step = max(1, len(heads) // number)
+    return Cuts(values.sparkSession, {"": sorted(set(heads[step - 1 :: step]), key=str.encode)}, "string")
 
 
 def count_below_sql(array: str, value: str, steps: int, out: str) -> tuple[list[str], list[str]]:
@@ -114,7 +138,15 @@ def with_range(df: DataFrame, cuts: Cuts, value: str = "value") -> DataFrame:
         joined = df.withColumn("cuts", F.lit(cuts.points[""]).cast(f"array<{cuts.value_type}>"))
     else:
         joined = df.join(F.broadcast(table), "column_name", "left")
-    return count_below(joined, "cuts", f"`{value}`", cuts.steps, "range_id").drop("cuts")
+    ranged = count_below(joined, "cuts", f"`{value}`", cuts.steps, "range_id").drop("cuts")
+    if not cuts.fine:
+        return ranged
+    table = cuts.fine_table()
+    if sum(map(len, cuts.fine.values())) <= BROADCAST_POINTS:
+        table = F.broadcast(table)
+    steps = max(p.bit_length() for p in map(len, cuts.fine.values()))
+    inner = count_below(ranged.join(table, ["column_name", "range_id"], "left"), "cuts", f"`{value}`", steps, "_inner").drop("cuts")
+    return inner.withColumn("range_id", F.col("range_id").cast("long") * (1 << 32) + F.col("_inner")).drop("_inner").select(*ranged.columns)
 
 
 def running_totals(

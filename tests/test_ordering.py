@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import ordering
 from plumbline.operators.ordering import Cuts, exact_quantiles, numeric_cuts, running_totals, text_cuts, with_range
 
 RNG = np.random.default_rng(5)
@@ -93,3 +94,34 @@ def test_hot_value_is_one_row_per_window(long, cuts):
     counted = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
     plan = running_totals(counted, ["column_name"], ["n"], cuts)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
+
+
+def test_crowded_ranges_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CUT_SAMPLE", 1.0)
+    monkeypatch.setattr(ordering, "COARSE_RANGES", 8)
+    monkeypatch.setattr(ordering, "MAX_RANGES", 16)
+    values = {"wide": np.exp(RNG.normal(size=6000) * 4), "small": RNG.random(300), "hot": np.r_[np.full(3000, 5.0), RNG.random(3000)]}
+    long = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "column_name string, value double").repartition(3)
+    made = numeric_cuts(long, rows_per_range=50)
+    assert made.fine and all(k != "small" for k, _ in made.fine) and all(len(p) <= 16 for p in made.points.values())
+    counted = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    largest = with_range(counted, made).groupBy("column_name", "range_id").count().agg(F.max("count")).first()[0]
+    assert largest <= 4 * 50  # against 375 with one level
+    for joined in (ordering.BROADCAST_POINTS, 0):
+        monkeypatch.setattr(ordering, "BROADCAST_POINTS", joined)
+        for r in running_totals(counted, ["column_name"], ["n"], made).collect():
+            assert r["cum_n"] == (values[r["column_name"]] <= r["value"]).sum()
+        for r in exact_quantiles(long, ["column_name"], PROBS, made).collect():
+            np.testing.assert_allclose(r["quantiles"], np.quantile(values[r["column_name"]], PROBS), rtol=1e-12)
+
+
+def test_texts_with_a_long_common_beginning(spark):
+    begin = "lorem ipsum " * 170  # 2,040 characters
+    texts = [begin + f"{i * 7919 % 100003:06d}" + "x" * (10_000 - len(begin) - 6) for i in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "value string").repartition(4)
+    made = text_cuts(df, "value")
+    sizes = [r["count"] for r in with_range(df, made).groupBy("range_id").count().collect()]
+    assert len(sizes) >= 32 and max(sizes) <= 4 * 1500 / len(sizes)
+    counted = df.groupBy("value").agg(F.lit(1).cast("bigint").alias("n")).withColumn("all", F.lit(0))
+    ranked = running_totals(counted, ["all"], ["n"], made).select(F.substring("value", len(begin) + 1, 6).alias("k"), "cum_n")
+    assert [r["cum_n"] for r in sorted(ranked.collect())] == list(range(1, 1501))
