@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, kind, present, share
-from plumbline.operators.ordering import exact_quantiles
+from plumbline.operators.ordering import exact_quantiles, numeric_cuts
 from plumbline.operators.reshape import category
 
 HIST_BINS = 30
@@ -132,23 +132,25 @@ def chart_box(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFram
     long = df.select(F.lit(y).alias("column_name"), *_keys(df, x, hue), as_double(df.schema[y]).alias("value")).filter(
         F.col("value").isNotNull()
     )
-    q = exact_quantiles(long, keys, [0.25, 0.5, 0.75], few_keys=False)
+    # Quartiles and fences both read the counted values, so a row never meets its category's box.
+    counted = long.groupBy("column_name", *keys, "value").agg(F.count("*").alias("m"))
+    q = exact_quantiles(counted, keys, [0.25, 0.5, 0.75], numeric_cuts(long), few_keys=False, weight="m")
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
-    boxes = q.select(*keys, q1.alias("q1"), F.col("quantiles")[1].alias("median"), q3.alias("q3"))
+    boxes = q.select(*keys, "n", q1.alias("q1"), F.col("quantiles")[1].alias("median"), q3.alias("q3"))
     fence_low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     fence_high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(fence_low, fence_high)
     return (
-        long.join(boxes, keys)
+        counted.join(boxes, keys)
         .groupBy(*keys)
         .agg(
-            F.count("*").alias("n"),
+            F.max("n").alias("n"),
             F.max("q1").alias("q1"),
             F.max("median").alias("median"),
             F.max("q3").alias("q3"),
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_beyond"),
+            F.coalesce(F.sum(F.when(~inside, F.col("m"))), F.lit(0)).alias("n_beyond"),
         )
     )
 

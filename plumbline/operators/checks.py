@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import as_text, col, present, share
+from plumbline.functions.columns import as_identity, as_text, col, present, share, unpivot_values
 from plumbline.operators.drift import checked_predicate
 from plumbline.operators.reshape import dangling_rows
 from plumbline.operators.stats import WHITESPACE, ntz, parse_datetime
@@ -114,90 +114,75 @@ class Rule:
 def rule_scorecard(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule_id, column_name, kind, checked, violations, violation_rate, passed).
 
-    All row rules share one scan and one aggregate. A unique rule counts the rows
-    of repeated values, an fk rule the rows whose value the reference lacks; both
-    count values before anything is joined.
+    Two scans of the table, however many rules there are: all row rules share one aggregate, and all unique and fk rules
+    one count of values. A unique rule counts the rows of repeated values, an fk rule the rows whose value the reference
+    lacks; the references are stacked, each value with the rules that know it, and joined once.
     """
+    if unknown := {r.kind for r in rules} - {"row", "unique", "fk"}:
+        raise ValueError(f"unknown rule kinds {sorted(unknown)}")
+    row_rules, value_rules = [r for r in rules if r.kind == "row"], [r for r in rules if r.kind != "row"]
     parts = []
-    row_rules = [r for r in rules if r.kind == "row"]
     if row_rules:
-        wide = df.agg(
-            F.count(F.lit(1)).alias("checked"),
-            *[F.count_if(checked_predicate(r.condition)).alias(f"v{i}") for i, r in enumerate(row_rules)],
-        )
-        structs = [
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.column).alias("column_name"),
-                F.lit(r.kind).alias("kind"),
-                F.col("checked"),
-                F.col(f"v{i}").alias("violations"),
-                F.lit(r.tolerance).alias("tolerance"),
-            )
-            for i, r in enumerate(row_rules)
-        ]
-        parts.append(wide.select(F.inline(F.array(*structs))))
-    for r in rules:
-        if r.kind == "row":
-            continue
-        if r.kind not in ("unique", "fk"):
-            raise ValueError(f"unknown rule kind {r.kind!r}")
-        value = as_text(df.schema[r.column])
-        counted = df.select(value.alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-        if r.kind == "unique":
-            bad = F.col("value").isNotNull() & (F.col("n") > 1)
-        else:
-            known = (
-                r.reference.select(as_text(r.reference.schema[r.reference_key]).alias("value"))
-                .filter(F.col("value").isNotNull())
-                .distinct()
-                .withColumn("found", F.lit(True))
-            )
-            counted = counted.join(known, "value", "left")
-            bad = F.col("value").isNotNull() & F.col("found").isNull()
-        parts.append(
-            counted.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("checked"),
-                F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("violations"),
-            ).select(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.column).alias("column_name"),
-                F.lit(r.kind).alias("kind"),
-                "checked",
-                "violations",
-                F.lit(r.tolerance).alias("tolerance"),
-            )
-        )
+        violations = [F.count_if(checked_predicate(r.condition)) for r in row_rules]
+        parts.append(_scores(df, row_rules, [F.count(F.lit(1))] * len(row_rules), violations))
+    if value_rules:
+        counted = unpivot_values(df, list(dict.fromkeys(r.column for r in value_rules)), as_identity)
+        counted = counted.groupBy("column_name", "value").agg(F.count("*").alias("n")).withColumn("known", F.array().cast("array<int>"))
+        references = [
+            r.reference.select(F.lit(r.column).alias("column_name"), as_identity(r.reference.schema[r.reference_key]).alias("value"), F.lit(i).alias("rule"))
+            for i, r in enumerate(value_rules) if r.kind == "fk"
+        ]
+        if references:
+            held = reduce(DataFrame.unionByName, references).filter(F.col("value").isNotNull())
+            held = held.groupBy("column_name", "value").agg(F.collect_set("rule").alias("known"))  # at most one entry a rule
+            counted = counted.drop("known").join(held, ["column_name", "value"], "left")
+        checked, violations = [], []
+        for i, r in enumerate(value_rules):
+            own = F.col("column_name") == r.column
+            bad = F.col("n") > 1 if r.kind == "unique" else ~F.coalesce(F.array_contains("known", i), F.lit(False))
+            checked.append(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)))
+            violations.append(F.coalesce(F.sum(F.when(own & F.col("value").isNotNull() & bad, F.col("n"))), F.lit(0)))
+        parts.append(_scores(counted, value_rules, checked, violations))
     scored = reduce(DataFrame.unionByName, parts).withColumn(
         "violation_rate", F.coalesce(share(F.col("violations"), F.col("checked")), F.lit(0.0))
     )
     return scored.withColumn("passed", F.col("violation_rate") <= F.col("tolerance")).drop("tolerance")
 
 
+def _scores(table: DataFrame, rules: Sequence[Rule], checked: Sequence[Column], violations: Sequence[Column]) -> DataFrame:
+    """One aggregate over ``table``, then one row per rule."""
+    measures = [c.alias(f"{name}{i}") for name, columns in (("c", checked), ("v", violations)) for i, c in enumerate(columns)]
+    rows = [
+        F.struct(
+            F.lit(r.rule_id).alias("rule_id"),
+            F.lit(r.column).alias("column_name"),
+            F.lit(r.kind).alias("kind"),
+            F.col(f"c{i}").alias("checked"),
+            F.col(f"v{i}").alias("violations"),
+            F.lit(r.tolerance).alias("tolerance"),
+        )
+        for i, r in enumerate(rules)
+    ]
+    return table.agg(*measures).select(F.inline(F.array(*rows)))
+
+
 # ---------------------------------------------------------------------- remediation
 def mode_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row with the most frequent value of each text column (ties: the smallest)."""
-    aggregated = []
-    for n in names:
-        counted = df.select(col(n).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(
-            F.count("*").alias("n")
-        )
-        best = counted.agg(F.max(F.struct(F.col("n"), F.col("value"))).alias("b"))
-        largest = best.select(F.col("b.n")).scalar()
-        aggregated.append(counted.filter(F.col("n") == largest).agg(F.min("value").alias(n)))
-    out = aggregated[0].select(F.col(names[0]))
-    for n, table in zip(names[1:], aggregated[1:]):
-        out = out.withColumn(n, table.scalar())
-    return out
+    """One row with the most frequent value of each text column (ties: the smallest), from one count of all columns."""
+    counted = df.unpivot([], [col(n).cast("string").alias(n) for n in names], "column_name", "value")
+    counted = counted.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    best = [F.min(F.when(F.col("column_name") == n, F.struct(-F.col("n"), F.col("value"))))["value"].alias(n) for n in names]
+    return counted.agg(*best)
 
 
 def fill_mode_or_unknown(df: DataFrame, names: Sequence[str], use_mode: bool = True) -> DataFrame:
     """Fill missing texts with the column's mode, or with 'Unknown' where there is none."""
-    filled = {}
-    for n in names:
-        replacement = mode_values(df, [n]).select(n).scalar() if use_mode else F.lit(None)
-        filled[n] = F.coalesce(col(n), replacement, F.lit(FREE_TEXT_FILL))
-    return df.withColumns(filled)
+    replacements = [F.lit(None).cast("string") for _ in names]
+    if use_mode and names:
+        # The same subquery for every column: it runs once.
+        modes = mode_values(df, names).select(F.array(*[col(n) for n in names])).scalar()
+        replacements = [F.get(modes, F.lit(i)) for i in range(len(names))]
+    return df.withColumns({n: F.coalesce(col(n), r, F.lit(FREE_TEXT_FILL)) for n, r in zip(names, replacements, strict=True)})
 
 
 def drop_missing(df: DataFrame, names: Sequence[str]) -> DataFrame:

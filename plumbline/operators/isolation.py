@@ -3,8 +3,8 @@
 Every tree looks at no more than 256 values, whatever the table size. In one
 dimension a tree is a list of split points with a path length between them, so
 the forest's mean path length is a step function of the value. The trees are
-grown one per task group, the step function is a bounded table, and flagging
-the full data is a binary search over its steps inside generated code.
+grown one per task group, the step function is a table of at most 25 600 rows
+per column, and the full data is flagged by a sorted merge with its steps.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import count_below
+from plumbline.operators.ordering import Cuts, numeric_cuts, with_range
 
 # executors get the functions themselves and need not have this package installed
 register_pickle_by_value(sys.modules[__name__])
@@ -109,26 +109,39 @@ def forest_steps(long: DataFrame, seed: int = 42) -> DataFrame:
     return deltas.select("column_name", "above", F.pow(F.lit(2.0), -ratio).alias("score"))
 
 
-def with_score(long: DataFrame, steps: DataFrame) -> DataFrame:
-    """Add ``step`` and ``score`` to every value."""
-    ordered = F.array_sort(F.collect_list(F.struct("above", "score")))
-    arrays = steps.groupBy("column_name").agg(ordered.alias("s")).select(
-        "column_name", F.col("s.above").alias("above"), F.col("s.score").alias("scores")
+def with_score(rows: DataFrame, steps: DataFrame, cuts: Cuts | None = None) -> DataFrame:
+    """Add ``score`` to (column_name, value, ...): that of the last step below the value.
+
+    Steps and values are sorted together inside value ranges, and the last step of each range is carried to the next
+    ones, so no task holds a column's steps. Values that repeat much should come counted.
+    """
+    cuts = cuts or numeric_cuts(rows.select("column_name", "value"))
+    others = [f for f in rows.schema if f.name not in ("column_name", "value")]
+    marks = steps.select(
+        "column_name", F.col("above").alias("value"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in others], F.lit(1).alias("_mark"), "score"
     )
-    joined = long.join(F.broadcast(arrays), "column_name")  # <= 25 600 steps per column
-    placed = count_below(joined, "above", "value", POOL.bit_length(), "step")
-    return placed.withColumn("score", F.get("scores", F.col("step") - 1)).drop("above", "scores")
+    both = rows.withColumn("_mark", F.lit(0)).withColumn("score", F.lit(None).cast("double")).unionByName(marks)
+    ranged = with_range(both, cuts)
+    group = ["column_name", "range_id"]
+    is_step = F.col("_mark") == 1
+    last = ranged.groupBy(*group).agg(F.max_by(F.when(is_step, F.col("score")), F.when(is_step, F.col("value"))).alias("last"))
+    earlier = Window.partitionBy("column_name").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*group, F.last("last", True).over(earlier).alias("_before"))
+    # A value that equals a step's bound lies below the step.
+    so_far = Window.partitionBy(*group).orderBy("value", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(carried, group).withColumn("score", F.coalesce(F.last("score", True).over(so_far), F.col("_before")))
+    return placed.filter("_mark = 0").select(*rows.columns, "score")
 
 
 def flagged_counts(long: DataFrame, contamination: float | None = None, seed: int = 42) -> DataFrame:
-    """(column_name, n, flagged) over all values."""
-    scored = with_score(long, forest_steps(long, seed))
+    """(column_name, n, flagged) over all values; each distinct value is scored once."""
+    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("m"))
+    scored = with_score(counts, forest_steps(long, seed), numeric_cuts(long))
     if contamination is None:
-        return scored.groupBy("column_name").agg(
-            F.count("*").alias("n"), F.count_if(F.col("score") > AUTO_SCORE).alias("flagged")
-        )
+        flagged = F.coalesce(F.sum(F.when(F.col("score") > AUTO_SCORE, F.col("m"))), F.lit(0))
+        return scored.groupBy("column_name").agg(F.sum("m").alias("n"), flagged.alias("flagged"))
     # values share a score per step, so the score quantile needs step counts only
-    per_score = scored.groupBy("column_name", "score").agg(F.count("*").alias("m"))
+    per_score = scored.groupBy("column_name", "score").agg(F.sum("m").alias("m"))
     whole = Window.partitionBy("column_name")
     run = whole.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     counted = per_score.select(

@@ -471,6 +471,19 @@ def outlier_iforest_5pct(t):
     return r6(outliers.forest_rates(t.view("dirty_orders"), ["o_totalprice", "o_custkey"], "o_orderkey", contamination=0.05))
 
 
+# Two far clusters beside one value that nearly all rows have: every tree parts them from it first, so that exactly the
+# planted rows score above 0.5.
+PLANTED = "CASE WHEN o_orderkey % 97 = 0 THEN 1e6 + o_orderkey % 5 WHEN o_orderkey % 89 = 0 THEN -1e6 ELSE 100.0 END"
+
+
+@query(
+    "outlier_iforest_planted",
+    f"""SELECT 'v' AS column_name, COUNT(*) AS n, ROUND(COUNT(*) FILTER (v <> 100) / COUNT(*), 6) AS outlier_iso FROM (SELECT {PLANTED} AS v FROM orders)""",
+)
+def outlier_iforest_planted(t):
+    return r6(outliers.forest_rates(t("orders").select(F.expr(PLANTED).cast("double").alias("v")), ["v"]))
+
+
 @query("outlier_combined")
 def outlier_combined(t):
     return r6(outliers.combined_rates(t.view("dirty_orders"), ["o_totalprice", "o_custkey"], "o_orderkey"))

@@ -194,3 +194,37 @@ def test_remediation(spark):
     mixed = spark.createDataFrame([(" A  b",), ("a B",), ("a\tb",), ("c",)], "s string")
     row = checks.canonicalize_text(mixed, ["s"]).first()
     assert (row["distinct_before"], row["distinct_after"]) == (4, 2)
+
+
+def test_scorecard_scans_do_not_grow_with_the_rules(spark, tmp_path):
+    spark.range(3000).selectExpr("id % 900 AS a", "id AS b", "CAST(id % 50 AS STRING) AS c", "CAST(NULL AS INT) AS d", "repeat(CAST(id % 3 AS STRING), 90) AS e").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    small = spark.range(40).selectExpr("CAST(id AS STRING) AS k", "repeat(CAST(id AS STRING), 90) AS l")
+    unique = [checks.Rule(f"u{n}", n, "unique") for n in "abcde"]
+    known = [checks.Rule(f"f{i}", n, "fk", reference=small.filter(f"CAST(k AS INT) < {40 - i}"), reference_key=k) for i, (n, k) in enumerate([("c", "k"), ("c", "k"), ("a", "k"), ("e", "l"), ("d", "k")])]
+    rows = [checks.Rule(f"r{i}", "a", "row", f"a > {i}") for i in range(5)]
+    got = {r["rule_id"]: (r["checked"], r["violations"]) for r in checks.rule_scorecard(df, [*rows, *unique, *known]).collect()}
+    assert got == {
+        **{f"r{i}": (3000, sum(x % 900 > i for x in range(3000))) for i in range(5)},
+        "ua": (3000, 3000), "ub": (3000, 0), "uc": (3000, 3000), "ud": (3000, 0), "ue": (3000, 3000),
+        "f0": (3000, 600), "f1": (3000, 660), "f2": (3000, sum(x % 900 >= 38 for x in range(3000))), "f3": (3000, 0), "f4": (3000, 0),
+    }
+
+    def size(rules):
+        plan = checks.rule_scorecard(df, rules)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("FileScan parquet"), plan.count("Exchange hashpartitioning")
+
+    assert size([*rows, *unique])[0] == size([rows[0], unique[0]])[0] == 2
+    assert size(unique) == size(unique[:1]) == (1, 1)
+    assert size(known)[0] == 1 and size(known)[1] == size(known[:1])[1]
+
+
+def test_modes_are_counted_once(spark, tmp_path):
+    rows = [("b", "x", None), ("b", None, None), ("a", "y", None), ("a", "y", None), (None, None, None)]
+    spark.createDataFrame(rows, "p string, q string, r string").write.parquet(f"{tmp_path}/m")
+    df = spark.read.parquet(f"{tmp_path}/m")
+    filled = checks.fill_mode_or_unknown(df, ["p", "q", "r"])
+    assert sorted(tuple(r) for r in filled.collect()) == [("a", "y", "Unknown")] * 3 + [("b", "x", "Unknown"), ("b", "y", "Unknown")]
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("FileScan parquet") <= 2 + plan.split("== Initial Plan ==")[0].count("ReusedSubquery")
+    assert tuple(checks.mode_values(df, ["p", "q", "r"]).first()) == ("a", "y", None)

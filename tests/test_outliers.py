@@ -88,3 +88,40 @@ def test_combined(planted):
     row = outliers.combined_rates(df, ["x"], "k").first()
     assert row["outlier_pct"] == 100 * max(row["outlier_z"], row["outlier_iso"])
     assert outliers.approx_rates(numeric_long(df, ["x"])).agg(F.count("*")).first()[0] == 1
+
+
+def test_forest_of_two_thousand_columns(spark, monkeypatch):
+    """Steps and values are merged: no step table is broadcast, and each planted value is flagged."""
+    names = [f"c{i}" for i in range(2000)]
+    df = spark.range(0, 40, 1, 2).select(*[F.when(F.col("id") == i % 40, F.lit(1e6)).otherwise((F.col("id") * (i + 1)) % 7).alias(n) for i, n in enumerate(names)])
+    long = numeric_long(df, names)
+    monkeypatch.setattr(isolation, "TREES", 4)
+    monkeypatch.setattr(isolation, "POOL", 4 * isolation.TREE_VALUES)
+    rates = isolation.flagged_counts(long)
+    got = {r["column_name"]: (r["n"], r["flagged"]) for r in rates.collect()}
+    assert set(got) == set(names) and all(n == 40 and 1 <= flagged for n, flagged in got.values())
+
+
+def test_scores_are_merged_not_broadcast(planted):
+    _, df = planted
+    long = numeric_long(df, ["x"])
+    steps = isolation.forest_steps(long)
+    plan = isolation.with_score(long, steps)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "array_sort" not in plan
+
+
+@pytest.mark.parametrize("rows_per_range", [5, 100_000])
+def test_scores_cross_ranges(planted, monkeypatch, rows_per_range):
+    from plumbline.operators import ordering
+
+    values, df = planted
+    long = numeric_long(df, ["x", "flat"])
+    steps = isolation.forest_steps(long).cache()
+    monkeypatch.setattr(ordering, "CUT_SAMPLE", 1.0)
+    cuts = ordering.numeric_cuts(long, rows_per_range=rows_per_range)
+    table = {}
+    for r in sorted(steps.collect(), key=lambda r: r["above"]):
+        table.setdefault(r["column_name"], []).append((r["above"], r["score"]))
+    for r in isolation.with_score(long, steps, cuts).collect():
+        assert r["score"] == [s for a, s in table[r["column_name"]] if a < r["value"]][-1]
+    steps.unpersist()

@@ -318,3 +318,19 @@ def test_bootstrap_without_an_arm(spark):
     df = spark.createDataFrame([(1, 1, 2.0, "s"), (2, 1, 3.0, None)], "k bigint, t int, y double, s string")
     assert tuple(causal.ate_interval(df, "k", "t", "y", ["s"]).first()) == (None, None, None, 0)
     assert tuple(causal.ate_interval(df.limit(0), "k", "t", "y", ["s"]).first()) == (None, None, None, 0)
+
+
+def test_box_joins_counted_values_only(spark):
+    rng = np.random.default_rng(6)
+    values = {"hot": np.round(rng.normal(size=3000) * 10), "rare": rng.normal(size=40), "one": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "g string, y double")
+    found = chartdata.chart_box(df, "g", "y")
+    for r in found.collect():
+        v = values[r["x"]]
+        q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+        held = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        assert np.allclose([r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"]], [q1, q2, q3, held.min(), held.max()])
+        assert (r["n"], r["n_beyond"]) == (len(v), len(v) - len(held))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert "Aggregate" in "".join(plan[first + 1 : first + 4])  # what is joined with the boxes has been counted
