@@ -40,12 +40,21 @@ def parse_json(reply: Column, schema: str) -> Column:
     return F.coalesce(tried(reply), tried(strip_fence(reply)), tried(outer_braces(reply)))
 
 
+def _after(reply: Column, keyword: str, sign: str) -> Column:
+    """What follows ``keyword`` and ``sign``, at each place where both stand; white space between them is skipped."""
+    pieces = F.split(reply, keyword)
+    following = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.ltrim(p, F.lit(BLANK)))
+    signed = F.filter(following, lambda p: F.startswith(p, F.lit(sign)))
+    return F.transform(signed, lambda p: F.ltrim(F.substr(p, F.lit(len(sign) + 1)), F.lit(BLANK)))
+
+
 def column_list(reply: Column) -> Column:
-    """``COLUMNS=[a, b]``, else a ``columns: a, b`` line, else an empty array."""
-    bracket = F.regexp_extract(reply, r"COLUMNS[ \t\r\n]*=[ \t\r\n]*\[([^]]*)]", 1)
-    rest_of_line = F.regexp_extract(reply, r"(?i)columns[ \t\r\n]*:[ \t\r\n]*([^\r\n]*)", 1)
-    text = F.when(bracket != "", bracket).otherwise(rest_of_line)
-    names = F.transform(F.split(text, ","), lambda c: F.trim(c, F.lit(" []'\"")))
+    """The names in the first non-empty ``COLUMNS = [...]``, else on the rest of the first ``columns:`` line (any case),
+    else an empty array. Brackets, quotes and blanks around names are dropped."""
+    lists = F.filter(_after(reply, "COLUMNS", "="), lambda p: F.startswith(p, F.lit("[")) & F.contains(p, F.lit("]")) & ~F.startswith(p, F.lit("[]")))
+    lines = F.filter(F.transform(_after(reply, "(?i)columns", ":"), lambda p: F.split(p, "[\r\n]")[0]), lambda p: p != "")
+    text = F.coalesce(F.substring_index(F.get(lists, F.lit(0)), "]", 1), F.get(lines, F.lit(0)), F.lit(""))
+    names = F.transform(F.split(text, ","), lambda c: F.trim(c, F.lit(BLANK + "[]'\"")))
     return F.filter(names, lambda c: c != "")
 
 

@@ -11,7 +11,9 @@ from plumbline.functions.columns import col
 
 BATCHES, BATCH_ROWS = 5, 10
 MAX_REASONS, MAX_EXAMPLES, MAX_DESCRIPTIONS = 5, 3, 3
-# Verdicts and the flags they raise.
+MAX_NUMERIC_EXAMPLES = 5
+# Verdicts, the flags they raise, and the description of a column without findings.
+NOTHING_FOUND = "No semantic inconsistencies detected."
 CATEGORY_FLAG = "Classification might be wrong"
 NUMERIC_FLAG = "Logical or semantic inconsistency"
 SIGNAL_LIMIT = 0.5
@@ -80,12 +82,21 @@ def _verdict() -> Column:
 
 
 def verdict_aggregate(replies: DataFrame) -> DataFrame:
-    """One finding per column: the strongest verdict wins. Unparsed replies (NULL verdict) are silent."""
+    """One finding per column: the strongest verdict wins. Unparsed replies (NULL verdict) are silent.
+
+    ``samples_checked`` adds up ``n_rows``, the rows that a reply's reviewer was shown (see ``review_payload``); a reply
+    without it stands for one row.
+    """
+    shown = F.coalesce(F.col("n_rows"), F.lit(1)) if "n_rows" in replies.columns else F.lit(1)
+    looked = replies.groupBy(F.col("column_name").alias("c")).agg(F.sum(shown).cast("long").alias("samples_checked"))
     judged = verdict_counts(replies).withColumn("verdict", _verdict())
+    judged = judged.join(looked, judged["column_name"].eqNullSafe(looked["c"]))
     flagged = F.col("verdict") != "consistent"
     return judged.select(
         "column_name",
+        F.lit("categorical").alias("type"),
         "n_replies",
+        "samples_checked",
         "verdict",
         F.when(flagged, "High").otherwise("Medium").alias("confidence"),
         F.when(flagged, CATEGORY_FLAG).otherwise("").alias("discrepancy_flag"),
@@ -114,49 +125,60 @@ def verdict_gate(replies: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def numeric_verdict(replies: DataFrame, checked: DataFrame) -> DataFrame:
-    """Verdicts valid / suspicious / invalid per numeric column; ``checked`` gives
-    (column_name, n) of values looked at."""
-    judged = replies.groupBy("column_name").agg(
+    """Verdicts valid / suspicious / invalid per numeric column, with the first reasons, example rows and description.
+
+    ``replies``: column_name, verdict, and as far as there are any reply_id, reason, example (a row as text) and
+    description, each read in the order of reply_id. ``checked`` gives (column_name, n) of values looked at.
+    """
+    given = replies
+    for name, dtype in (("reply_id", "long"), ("reason", "string"), ("example", "string"), ("description", "string")):
+        if name not in given.columns:
+            given = given.withColumn(name, F.lit(None).cast(dtype))
+    judged = given.groupBy("column_name").agg(
         F.count_if(F.col("verdict") == "invalid").alias("n_invalid"),
         F.count_if(F.col("verdict") == "suspicious").alias("n_suspicious"),
     )
     verdict = (
         F.when(F.col("n_invalid") > 0, "invalid").when(F.col("n_suspicious") > 0, "suspicious").otherwise("valid")
     )
-    joined = checked.join(F.broadcast(judged), "column_name", "left")
+    described = _first_distinct(given, "description", 1).select("column_name", F.col("item").alias("description"))
+    joined = checked.join(F.broadcast(judged), "column_name", "left")  # one row per column, as all below
+    for part in (reasons_dedup(given), _examples(given, MAX_NUMERIC_EXAMPLES), described):
+        joined = joined.join(F.broadcast(part), "column_name", "left")
+    nothing = F.array().cast("array<string>")
     return joined.select(
         "column_name",
+        F.lit("numeric").alias("type"),
         F.col("n").alias("samples_checked"),
         verdict.alias("verdict"),
         F.lit("High").alias("confidence"),
         F.when(verdict == "valid", "").otherwise(NUMERIC_FLAG).alias("discrepancy_flag"),
+        F.coalesce("reasons", nothing).alias("example_reasons"),
+        F.coalesce("example_rows", nothing).alias("example_rows"),
+        F.coalesce("description", F.lit(NOTHING_FOUND)).alias("description"),
     )
 
 
+def _examples(replies: DataFrame, limit: int) -> DataFrame:
+    """The first example rows per column."""
+    order = Window.partitionBy("column_name").orderBy("reply_id", "example")
+    ranked = replies.filter(F.col("example").isNotNull()).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    listed = F.array_sort(F.collect_list(F.struct("place", "example")))
+    return ranked.groupBy("column_name").agg(F.transform(listed, lambda s: s["example"]).alias("example_rows"))
+
+
 def findings(replies: DataFrame) -> DataFrame:
     """Verdict, reasons and description of each column in one table.
 
-    ``replies``: column_name, reply_id, verdict, reason, description, example.
+    ``replies``: column_name, reply_id, verdict, reason, description, example, and n_rows if known.
     """
     described = _first_distinct(replies, "description", MAX_DESCRIPTIONS).groupBy("column_name").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda s: s["item"]), " | "
         ).alias("description")
     )
-    order = Window.partitionBy("column_name").orderBy("reply_id")
-    examples = (
-        replies.filter(F.col("example").isNotNull())
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= MAX_EXAMPLES)
-        .groupBy("column_name")
-        .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("place", "example"))), lambda s: s["example"]).alias(
-                "example_rows"
-            )
-        )
-    )
     out = verdict_aggregate(replies)
-    for part in (reasons_dedup(replies), described, examples):
+    for part in (reasons_dedup(replies), described, _examples(replies, MAX_EXAMPLES)):
         out = out.join(part, "column_name", "left")
     return out
 

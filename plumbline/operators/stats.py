@@ -561,36 +561,54 @@ EXPLORE_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def explorative_profile(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Counts, moments and percentiles of the numeric columns, plus duplicate rows."""
-    names = list(names if names is not None else of_kind(df, "numeric"))
-    long = numeric_long(df, names)
-    moments = long.groupBy("column_name").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("value") == 0).alias("zeros"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.skewness("value").alias("skewness"),
-        F.kurtosis("value").alias("kurtosis"),
-    )
-    quantiles = exact_quantiles(long, ["column_name"], EXPLORE_PROBS).select(
-        "column_name", *[F.col("quantiles")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(EXPLORE_PROBS)]
-    )
-    base = _with_distinct(df, names).select("column_name", F.col("n").alias("rows"), "non_null", "n_unique")
-    return (
-        base.join(F.broadcast(moments), "column_name", "left")
-        .join(F.broadcast(quantiles), "column_name", "left")
-        .select(
-            "column_name",
-            "rows",
-            (F.col("rows") - F.col("non_null")).alias("missing"),
-            F.col("n_unique").alias("distinct_values"),
-            F.coalesce("zeros", F.lit(0)).alias("zeros"),
-            "mean",
-            "std",
-            "skewness",
-            "kurtosis",
-            *[f"p{int(p * 100):02d}" for p in EXPLORE_PROBS],
+    """All columns in one table: counts for every class, moments and percentiles of numbers, lengths of texts, ends of
+    datetimes, the most frequent value of the others, and the table's number of duplicate rows."""
+    names = list(names if names is not None else df.columns)
+    numeric, textual = of_kind(df, "numeric", names=names), of_kind(df, "text", names=names)
+    others = [n for n in names if n not in numeric]
+    out = _with_distinct(df, names).withColumnsRenamed({"n": "rows", "n_unique": "distinct_values"})
+    measured = {"zeros": "long", "skewness": "double", "kurtosis": "double", "quantiles": "array<double>"}
+    if numeric:
+        long = numeric_long(df, numeric)
+        moments = long.groupBy("column_name").agg(
+            F.count_if(F.col("value") == 0).alias("zeros"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis")
         )
+        quantiles = exact_quantiles(long, ["column_name"], EXPLORE_PROBS).select("column_name", "quantiles")
+        out = out.join(F.broadcast(moments), "column_name", "left").join(F.broadcast(quantiles), "column_name", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in measured.items()})
+    if textual:
+        size = {n: F.length(as_text(df.schema[n])) for n in textual}
+        wide = df.agg(*[f(size[n]).alias(f"{k}{i}") for i, n in enumerate(textual) for k, f in (("a", F.min), ("b", F.max))])
+        rows = [F.struct(F.lit(n).alias("column_name"), F.col(f"a{i}").alias("shortest"), F.col(f"b{i}").alias("longest")) for i, n in enumerate(textual)]
+        out = out.join(F.broadcast(wide.select(F.inline(F.array(*rows)))), "column_name", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("int") for c in ("shortest", "longest")})
+    if others:
+        top = top_values(df, others, 1).select("column_name", F.col("value").alias("top_value"), F.col("n").alias("top_n"))
+        out = out.join(F.broadcast(top), "column_name", "left")
+    else:
+        out = out.withColumns({"top_value": F.lit(None).cast("string"), "top_n": F.lit(None).cast("long")})
+    repeated = duplicate_rows(df).select("duplicate_rows").scalar()
+    return out.select(
+        "column_name",
+        "kind",
+        "rows",
+        (F.col("rows") - F.col("non_null")).alias("missing"),
+        "distinct_values",
+        F.when(F.col("kind") == "numeric", F.coalesce("zeros", F.lit(0))).alias("zeros"),
+        "mean",
+        "std",
+        "skewness",
+        "kurtosis",
+        *[F.col("quantiles")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(EXPLORE_PROBS)],
+        "shortest",
+        "longest",
+        "min_time",
+        "max_time",
+        "top_value",
+        "top_n",
+        repeated.alias("duplicate_rows"),
     )
 
 

@@ -24,31 +24,22 @@ def chart_histogram(t):
     return r6(chartdata.chart_histogram(t("orders"), "o_totalprice", hue="o_orderstatus"))
 
 
-@query(
-    "chart_kde",
-    """WITH b AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, STDDEV_SAMP(o_totalprice) * POW(COUNT(*), -0.2) AS h, COUNT(*) AS n FROM orders),
-       k AS (SELECT LEAST(FLOOR((o_totalprice - lo) / ((hi - lo) / 200)), 199) AS bin, COUNT(*) AS c FROM orders, b GROUP BY 1),
-       g AS (SELECT i::INTEGER AS i, lo + (hi - lo) * i / 199.0 AS x, lo, hi, h, n FROM range(0, 200) r(i), b)
-       SELECT i, ROUND(x, 6) AS x, ROUND(1e6 * SUM(c * EXP(-0.5 * ((x - (lo + (hi - lo) / 200 * (bin + 0.5))) / h) ** 2)) / (ANY_VALUE(n) * ANY_VALUE(h) * SQRT(2 * PI())), 6) AS density_per_million
-       FROM g, k GROUP BY i, x""",
-)
-def chart_kde(t):
-    curve = chartdata.chart_kde(t("orders"), "o_totalprice", bins=chartdata.KDE_BINS)  # as its SQL has it
-    return r6(curve.select("i", "x", (F.col("density") * 1e6).alias("density_per_million")))
-
-
-@query(
-    "chart_kde_values",
-    """WITH b AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, STDDEV_SAMP(o_totalprice) * POW(COUNT(*), -0.2) AS h, COUNT(*) AS n FROM orders),
+KDE_SQL = """WITH b AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, STDDEV_SAMP(o_totalprice) * POW(COUNT(*), -0.2) AS h, COUNT(*) AS n FROM orders),
        g AS (SELECT i::INTEGER AS i, lo + (hi - lo) * i / 199.0 AS x, h, n FROM range(0, 200) r(i), b)
        SELECT i, ROUND(x, 6) AS x, ROUND(1e6 * SUM(EXP(-0.5 * ((x - o_totalprice) / h) ** 2)) / (ANY_VALUE(n) * ANY_VALUE(h) * SQRT(2 * PI())), 6) AS density_per_million
-       FROM g, orders GROUP BY i, x""",
-)
-def chart_kde_values(t):
+       FROM g, orders GROUP BY i, x"""
+
+
+def kde(t):
+    """The kernel summed over all values, none replaced by a bin's centre."""
     curve = chartdata.chart_kde(t("orders"), "o_totalprice")
     return r6(curve.select("i", "x", (F.col("density") * 1e6).alias("density_per_million")))
 
 
+query("chart_kde", KDE_SQL)(kde)
+query("chart_kde_values", KDE_SQL)(kde)  # the name under which the whole curve was first registered
+
+
 @query("chart_value_counts", "SELECT event_type AS value, COUNT(*) AS n FROM events GROUP BY 1")
 def chart_value_counts(t):
     return chartdata.chart_value_counts(t("events"), "event_type")

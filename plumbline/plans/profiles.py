@@ -250,23 +250,33 @@ def mean_text_length(t):
     return r6(stats.mean_text_length(t("documents"), ["text", "lang", "source", "doc_id"]))
 
 
-@query(
-    "explorative_profile",
-    (
-        per_column(
-            [("l_quantity", "", ""), ("l_extendedprice", "", ""), ("l_discount", "", ""), ("l_linenumber", "", "")],
-            lambda n, d, c: f"""SELECT '{n}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT(v) AS missing, COUNT(DISTINCT v) AS distinct_values,
-              COUNT(*) FILTER (v = 0) AS zeros, ROUND(AVG(v), 9) AS mean, ROUND(STDDEV_SAMP(v), 6) AS std,
-              ROUND(AVG(((v - m) / s) ** 3), 4) AS skewness, ROUND(AVG(((v - m) / s) ** 4) - 3, 4) AS kurtosis,
-              {", ".join(f"ROUND(QUANTILE_CONT(v, {p}), 9) AS p{int(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))}
-              FROM (SELECT {n}::DOUBLE AS v FROM lineitem), (SELECT AVG({n}) AS m, STDDEV_POP({n}) AS s FROM lineitem)""",
-        )
-    ),
-)
+EXPLORED = [("l_quantity", "numeric"), ("l_extendedprice", "numeric"), ("l_discount", "numeric"), ("l_linenumber", "numeric"), ("l_returnflag", "text"), ("l_shipdate", "datetime")]
+
+
+def explored(name: str, cls: str) -> str:
+    """SQL of one row of the explorative profile."""
+    number, text, moment = cls == "numeric", cls == "text", cls == "datetime"
+    percent = ", ".join(f"{f'ROUND(QUANTILE_CONT(v, {p}), 9)' if number else 'NULL::DOUBLE'} AS p{int(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))
+    top = f"FROM (SELECT {name}::VARCHAR AS x, COUNT(*) AS n FROM lineitem WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY n DESC, x LIMIT 1)"
+    if number:
+        source = f"(SELECT {name} AS raw, {name}::DOUBLE AS v FROM lineitem), (SELECT AVG({name}) AS m, STDDEV_POP({name}) AS s FROM lineitem)"
+    else:
+        source = f"(SELECT {name} AS raw FROM lineitem)"
+    shape = "ROUND(AVG(((v - m) / s) ** 3), 4) AS skewness, ROUND(AVG(((v - m) / s) ** 4) - 3, 4) AS kurtosis" if number else "NULL::DOUBLE AS skewness, NULL::DOUBLE AS kurtosis"
+    return f"""SELECT '{name}' AS column_name, '{cls}' AS kind, COUNT(*) AS rows, COUNT(*) - COUNT(raw) AS missing, COUNT(DISTINCT raw) AS distinct_values,
+      {'COUNT(*) FILTER (v = 0)' if number else 'NULL::BIGINT'} AS zeros, {'ROUND(AVG(v), 9)' if number else 'NULL::DOUBLE'} AS mean, {'ROUND(STDDEV_SAMP(v), 6)' if number else 'NULL::DOUBLE'} AS std,
+      {shape}, {percent}, {'MIN(LENGTH(raw))::INT' if text else 'NULL::INT'} AS shortest, {'MAX(LENGTH(raw))::INT' if text else 'NULL::INT'} AS longest,
+      {"strftime(MIN(raw), '%Y-%m-%d %H:%M:%S')" if moment else 'NULL::VARCHAR'} AS min_time, {"strftime(MAX(raw), '%Y-%m-%d %H:%M:%S')" if moment else 'NULL::VARCHAR'} AS max_time,
+      {'NULL::VARCHAR' if number else f'(SELECT x {top})'} AS top_value, {'NULL::BIGINT' if number else f'(SELECT n {top})'} AS top_n,
+      (SELECT COUNT(*) FROM lineitem) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows FROM {source}"""
+
+
+@query("explorative_profile", "\nUNION ALL ".join(explored(n, c) for n, c in EXPLORED))
 def explorative_profile(t):
-    found = stats.explorative_profile(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"])
+    found = stats.explorative_profile(t("lineitem"), [n for n, _ in EXPLORED])
     digits = {"skewness": 4, "kurtosis": 4, "std": 6}
-    return r6(found.withColumns({c: F.round(c, d) for c, d in digits.items()}), 9)
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("min_time", "max_time")}
+    return r6(found.withColumns({c: F.round(c, d) for c, d in digits.items()}).withColumns(text), 9)
 
 
 @query(

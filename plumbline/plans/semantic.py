@@ -66,20 +66,20 @@ def review_payload(t):
     return review.review_payload(t("orders"), "o_orderkey", "o_orderstatus", ["o_orderpriority", "o_totalprice"])
 
 
-JUDGED = f"""SELECT column_name, COUNT(*) AS n_replies, CASE WHEN BOOL_OR(COALESCE(verdict, '') = 'inconsistent') THEN 'inconsistent'
+JUDGED = f"""SELECT column_name, COUNT(*) AS n_replies, CAST(SUM(reply_id % 10 + 1) AS BIGINT) AS samples_checked, CASE WHEN BOOL_OR(COALESCE(verdict, '') = 'inconsistent') THEN 'inconsistent'
    WHEN BOOL_OR(COALESCE(verdict, '') = 'possibly inconsistent') THEN 'possibly inconsistent' ELSE 'consistent' END AS verdict FROM ({PARSED}) GROUP BY column_name"""
 
 
 @query(
     "verdict_aggregate",
     with_views(
-        f"""SELECT column_name, n_replies, verdict, IF(verdict = 'consistent', 'Medium', 'High') AS confidence,
+        f"""SELECT column_name, 'categorical' AS type, n_replies, samples_checked, verdict, IF(verdict = 'consistent', 'Medium', 'High') AS confidence,
         IF(verdict = 'consistent', '', 'Classification might be wrong') AS discrepancy_flag FROM ({JUDGED})""",
         "reply_rows",
     ),
 )
 def verdict_aggregate(t):
-    return review.verdict_aggregate(parsed_replies(t))
+    return review.verdict_aggregate(parsed_replies(t).withColumn("n_rows", F.expr("reply_id % 10 + 1")))
 
 
 SIGNAL_PAIRS = {"l_returnflag": ["l_linestatus", "l_tax"], "l_linestatus": ["l_returnflag"]}
@@ -121,19 +121,31 @@ def reasons_dedup(t):
 
 @query(
     "numeric_verdict",
-    """WITH rep AS (SELECT l_returnflag, CASE WHEN l_discount > 0.09 THEN 'invalid' WHEN l_tax > 0.07 THEN 'suspicious' ELSE 'valid' END AS v FROM lineitem)
-       SELECT 'l_discount' AS column_name, COUNT(*) AS samples_checked, CASE WHEN BOOL_OR(v = 'invalid') THEN 'invalid' WHEN BOOL_OR(v = 'suspicious') THEN 'suspicious' ELSE 'valid' END AS verdict,
-         'High' AS confidence, CASE WHEN BOOL_OR(v <> 'valid') THEN 'Logical or semantic inconsistency' ELSE '' END AS discrepancy_flag FROM rep
-       UNION ALL SELECT 'l_quantity', COUNT(*), 'valid', 'High', '' FROM lineitem""",
+    """WITH rep AS (SELECT l_orderkey * 8 + l_linenumber AS reply_id, CASE WHEN l_discount > 0.09 THEN 'invalid' WHEN l_tax > 0.07 THEN 'suspicious' ELSE 'valid' END AS v, l_returnflag, l_orderkey FROM lineitem),
+       told AS (SELECT *, v || ' by ' || l_returnflag AS reason FROM rep WHERE v <> 'valid'),
+       f AS (SELECT reason, MIN(reply_id) AS i FROM told GROUP BY 1),
+       w AS (SELECT (SELECT STRING_AGG(reason, '; ' ORDER BY i) FROM (SELECT * FROM f ORDER BY i LIMIT 5)) AS reasons,
+         (SELECT STRING_AGG(l_orderkey::VARCHAR, '; ' ORDER BY reply_id) FROM (SELECT * FROM told ORDER BY reply_id LIMIT 5)) AS examples,
+         (SELECT 'first: ' || reason FROM f ORDER BY i LIMIT 1) AS description)
+       SELECT 'l_discount' AS column_name, 'numeric' AS type, COUNT(*) AS samples_checked, CASE WHEN BOOL_OR(v = 'invalid') THEN 'invalid' WHEN BOOL_OR(v = 'suspicious') THEN 'suspicious' ELSE 'valid' END AS verdict,
+         'High' AS confidence, CASE WHEN BOOL_OR(v <> 'valid') THEN 'Logical or semantic inconsistency' ELSE '' END AS discrepancy_flag, ANY_VALUE(reasons) AS example_reasons, ANY_VALUE(examples) AS example_rows, ANY_VALUE(description) AS description FROM rep, w
+       UNION ALL SELECT 'l_quantity', 'numeric', COUNT(*), 'valid', 'High', '', '', '', 'No semantic inconsistencies detected.' FROM lineitem""",
 )
 def numeric_verdict(t):
     line = t("lineitem")
     made = line.selectExpr(
         "'l_discount' AS column_name",
+        "l_orderkey * 8 + l_linenumber AS reply_id",
         "CASE WHEN l_discount > 0.09 THEN 'invalid' WHEN l_tax > 0.07 THEN 'suspicious' ELSE 'valid' END AS verdict",
+        "l_returnflag",
+        "l_orderkey",
+    ).selectExpr(
+        "column_name", "reply_id", "verdict", "CASE WHEN verdict <> 'valid' THEN verdict || ' by ' || l_returnflag END AS reason",
+        "CASE WHEN verdict <> 'valid' THEN CAST(l_orderkey AS STRING) END AS example", "'first: ' || CASE WHEN verdict <> 'valid' THEN verdict || ' by ' || l_returnflag END AS description",
     )
     checked = stats.column_stats(line, ["l_discount", "l_quantity"]).select("column_name", F.col("non_null").alias("n"))
-    return review.numeric_verdict(made, checked)
+    found = review.numeric_verdict(made, checked)
+    return found.withColumns({c: F.array_join(c, "; ") for c in ("example_reasons", "example_rows")})
 
 
 @query(

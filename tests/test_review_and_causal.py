@@ -334,3 +334,38 @@ def test_box_joins_counted_values_only(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = next(i for i, line in enumerate(plan) if "Join" in line)
     assert "Aggregate" in "".join(plan[first + 1 : first + 4])  # what is joined with the boxes has been counted
+
+
+def test_column_lists_by_position(spark):
+    cases = {
+        "COLUMNS\n=\t[ a ,b ] and COLUMNS=[c]": ["a", "b"],
+        "COLUMNS: none here, COLUMNS = x, then COLUMNS=[y]": ["y"],
+        "columns=[a]": [],
+        "the cOlUmNs :\n 'p', \"q\"\r\nrest": ["p", "q"],
+        "COLUMNS=[] columns: z": ["z"],
+        "COLUMNS=[a": [],
+        "": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: r["c"] for r in df.select("t", replies.column_list(F.col("t")).alias("c")).collect()}
+    assert got == cases
+    assert spark.createDataFrame([(None,)], "t string").select(replies.column_list(F.col("t"))).first()[0] == []
+
+
+def test_numeric_findings(spark):
+    made = [("a", i, ["valid", "suspicious"][i % 2], f"r{i % 9}" if i % 2 else None, f"row {i}" if i % 2 else None, None if i < 3 else f"d{i}") for i in range(40)]
+    df = spark.createDataFrame(made, "column_name string, reply_id int, verdict string, reason string, example string, description string")
+    checked = spark.createDataFrame([("a", 77), ("b", 5)], "column_name string, n long")
+    got = {r["column_name"]: r for r in review.numeric_verdict(df, checked).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["type"], a["samples_checked"], a["verdict"], a["description"]) == ("numeric", 77, "suspicious", "d3")
+    assert a["example_reasons"] == ["r1", "r3", "r5", "r7", "r0"] and a["example_rows"] == [f"row {i}" for i in (1, 3, 5, 7, 9)]
+    assert (b["verdict"], b["example_reasons"], b["example_rows"], b["description"]) == ("valid", [], [], review.NOTHING_FOUND)
+    bare = review.numeric_verdict(df.select("column_name", "verdict"), checked)
+    assert {r["verdict"] for r in bare.collect()} == {"suspicious", "valid"}
+
+
+def test_samples_checked(spark):
+    df = spark.createDataFrame([("a", 0, "consistent", None, None, None, 10), ("a", 1, None, None, None, None, 7), ("b", 0, "inconsistent", "x", None, None, None)], REPLIES + ", n_rows int")
+    got = {r["column_name"]: (r["type"], r["samples_checked"], r["n_replies"]) for r in review.findings(df).collect()}
+    assert got == {"a": ("categorical", 17, 2), "b": ("categorical", 1, 1)}

@@ -245,3 +245,12 @@ def test_levels_are_exact_up_to_the_limit(spark, n):
     assert got == {"i": n if n <= 50 else None, "s": n if n <= 50 else None, "d": n - 1 if n <= 51 else None, "nothing": 0, "blank": 1}
     plan = stats.levels(df, 50)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SinglePartition" in plan
+
+
+def test_exploration_of_one_class_only(spark):
+    text = spark.createDataFrame([("a",), ("a",), ("bcd",), (None,)], "t string")
+    r = stats.explorative_profile(text).first()
+    assert (r["kind"], r["rows"], r["missing"], r["distinct_values"], r["top_value"], r["top_n"], r["shortest"], r["longest"], r["duplicate_rows"]) == ("text", 4, 1, 2, "a", 2, 1, 3, 1)
+    assert r["zeros"] is None and r["mean"] is None and r["p50"] is None
+    n = stats.explorative_profile(spark.createDataFrame([(0.0,), (2.0,)], "x double")).first()
+    assert (n["zeros"], n["p50"], n["top_value"], n["duplicate_rows"]) == (1, 1.0, None, 0)
