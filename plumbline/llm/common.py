@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.scratch import scratch_path
+from plumbline.sources.scratch import scratch_path, scratch_table
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,35 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+CHUNK, ROW = "__chunk", "__row"
+
+
+def in_chunks(df: DataFrame, label: str, chunks_each: int = 8) -> DataFrame:
+    """The rows, written once with a chunk and a row number, in a table bucketed by chunk: ``per_chunk`` brings rows of
+    other tables to a chunk's task without moving these. A task's rows make ``chunks_each`` chunks."""
+    if taken := {CHUNK, ROW} & set(df.columns):
+        raise ValueError(f"reserved column names: {sorted(taken)}")
+    spark, name = df.sparkSession, scratch_table(df.sparkSession, "chunks")
+    row = F.monotonically_increasing_id()
+    chunk = F.shiftright(row, 33) * chunks_each + row % chunks_each  # the upper bits hold the partition
+    numbered = df.withColumn(ROW, row).withColumn(CHUNK, chunk)
+    buckets = max(1, df.rdd.getNumPartitions())
+    numbered.write.bucketBy(buckets, CHUNK).option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
+def per_chunk(table: DataFrame, other: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+    """``run`` over each chunk's rows and the rows of ``other`` that name it."""
+    return table.groupBy(CHUNK).cogroup(other.groupBy(CHUNK)).applyInArrow(run, schema)
+
+
+def row_places(table: pa.Table, wanted: pa.Table) -> np.ndarray:
+    """Where the rows that ``wanted`` names are in a chunk."""
+    numbers = table[ROW].to_numpy()
+    order = np.argsort(numbers)
+    return order[np.searchsorted(numbers[order], wanted[ROW].to_numpy())]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

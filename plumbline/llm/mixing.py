@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_RE, cut, n_words, shuffle_partitions, text_column
+from plumbline.llm.common import CHUNK, ROW, WORD_RE, cut, in_chunks, n_words, per_chunk, row_places, shuffle_partitions, text_column
 
 
 @dataclass
@@ -117,16 +117,17 @@ def mix(
     stream_docs: int = 1000,
     max_sources: int = 1 << 16,
     seed: int = 7,
+    carry: tuple[str, ...] = (),
 ) -> Mix:
     """Mix the documents' words by source. ``weights`` repeat over the sources in code-point order, NULL last.
 
     A source is packed in streams of about ``stream_docs`` documents, so that a source with a third of all rows is
-    many small sorts; only a stream's last block is short. The table of sources is a setting of the mixture and goes
+    many small sorts; only a stream's last block is short. Columns to ``carry`` go to the documents of the result. The table of sources is a setting of the mixture and goes
     through the driver: more than ``max_sources`` raise.
     """
     spark = docs.sparkSession
     text = text_column(docs)
-    sized = cut(docs.select("doc_id", docs["source"].cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("print")), "mix-sizes")
+    sized = cut(docs.select("doc_id", docs["source"].cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("print"), *carry), "mix-sizes")
     found = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -140,9 +141,9 @@ def mix(
 
     # Streams: a hash of the row's content deals them, the order inside one is by doc_id.
     dealt = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", sized["source"], "source_no", "size", "print", F.pmod(F.xxhash64("doc_id", "print"), F.col("streams")).alias("stream")
+        "doc_id", sized["source"], "source_no", "size", "print", F.pmod(F.xxhash64("doc_id", "print"), F.col("streams")).alias("stream"), *carry
     )
-    one = Window.partitionBy("source_no", "stream").orderBy("doc_id", "print")
+    one = Window.partitionBy("source_no", "stream").orderBy("doc_id", "print", *carry)
     rows = cut(
         dealt.withColumn("n", F.row_number().over(one)).withColumn("end", F.sum("size").over(one.rowsBetween(Window.unboundedPreceding, 0))),
         "mix-rows",
@@ -153,7 +154,7 @@ def mix(
     of = {r["source_no"]: r["blocks"] for r in streams.groupBy("source_no").agg(F.sum("blocks").alias("blocks")).collect()}
 
     key = F.concat_ws("-", "source_no", "stream", "n")
-    documents = rows.select(key.alias("row"), "doc_id", "source", "source_no", "size", "print")
+    documents = rows.select(key.alias("row"), "doc_id", "source", "source_no", "size", "print", *carry)
     placed = rows.filter("size > 0").join(streams.select("source_no", "stream", "first"), ["source_no", "stream"])
     place = F.explode(F.sequence(F.floor((F.col("end") - F.col("size")) / block_words), F.floor((F.col("end") - 1) / block_words)))
     start = F.col("end") - F.col("size")
@@ -205,25 +206,23 @@ def cut_text(text: str, starts: list[int], lengths: list[int]) -> str:
 def documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for every pass of the mix over a document, with the words taken in that pass.
 
-    The columns are those of the input; n_chars, where there is one, follows the text. Rows that agree in doc_id, source
-    and text are told apart by nothing but their other columns, which are taken from any of them.
+    The columns are those of the input; n_chars, where there is one, follows the text. Documents are written once and
+    not shuffled: what the mix takes of a row goes to it. Repeated rows are documents of their own.
     """
-    mixed = mix(docs, **options)
-    order = F.sort_array(F.collect_list(F.struct("start", "words")))
-    runs = mixed.pieces.groupBy("row", "copy").agg(order.alias("runs")).join(mixed.documents, "row")
-    wanted = runs.select(
-        F.col("doc_id").alias("__w_id"), F.col("source").alias("__w_source"), F.col("print").alias("__w_print"),
-        F.col("runs.start").alias("__starts"), F.col("runs.words").alias("__lengths"),
-    )
-    keys = [docs["doc_id"].alias("__id"), docs["source"].cast("string").alias("__source"), F.xxhash64(text_column(docs)).alias("__print")]
-    held = docs.select(*keys, *docs.columns).dropDuplicates(["__id", "__source", "__print"])
-    met = held.join(wanted, held["__id"].eqNullSafe(wanted["__w_id"]) & held["__source"].eqNullSafe(wanted["__w_source"]) & (held["__print"] == wanted["__w_print"]))
-
-    @F.pandas_udf("string")
-    def taken_text(text, starts, lengths):
-        return text.combine(starts.combine(lengths, lambda a, b: (a.tolist(), b.tolist())), lambda t, runs: cut_text(t, *runs))
-
-    out = met.withColumn("text", taken_text(met["text"].cast("string"), "__starts", "__lengths"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    table = in_chunks(docs, "mix-docs")
+    mixed = mix(table, carry=(CHUNK, ROW), **options)
+    order = F.sort_array(F.collect_list(F.struct("start", "words")))  # the blocks of one document
+    runs = mixed.pieces.groupBy("row", "copy").agg(order.alias("runs")).join(mixed.documents.select("row", CHUNK, ROW), "row")
+    wanted = runs.select(CHUNK, ROW, "copy", F.col("runs.start").alias("starts"), F.col("runs.words").alias("lengths"))
+    names, size = list(docs.columns), "n_chars" if "n_chars" in docs.columns else None
+
+    def pick(rows: pa.Table, taken: pa.Table) -> pa.Table:
+        taken = taken.sort_by([(ROW, "ascending"), ("copy", "ascending")])
+        out = rows.take(row_places(rows, taken)).select(names)
+        texts = [cut_text(*x) for x in zip(out["text"].cast(pa.string()).to_pylist(), taken["starts"].to_pylist(), taken["lengths"].to_pylist(), strict=True)]
+        new = {"text": pa.array(texts, pa.string())} | ({size: pa.array([len(t) for t in texts], pa.int64())} if size else {})
+        for name, column in new.items():
+            out = out.set_column(names.index(name), name, column.cast(rows.schema.field(name).type))
+        return out
+
+    return per_chunk(table, wanted, pick, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, slices, text_column
+from plumbline.llm.common import CHUNK, ROW, cut, in_chunks, per_chunk, row_places, slices, text_column
 from plumbline.llm.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -159,14 +159,22 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 3, bucket: int = 128)
 
 
 def drop_near_duplicates(docs: DataFrame, *, words_each: int = 3, bucket: int = 128) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (of equal ones, the smallest fingerprint)."""
-    mark, row = "__fp", "__row"
-    if {mark, row} & set(docs.columns):
-        raise ValueError(f"{mark} and {row} are reserved column names")
-    hashed = fingerprints(docs, words_each, tuple(docs.columns), mark).withColumn(row, F.monotonically_increasing_id())
-    hashed = cut(hashed, "dedup-docs")  # written, so a row keeps its number
+    """One document of each component: the one with the smallest doc_id (of equal ones, the smallest fingerprint).
+
+    Documents are written once and not shuffled: the numbers of the rows that stay go to them.
+    """
+    mark = "__fp"
+    if taken := {mark, CHUNK, ROW} & set(docs.columns):
+        raise ValueError(f"reserved column names: {sorted(taken)}")
+    table = in_chunks(fingerprints(docs, words_each, tuple(docs.columns), mark), "dedup-docs")
+    hashed = table.select("doc_id", mark, CHUNK, ROW)
     labels = cut(_labels(hashed.select(F.col(mark).alias("fp")), bucket), "dedup-labels")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", mark, row)).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", mark, ROW, CHUNK)).alias("first")
     each = cut(hashed.groupBy(mark).agg(first), "dedup-first").join(labels, F.col(mark) == labels["fp"])
-    best = each.groupBy("label").agg(F.min("first").alias("best")).select(F.col(f"best.{row}").alias(row))
-    return hashed.join(cut(best, "dedup-best"), row, "left_semi").select(*docs.columns)
+    best = each.groupBy("label").agg(F.min("first").alias("best")).select(F.col(f"best.{CHUNK}").alias(CHUNK), F.col(f"best.{ROW}").alias(ROW))
+    names = list(docs.columns)
+
+    def stay(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        return rows.take(np.sort(row_places(rows, wanted))).select(names)
+
+    return per_chunk(table, cut(best, "dedup-best"), stay, docs.schema)

@@ -18,7 +18,6 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, text_column
-from plumbline.sources.scratch import scratch_path
+from plumbline.sources.scratch import scratch_path, scratch_table
 
 LAST = np.iinfo(np.int64).max  # stands for a NULL doc_id
 MESSAGE = "part long, chunk long, body binary"
@@ -256,7 +255,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, chunks_each: int = 8, p
     buckets = max(1, docs.rdd.getNumPartitions())
     text = text_column(docs)
     chunk = F.spark_partition_id().cast("long") * chunks_each + F.pmod(F.xxhash64("doc_id", text), F.lit(chunks_each))
-    name = f"plumbline_chunks_{uuid.uuid4().hex}"
+    name = scratch_table(spark, "chunks")
     written = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), chunk.alias("chunk"))
     written.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks")).saveAsTable(name)
     table = spark.table(name)

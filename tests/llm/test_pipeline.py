@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from plumbline.llm import mixing, packing, quality, secretscan, simhash
 from plumbline.llm.common import WORD_RE
+from plumbline.sources import scratch
 from tests.llm.cases import frame, rows, texts
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import groups, plain
@@ -90,3 +91,36 @@ def test_stages_of_odd_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, "").count() >= 0, name
     assert simhash.drop_near_duplicates(frame(spark, rows(23, 20))).count() > 0
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Near-dedup and mixing send row numbers to the texts, in plans and in what is written before them."""
+    frame(spark, rows(25, 60, odd=False)).select(*COLUMNS).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    for out in (simhash.drop_near_duplicates(docs), mixing.documents(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if " Exchange " in line:
+                below = next(x for x in lines[i + 1 :] if "Project" in x or "Scan" in x or "Aggregate" in x or "Arrow" in x)
+                assert "text#" not in below, (line, below)
+        assert out.count() > 0
+
+
+def test_scratch_files_go(spark, stages, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "_OWN", [str(tmp_path)])
+    assert corpus_pipeline.run(spark, stages[0]).count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left <= {"mixing-sources"}, left  # what the result itself reads
+    corpus_pipeline._tidy(spark, spark.createDataFrame([], "doc_id long"))
+    assert not list(tmp_path.iterdir())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("plumbline_chunks")]
+
+
+def test_repeated_rows_in_the_mix(spark):
+    made = [m[:5] for m in rows(26, 30, odd=False)]
+    docs = spark.createDataFrame(made + made[:3] + [(made[0][0], made[0][1], "zz", made[0][3], 5)], "doc_id long, text string, lang string, source string, n_chars int")
+    once, again = (Counter(mixing.documents(docs.repartition(n), block_words=8, stream_docs=10, shard_slots=64).select("doc_id", "text").collect()) for n in (2, 5))
+    assert once == again
+    with pytest.raises(ValueError):
+        mixing.documents(docs.withColumn("__row", docs.doc_id))
