@@ -14,7 +14,8 @@ quartiles of that deviation over all its documents with words, widened on both s
 
 Defined cases: a NULL text has no words; a NULL lang is a language of its own; a document without words is rejected by
 the base rules and has no perplexity; ties do not occur; repeated rows count and are scored each; an empty table gives
-no rows; other columns are ignored by ``rate`` and kept by ``keep``.
+no rows; other columns are ignored by ``rate`` and kept by ``keep``. A text of more than 16,384 different code points is
+worked in pieces, with the same counts and scores.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from plumbline.llm.common import WORD_RE, cut, slices, text_column
 ORDER = 4
 START = 0x110000  # stands for the code points before a text
 GRAM = ["c1", "c2", "c3", "c4"]
+FULL = 1 << 15  # symbols of an alphabet
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -40,6 +42,17 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(" ".join(WORD_RE.findall(text)).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
+def runs(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The code points with the ones before them. A text with more different ones than half an alphabet holds comes in
+    pieces that have fewer; each piece knows the last code points of the one before."""
+    start = np.full(ORDER - 1, START, dtype=np.int64)
+    if len(points) <= FULL // 2 or len(np.unique(points)) <= FULL // 2:
+        yield points, start
+        return
+    for at in range(0, len(points), FULL // 2):
+        yield points[at : at + FULL // 2], np.concatenate([start, points[:at]])[-(ORDER - 1) :]
+
+
 class Alphabet:
     """Code points <-> small numbers, so that four of them fit one 64-bit key. 0 is START."""
 
@@ -48,15 +61,15 @@ class Alphabet:
         self.point = np.array([START], dtype=np.int64)
         self.number[START] = 0
 
-    def keys(self, text: str) -> np.ndarray | None:
-        """One key per code point: it and the three before it. None if the alphabet is full."""
-        points = codes(text)
-        new = np.unique(points[self.number[points] < 0])
-        if len(self.point) + len(new) > 1 << 15:
+    def keys(self, points: np.ndarray, before: np.ndarray) -> np.ndarray | None:
+        """One key per code point of a run: it and the three before it. None if the alphabet is full; a new one has room."""
+        whole = np.concatenate([before, points])
+        new = np.unique(whole[self.number[whole] < 0])
+        if len(self.point) + len(new) > FULL:
             return None
         self.number[new] = len(self.point) + np.arange(len(new))
         self.point = np.concatenate([self.point, new])
-        x = np.concatenate([np.zeros(ORDER - 1, dtype=np.int64), self.number[points]])
+        x = self.number[whole]
         return x[:-3] << 45 | x[1:-2] << 30 | x[2:-1] << 15 | x[3:]
 
     def points(self, keys: np.ndarray) -> list[np.ndarray]:
@@ -85,18 +98,19 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[p
 
     for batch in slices(batches, 256):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys = alphabet.keys(text)
-            if keys is None:
-                yield from send()
-                alphabet, held, size = Alphabet(), {}, 0
-                keys = alphabet.keys(text)
-            if not len(keys):
-                continue
-            keys, counts = np.unique(keys, return_counts=True)
-            own = held.setdefault(lang, ([], []))
-            own[0].append(keys)
-            own[1].append(counts)
-            size += len(keys)
+            for points, before in runs(codes(text)):
+                keys = alphabet.keys(points, before)
+                if keys is None:
+                    yield from send()
+                    alphabet, held, size = Alphabet(), {}, 0
+                    keys = alphabet.keys(points, before)
+                if not len(keys):
+                    continue
+                keys, counts = np.unique(keys, return_counts=True)
+                own = held.setdefault(lang, ([], []))
+                own[0].append(keys)
+                own[1].append(counts)
+                size += len(keys)
         if size > most:
             held = {lang: tuple([x] for x in _summed(*own)) for lang, own in held.items()}
             size = sum(len(own[0][0]) for own in held.values())
@@ -281,15 +295,18 @@ def rate(docs: DataFrame, *, width: float = 3.0, least: float = 6.0, steady: int
             for batch in slices(batches, 256):
                 rows = []
                 for lang, text in zip(batch.column("__lang").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                    keys = alphabet.keys(text)
-                    if keys is None:
-                        alphabet = Alphabet()
-                        keys = alphabet.keys(text)
-                    logp = None
-                    if models is not None and len(keys):
+                    n_points, logp = 0, None
+                    for points, before in runs(codes(text)):
+                        n_points += len(points)
+                        if models is None or not len(points):
+                            continue
+                        keys = alphabet.keys(points, before)
+                        if keys is None:
+                            alphabet = Alphabet()
+                            keys = alphabet.keys(points, before)
                         unique, counts = np.unique(keys, return_counts=True)
-                        logp = float(models.value[lang].logp(alphabet.points(unique)) @ counts)
-                    rows.append((*measure(text), len(keys), logp))
+                        logp = (logp or 0.0) + float(models.value[lang].logp(alphabet.points(unique)) @ counts)
+                    rows.append((*measure(text), n_points, logp))
                 columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[2 : len(names)], batch.column("__lang"), batch.column("__row"), *columns], names=extra)
 
@@ -298,6 +315,8 @@ def rate(docs: DataFrame, *, width: float = 3.0, least: float = 6.0, steady: int
     numbered = chosen.withColumn("__row", F.monotonically_increasing_id())
     parts = [numbered.filter(among(b)).mapInArrow(scorer(spark.sparkContext.broadcast(_collect(table, b))), schema) for b in batches]
     rest = numbered.filter(~among([x for b in batches for x in b])) if batches else numbered
+    if wide:  # read twice and joined by row number, so the numbers are written once
+        rest = cut(rest, "quality-rest")
     parts.append(_joined(rest.mapInArrow(scorer(None), schema), rest, table) if wide else rest.mapInArrow(scorer(None), schema))
     scored = parts[0]
     for part in parts[1:]:
@@ -334,14 +353,15 @@ def _joined(measured: DataFrame, rest: DataFrame, table: DataFrame) -> DataFrame
         alphabet = Alphabet()
         for batch in slices(batches, 64):
             for row, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys = alphabet.keys(text)
-                if keys is None:
-                    alphabet = Alphabet()
-                    keys = alphabet.keys(text)
-                keys, counts = np.unique(keys, return_counts=True)
-                columns = [pa.array(p.astype(np.int32)) for p in alphabet.points(keys)]
-                full = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * full, pa.int64()), pa.array([lang] * full, pa.string()), *columns, pa.array(counts)], names=["row", "lang", *GRAM, "times"])
+                for points, before in runs(codes(text)):
+                    keys = alphabet.keys(points, before)
+                    if keys is None:
+                        alphabet = Alphabet()
+                        keys = alphabet.keys(points, before)
+                    keys, counts = np.unique(keys, return_counts=True)
+                    columns = [pa.array(p.astype(np.int32)) for p in alphabet.points(keys)]
+                    full = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * full, pa.int64()), pa.array([lang] * full, pa.string()), *columns, pa.array(counts)], names=["row", "lang", *GRAM, "times"])
 
     own = rest.select("__row", "__lang", "__text").mapInArrow(grams, "row long, lang string, c1 int, c2 int, c3 int, c4 int, times long")
     top = table.filter((F.col("order") == ORDER) & ~F.col("context"))

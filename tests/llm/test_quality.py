@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from plumbline.llm import quality
@@ -105,3 +106,20 @@ def test_empty(spark):
     assert quality.rate(frame(spark, [])).collect() == []
     got = quality.rate(frame(spark, [(1, None) + (None,) * 9])).collect()
     assert [(r["n_words"], r["base_failed"], r["kept"], r["log_perplexity"]) for r in got] == [(0, True, False, None)]
+
+
+def test_texts_of_very_many_code_points(spark):
+    """More different code points than an alphabet holds: counted and scored as in one piece."""
+    rich = "".join(chr(0x4E00 + i % 20_000) + chr(0x20000 + i) for i in range(20_000))  # 40,000 different ones
+    docs = spark.createDataFrame([(1, rich, "zh"), (2, rich[:1000], "zh"), (3, "a b c d e f g h i j k", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.rate(docs).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["n_words"] == 1 and got[1]["log_perplexity"] is not None
+    joined = {r["doc_id"]: r for r in quality.rate(docs, model_bytes=0).collect()}
+    assert all(abs(joined[i]["log_perplexity"] - got[i]["log_perplexity"]) < 1e-3 * abs(got[i]["log_perplexity"]) for i in got)
+    points = quality.codes(rich)
+    pieces = list(quality.runs(points))
+    assert len(pieces) > 1 and np.array_equal(np.concatenate([p for p, _ in pieces]), points)
+    for (before, _), (_, context) in zip(pieces, pieces[1:]):
+        assert np.array_equal(before[-3:], context)
+    alphabet = quality.Alphabet()
+    assert alphabet.keys(*pieces[0]) is not None and len(list(quality.runs(points[:10]))) == 1
