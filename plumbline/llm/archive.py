@@ -20,6 +20,7 @@ import base64
 import hashlib
 import struct
 import uuid
+from itertools import groupby
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, shuffle_partitions
 from plumbline.sources.scratch import scratch_path
 
 # Fixed values of the Zstandard seekable format.
@@ -160,20 +161,31 @@ def write(pages: DataFrame, *, min_revisit_bytes: int = 0, frame_bytes: int = 1
     return cut(rows.mapInArrow(run, INDEX), "warc-index")
 
 
-def read(index: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """Every record of the archives that the index names, read frame by frame and checked against its digest."""
+def read(index: DataFrame, *, payloads: bool = False, frames_each: int = 64) -> DataFrame:
+    """Every record of the index, read at its place in the archives and checked against its digest.
+
+    A task reads ranges of ``frames_each`` frames, so a large bundle is many tasks' work; each frame is decompressed once.
+    """
+    places = F.array_sort(F.collect_list(F.struct("frame", "offset", "record_id")))  # of one range
+    asked = index.groupBy("path", F.floor(F.col("frame") / frames_each).alias("part")).agg(places.alias("places"))
+    # A number that is asked for is kept: adaptive execution would put these short rows into one task.
+    asked = asked.repartition(4 * shuffle_partitions(index.sparkSession), "path", "part").select("path", "places")
 
     def run(batches):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files, path = _files(uri)
                 with files.open_input_file(path) as file:
-                    for start, packed, plain in read_seek_table(file):
+                    table = read_seek_table(file)
+                    for frame, own in groupby(wanted, lambda p: p["frame"]):
+                        start, packed, plain = table[frame]
                         file.seek(start)
-                        data, at, found = unpacker.decompress(file.read(packed), max_output_size=plain), 0, []
-                        while at < len(data):
-                            one, at = parse(data, at)
+                        data, found = unpacker.decompress(file.read(packed), max_output_size=plain), []
+                        for place in own:
+                            one, _ = parse(data, place["offset"])
+                            if one["record_id"] != place["record_id"]:
+                                raise ValueError(f"{uri}: {place['record_id']} is not at its place")
                             if one["payload"] is not None and base64.b32encode(hashlib.sha1(one["payload"]).digest()).decode() != one["payload_digest"]:
                                 raise ValueError(f"{uri}: {one['record_id']} does not match its digest")
                             if not payloads:
@@ -185,7 +197,7 @@ def read(index: DataFrame, *, payloads: bool = False) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(RECORDS))
-    return index.select("path").distinct().mapInArrow(run, RECORDS)
+    return asked.mapInArrow(run, RECORDS)
 
 
 def fetch(uri: str, frame: int, offset: int) -> dict:

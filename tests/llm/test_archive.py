@@ -68,3 +68,15 @@ def test_bundles_are_plain_zstandard(spark):
 def test_empty(spark):
     index = archive.write(frame(spark, []))
     assert index.collect() == [] and archive.read(index).collect() == []
+
+
+def test_reading_is_spread_and_uses_the_index(spark):
+    index = archive.write(frame(spark, PAGES), frame_bytes=1)
+    plan = archive.read(index)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    one = index.filter("page_id = 8")
+    assert [r["page_id"] for r in archive.read(one).collect()] == [8]
+    wrong = index.withColumn("record_id", index.path)
+    with pytest.raises(Exception, match="is not at its place"):
+        archive.read(wrong).collect()
+    assert Counter(r["record_id"] for r in archive.read(index, frames_each=1).collect()) == Counter(r["record_id"] for r in index.collect())
