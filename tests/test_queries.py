@@ -16,7 +16,9 @@ QUICK = """scan_parquet scan_csv dataset_overview sample_values sql_query sql_se
 join_membership_rate join_complement crosstab top_missing_columns completeness date_stats range_conformity
 monotone_order outlier_zscore outlier_rows fd_consistency cramers_v psi_categorical chi2_two_sample split_by_time
 check_unique check_fk rule_scorecard rules_enrich rules_dedup reply_parse_json reasons_dedup ate_stratified
-category_codes chart_histogram chart_box chart_drift_shares""".split()
+category_codes chart_histogram chart_box chart_drift_shares corr_matrix drift_segment_nations explorative_profile
+numeric_verdict verdict_aggregate basic_profile is_low_cardinality candidate_pairs select_candidates
+cross_relation_report ate_psm chart_kde outlier_iforest_planted fill_mode_or_unknown""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 
