@@ -404,9 +404,10 @@ def auto_columns(df: DataFrame, max_levels: int = 50) -> list[str]:
 
 
 def drift_population(
-    sided: DataFrame, names: Sequence[str] | None = None, prefer_type: str = "auto", open_ends: bool = False
+    sided: DataFrame, names: Sequence[str] | None = None, prefer_type: str = "auto", open_ends: bool = False, share_hist: bool = False
 ) -> DataFrame:
-    """One record per column; ``sided`` carries in_base / in_target."""
+    """One record per column; ``sided`` carries in_base / in_target. ``share_hist`` adds the compatibility measure of
+    categories (see ``psi_share_hist``) beside the index."""
     if prefer_type not in ("auto", "numeric", "categorical"):
         raise ValueError(f"unknown prefer_type {prefer_type!r}")
     data = sided.drop("in_base", "in_target")
@@ -476,6 +477,10 @@ def drift_population(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    if share_hist:
+        if textual:
+            return out.join(F.broadcast(psi_share_hist(sided, textual)), "column_name", "left")  # one row per column
+        return out.withColumn("psi_share_hist", F.lit(None).cast("double"))
     return out
 
 

@@ -35,6 +35,18 @@ def membership_rate(df: DataFrame, name: str, reference: DataFrame, key: str) ->
     return rate.select("n", "matched", F.when(~empty, share(F.col("matched"), F.col("n"))).alias("rate"))
 
 
+def references_by_name(names: Sequence[str], tables: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, str]]:
+    """column -> (table, its first column), the older way to find references: the first table that has a column of the
+    same name in any case, or any table if the name ends in "code"."""
+    found = {}
+    for name in names:
+        for table in tables.values():
+            if name.lower() in (c.lower() for c in table.columns) or name.lower().endswith("code"):
+                found[name] = (table, table.columns[0])
+                break
+    return found
+
+
 def dangling_rows(df: DataFrame, name: str, reference: DataFrame, key: str, keep_null: bool = False) -> DataFrame:
     """Rows whose value is missing from the reference (anti join)."""
     known = reference.select(col(key).alias("_ref")).filter(F.col("_ref").isNotNull()).distinct()

@@ -12,7 +12,7 @@ from plumbline.operators import stats
 from plumbline.operators.drift import psi_profile
 from plumbline.operators.ordering import numeric_cuts, with_range
 from plumbline.operators.outliers import approx_rates, forest_rates, rates_from_counts, zscore_rates
-from plumbline.operators.reshape import membership_rate
+from plumbline.operators.reshape import membership_rate, references_by_name
 
 # Weights of the column score.
 WEIGHTS = {
@@ -158,6 +158,7 @@ def profile(
     order: str | None = None,
     baseline: DataFrame | None = None,
     references: dict[str, tuple[DataFrame, str]] | None = None,
+    reference_tables: dict[str, DataFrame] | None = None,
     forest_key: str | None = None,
     approx: bool = False,
     rounded: bool = True,
@@ -165,11 +166,12 @@ def profile(
     """The main quality profile, one row per column.
 
     ``order`` names the unique load-order column for the datetime ordering test;
-    ``references`` maps a column to (table, key column); ``forest_key`` names the
-    row key that drives the isolation forest (left out: that rate is 0);
+    ``references`` maps a column to (table, key column), ``reference_tables`` finds
+    them by name (see ``references_by_name``); ``forest_key`` names the row key that drives the isolation forest (left out: that rate is 0);
     ``approx`` swaps exact distinct counts and quartiles for sketches.
     """
     names = [*df.columns]
+    references = references_by_name(names, reference_tables or {}) | (references or {})
     numeric = of_kind(df, "numeric")
     base = stats.column_stats(df, names, parse=True)
     typed = {} if approx else stats.typed_counts(df, names)
@@ -185,12 +187,12 @@ def profile(
     shared = [n for n in numeric if baseline is not None and n in baseline.columns]
     if shared:
         table = attach(table, psi_profile(baseline, df, shared).withColumnRenamed("psi_profile", "drift_psi"))
-    for name, (reference, key) in (references or {}).items():
+    for name, (reference, key) in references.items():
         rate = membership_rate(df, name, reference, key).select(
             F.lit(name).alias("column_name"), F.col("rate").alias(f"ref_{name}")
         )
         table = attach(table, rate)
-    found = [F.col(f"`ref_{n}`") for n in (references or {})]
+    found = [F.col(f"`ref_{n}`") for n in references]
     table = table.withColumn(
         "referential_integrity", F.coalesce(*found) if found else F.lit(None).cast("double")
     )

@@ -459,8 +459,13 @@ def entropy(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     return _with_distinct(df, names).select("column_name", "entropy")
 
 
-def format_consistency(df: DataFrame, names: Sequence[str] | None = None, pattern: str | None = None) -> DataFrame:
-    """Share of matching texts. A pattern of the caller's is tested on every class."""
+#: From here on the older tool writes doubles with a plus sign in the exponent, which its format does not allow.
+PLUS_FROM = 1e16
+
+
+def format_consistency(df: DataFrame, names: Sequence[str] | None = None, pattern: str | None = None, compat: bool = False) -> DataFrame:
+    """Share of matching texts; numbers match. A pattern of the caller's is tested on every class. ``compat`` counts
+    doubles whose older text has a plus sign as mismatches."""
     names = list(names if names is not None else df.columns)
     if pattern is None:
         counted = column_stats(df, names).select("column_name", "formatted", "non_null")
@@ -469,6 +474,11 @@ def format_consistency(df: DataFrame, names: Sequence[str] | None = None, patter
         counted = long.groupBy("column_name").agg(
             F.count_if(matches_format(F.col("value"), pattern)).alias("formatted"), F.count("value").alias("non_null")
         )
+    real = [f for f in fields(df, names) if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    if compat and pattern is None and real:
+        large = [F.count_if((F.abs(as_double(f)) >= PLUS_FROM) & (F.abs(as_double(f)) < float("inf"))).alias(f.name) for f in real]
+        plus = df.agg(*large).unpivot([], [col(f.name) for f in real], "column_name", "plus")
+        counted = counted.join(F.broadcast(plus), "column_name", "left").withColumn("formatted", F.col("formatted") - F.coalesce("plus", F.lit(0)))
     return counted.select(
         "column_name", F.coalesce(share(F.col("formatted"), F.col("non_null")), F.lit(1.0)).alias("format_consistency")
     )

@@ -195,6 +195,19 @@ def drift_population(t):
     return r6(drift.drift_population(drift_sided(t), ["o_totalprice", "o_orderpriority"]).select(*RECORD))
 
 
+@query(
+    "drift_population_share_hist",
+    with_views(
+        f"""SELECT r.*, h.psi_share_hist FROM ({population_sql(DRIFT_SIDES, "o_totalprice", "o_orderpriority")}) r
+        LEFT JOIN ({share_hist_sql(DRIFT_SIDES, "o_orderpriority")}) h USING (column_name)""",
+        "drift_orders",
+    ),
+)
+def drift_population_share_hist(t):
+    found = drift.drift_population(drift_sided(t), ["o_totalprice", "o_orderpriority"], share_hist=True)
+    return r6(found.select(*RECORD, "psi_share_hist"))
+
+
 @query("split_by_filter", f"SELECT b AS in_base, NOT b AS in_target, COUNT(*) AS n FROM ({ORDER_SIDES}) GROUP BY ALL")
 def split_by_filter(t):
     return orders_sided(t).groupBy("in_base", "in_target").agg(F.count("*").alias("n"))

@@ -307,6 +307,30 @@ def dq_profile(t):
     return r6(score.profile(t("lineitem"), as_of=AS_OF, rounded=False).select(*PROFILE_ROW))
 
 
+@query(
+    "references_by_name",
+    """WITH k AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)
+       SELECT 'O_ORDERKEY' AS column_name, ROUND(COUNT(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM k)) / COUNT(*), 6) AS referential_integrity FROM lineitem
+       UNION ALL SELECT 'line_code', ROUND(COUNT(*) FILTER (l_linenumber IN (SELECT o_orderkey FROM k)) / COUNT(*), 6) FROM lineitem
+       UNION ALL SELECT 'l_quantity', NULL FROM lineitem LIMIT 3""",
+)
+def references_by_name(t):
+    known = t("orders").filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey")
+    df = t("lineitem").selectExpr("l_orderkey AS O_ORDERKEY", "l_linenumber AS line_code", "l_quantity")
+    found = score.profile(df, as_of=AS_OF, reference_tables={"orders": known}, rounded=False)
+    return r6(found.select("column_name", "referential_integrity"))
+
+
+@query(
+    "format_consistency_compat",
+    """SELECT 'large' AS column_name, ROUND(COUNT(*) FILTER (ABS(o_totalprice * 1e11) < 1e16) / COUNT(*), 6) AS format_consistency FROM orders
+       UNION ALL SELECT 'o_orderkey', 1.0 UNION ALL SELECT 'o_orderpriority', ROUND(COUNT(*) FILTER (regexp_matches(o_orderpriority, '^[a-zA-Z0-9@.\\-_\\s]+$')) / COUNT(*), 6) FROM orders""",
+)
+def format_consistency_compat(t):
+    df = t("orders").selectExpr("CAST(o_totalprice AS DOUBLE) * 1e11 AS large", "o_orderkey", "o_orderpriority")
+    return r6(stats.format_consistency(df, compat=True))
+
+
 @query("dq_profile_dirty", over_dirty_profile(full_row()))
 def dq_profile_dirty(t):
     return r6(dirty_profile(t).select(*PROFILE_ROW))

@@ -254,3 +254,20 @@ def test_exploration_of_one_class_only(spark):
     assert r["zeros"] is None and r["mean"] is None and r["p50"] is None
     n = stats.explorative_profile(spark.createDataFrame([(0.0,), (2.0,)], "x double")).first()
     assert (n["zeros"], n["p50"], n["top_value"], n["duplicate_rows"]) == (1, 1.0, None, 0)
+
+
+def test_references_by_name(spark):
+    from plumbline.operators.reshape import references_by_name
+
+    a = spark.createDataFrame([("x", 1)], "k string, City int")
+    b = spark.createDataFrame([("y",)], "zip string")
+    found = references_by_name(["city", "ZIP", "some_Code", "other"], {"a": a, "b": b})
+    assert {n: (t.columns, key) for n, (t, key) in found.items()} == {"city": (["k", "City"], "k"), "ZIP": (["zip"], "zip"), "some_Code": (["k", "City"], "k")}
+    assert references_by_name(["any_code"], {}) == {}
+
+
+def test_formats_of_large_numbers(spark):
+    df = spark.createDataFrame([(1e16, 1), (1.5, 2), (float("inf"), 3), (None, 4)], "x double, i int")
+    assert by_column(stats.format_consistency(df))["x"]["format_consistency"] == 1
+    got = by_column(stats.format_consistency(df, compat=True))
+    assert abs(got["x"]["format_consistency"] - 2 / 3) < 1e-12 and got["i"]["format_consistency"] == 1
