@@ -241,6 +241,32 @@ def ate_psm_continuous(t):
     )
 
 
+def nearest_sql(arm: str) -> str:
+    """SQL columns: the nearest scores below and above (or at) each score that have rows of the arm, and their means."""
+    up, down = "(ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "(ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    held = {"s": f"CASE WHEN n{arm} > 0 THEN score END", "r": f"CASE WHEN n{arm} > 0 THEN y{arm} / n{arm} END"}
+    return ", ".join(f"LAST_VALUE({c} IGNORE NULLS) OVER {w} AS {side}_{k}{arm}" for side, w in (("low", up), ("high", down)) for k, c in held.items())
+
+
+def picked_sql(arm: str) -> str:
+    """The mean at the nearest score, the lower one on a tie."""
+    return f"CASE WHEN high_s{arm} IS NULL OR score - low_s{arm} <= high_s{arm} - score THEN low_r{arm} ELSE high_r{arm} END"
+
+
+@query(
+    "ate_matched_score",
+    f"""WITH f AS (SELECT l_extendedprice AS score, COUNT(*) FILTER (l_returnflag = 'R')::DOUBLE AS n1, COUNT(*) FILTER (l_returnflag <> 'R')::DOUBLE AS n0,
+          COALESCE(SUM(l_quantity) FILTER (l_returnflag = 'R'), 0) AS y1, COALESCE(SUM(l_quantity) FILTER (l_returnflag <> 'R'), 0) AS y0 FROM lineitem GROUP BY 1),
+        n AS (SELECT *, {nearest_sql('1')}, {nearest_sql('0')} FROM f)
+        SELECT ROUND(SUM(y1 - n1 * ({picked_sql('0')}) + n0 * ({picked_sql('1')}) - y0) / SUM(n1 + n0), 6) AS ate,
+          CAST(SUM(n1 + n0) AS BIGINT) AS rows_used, CAST(SUM(n1) AS BIGINT) AS treated, CAST(SUM(n0) AS BIGINT) AS controls FROM n""",
+)
+def ate_matched_score(t):
+    """Matching on a given score with many levels, most of which only one arm has."""
+    scored = t("lineitem").selectExpr("l_extendedprice AS score", "CAST(l_returnflag = 'R' AS INT) AS treatment", "l_quantity AS outcome", "l_orderkey * 8 + l_linenumber AS row_key")
+    return r6(causal.ate_matched(scored, "treatment", "outcome", "row_key").drop("std_error"))
+
+
 @query(
     "ate_stratified",
     with_views(
