@@ -1,7 +1,7 @@
 """A trie of conversations: which openings are shared, by how many, and what sharing them saves.
 
-A node is a distinct sequence of the first d turns (role and text). ``prefixes`` streams each conversation's turns in
-order and chains their SHA-256 into a 128-bit digest per prefix; only digests and word counts are shuffled, never texts.
+A node is a distinct sequence of the first d turns (role and text). ``prefixes`` numbers each conversation's turns and adds
+up their hashes to a 128-bit digest per prefix; only digests and word counts are shuffled, never texts.
 
 A count-min sketch of all prefix digests is filled by the tasks and merged block by block. An estimate of one proves
 that a prefix belongs to one conversation, and so do all that continue it: such tails are written as nodes where they
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, n_words, shuffle_partitions
@@ -63,44 +63,69 @@ def rebuilt(own: DataFrame, *, group: int = 20, heads: int = 4) -> DataFrame:
     return plain.unionByName(lent.select(*plain.columns))
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
+def _ranges(rows: DataFrame, sizes: DataFrame, rows_per_range: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ``range``, and for the conversations of more than ``rows_per_range`` rows, which alone have several,
+    (conv_id, range, before, given_n, n): the rows of the ranges before and the sizes of the whole."""
+    large = sizes.filter(F.col("n") > rows_per_range)  # there are at most rows / rows_per_range of them
+    if large.isEmpty():
+        return rows.withColumn("range", F.lit(0)), None
+    grid = [i / 1024 for i in range(1, 1024)]
+    step = F.greatest(F.lit(1), F.floor(F.lit(1024 * rows_per_range) / F.col("n")))
+    points = rows.join(F.broadcast(large.select("conv_id", "n")), "conv_id").groupBy("conv_id", "n").agg(F.percentile_approx("turn", grid).alias("p"))
+    cuts = cut(points.select("conv_id", F.array_distinct(F.filter("p", lambda x, i: i % step == step - 1)).alias("cuts")), "trie-cuts")
+    inside = F.when(F.col("given").isNull() & F.col("turn").isNotNull(), F.size(F.filter("cuts", lambda c: c < F.col("turn"))))
+    ranged = rows.join(F.broadcast(cuts), "conv_id", "left").withColumn("range", F.when(F.col("cuts").isNotNull(), F.coalesce(inside, F.lit(0))).otherwise(0)).drop("cuts")
+    counted = ranged.join(F.broadcast(large), "conv_id").groupBy("conv_id", "range", "given_n", "n").agg(F.count("*").alias("m"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged, cut(counted.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m"), "trie-ranges")
+
+
+def prefixes(rows: DataFrame, *, rows_per_range: int = 1_000_000) -> DataFrame:
     """conv_id, depth, digest, parent, words, last: one row per prefix of at least one turn, and one of depth 0 for a
-    conversation without turns. Digests are 16 bytes, that of no turns is all zeros."""
-    order = ["conv_id", F.col("given").isNull(), "given", "has_turn", "turn", "digest"]
-    stream = rows.repartition(4 * shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions(*order)
-    none = bytes(16)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        conv, left, depth, at, held = None, 0, 0, none, None
-
-        def packed() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_())
-            out.clear()
-            return pa.record_batch([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["conv_id", "depth", "digest", "parent", "words", "last"])
-
-        for batch in batches:
-            for of, given, skip, digest, words in zip(*(batch[c].to_pylist() for c in ("conv_id", "given", "skip", "digest", "words")), strict=True):
-                if of != conv:
-                    if conv is not None:
-                        out.append((*held, True))
-                    conv, left, depth, at = of, skip, 0, none
-                    held = (conv, 0, none, None, 0)
-                if given is None and left:
-                    left -= 1
-                    continue
-                before, at, depth = at, hashlib.sha256(at + digest).digest()[:16], depth + 1
-                if depth > 1:
-                    out.append((*held, False))
-                held = (conv, depth, at, before, words)
-            yield packed()
-        if conv is not None:
-            out.append((*held, True))
-            yield packed()
-
-    wanted = stream.select("conv_id", "given", "skip", "digest", "words")
-    return wanted.mapInArrow(run, "conv_id long, depth long, digest binary, parent binary, words long, last boolean")
+    conversation without turns.
+
+    A prefix's digest is the sum of 128-bit hashes of (depth, turn) over its turns, so it is a running total, and a
+    conversation can be summed in ranges of its turns: one that holds a third of all rows is many tasks' work. The
+    digest of no turns is all zeros.
+    """
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.count("given").alias("given_n"), F.max("skip").alias("skip"))
+    sizes = cut(sizes, "trie-sizes")
+    ranged, before = _ranges(rows, sizes.drop("skip"), rows_per_range)
+    one = Window.partitionBy("conv_id", "range")
+    order = one.orderBy(F.col("given").isNull(), "given", "has_turn", "turn", "digest")
+    if before is not None:
+        ranged = ranged.join(F.broadcast(before), ["conv_id", "range"], "left")  # at most one row for rows_per_range rows
+    else:
+        ranged = ranged.withColumns({c: F.lit(None).cast("long") for c in ("before", "given_n", "n")})
+    placed = ranged.withColumn("place", F.row_number().over(order) + F.coalesce("before", F.lit(0)))
+    placed = placed.withColumns({"given_n": F.coalesce("given_n", F.count("given").over(one)), "n": F.coalesce("n", F.count("*").over(one))})
+    own = F.col("given").isNull()
+    kept = placed.filter(~own | (F.col("place") - F.col("given_n") > F.col("skip")))
+    depth = (F.col("place") - F.when(own, F.col("skip")).otherwise(0)).cast("long")
+    total = F.col("n") - F.least(F.col("skip"), F.col("n") - F.col("given_n"))
+    kept = kept.select("conv_id", "range", depth.alias("depth"), "digest", "words", (depth == total).alias("last"))
+    # Four sums of 32 bits, so that none overflows.
+    halves = [f(x) for x in (F.xxhash64("depth", "digest"), F.xxhash64(F.lit(1), "depth", "digest")) for f in (lambda x: F.shiftrightunsigned(x, 32), lambda x: x.bitwiseAND(0xFFFFFFFF))]
+    hashed = kept.select("conv_id", "range", "depth", "words", "last", *(h.alias(f"h{i}") for i, h in enumerate(halves)))
+    so_far = one.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut(hashed.select("*", *(F.sum(f"h{i}").over(so_far).alias(f"s{i}") for i in range(4))), "trie-sums")
+    carried = [F.lit(0)] * 4
+    if before is not None:
+        ends = summed.join(F.broadcast(before.select("conv_id").distinct()), "conv_id", "left_semi").groupBy("conv_id", "range").agg(*(F.sum(f"h{i}").alias(f"e{i}") for i in range(4)))
+        earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select("conv_id", "range", *(F.sum(f"e{i}").over(earlier).alias(f"c{i}") for i in range(4)))
+        summed = summed.join(F.broadcast(carry), ["conv_id", "range"], "left")
+        carried = [F.coalesce(f"c{i}", F.lit(0)) for i in range(4)]
+
+    def packed(sums) -> Column:
+        return F.unhex(F.concat(*(F.lpad(F.hex(x % (1 << 32)), 8, "0") for x in sums)))
+
+    digest = packed(F.col(f"s{i}") + carried[i] for i in range(4))
+    parent = packed(F.col(f"s{i}") - F.col(f"h{i}") + carried[i] for i in range(4))
+    found = summed.select("conv_id", "depth", digest.alias("digest"), parent.alias("parent"), "words", "last")
+    bare = sizes.filter((F.col("given_n") == 0) & (F.col("n") <= F.col("skip")))
+    none = [F.lit(0).cast("long"), F.lit(bytes(16)), F.lit(None).cast("binary"), F.lit(0).cast("long"), F.lit(True)]
+    return found.unionAll(bare.select("conv_id", *none))
 
 
 # ---------------------------------------------------------------- count-min sketch

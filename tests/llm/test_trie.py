@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import trie
 from plumbline.llm.common import WORD_RE
@@ -47,9 +49,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows, **options):
+def run(spark, rows, rows_per_range=1_000_000, **options):
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA).repartition(3)
-    return sorted((tuple(r) for r in trie.nodes(trie.prefixes(trie.rebuilt(trie.turns(df))), **options).select(*trie.NODE).collect()), key=str)
+    return sorted((tuple(r) for r in trie.nodes(trie.prefixes(trie.rebuilt(trie.turns(df)), rows_per_range=rows_per_range), **options).select(*trie.NODE).collect()), key=str)
 
 
 def some(seed, n):
@@ -84,6 +86,18 @@ def test_one_long_conversation(spark):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("rows_per_range", [2, 7, 300])
+def test_large_conversations_are_summed_in_ranges(spark, rows_per_range):
+    rows = some(5, 25) + [(c, t, "user", f"long {t % 50}") for c in (41, 40, 60, 7) for t in range(900)] + [(47, None, "user", "no number")] * 30
+    assert run(spark, rows, rows_per_range) == brute(rows)
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)
+    own = trie.rebuilt(trie.turns(df))
+    sizes = own.groupBy("conv_id").agg(F.count("*").alias("n"), F.count("given").alias("given_n"))
+    ranged, _ = trie._ranges(own, sizes, rows_per_range)
+    largest = ranged.filter("conv_id = 41").groupBy("range").count().agg(F.max("count")).first()[0]
+    assert largest <= max(6, 3 * rows_per_range)  # of 900 rows
+
+
 def test_turnless_conversations(spark):
     short = [c for c in range(100, 400) if zlib.crc32(str(c).encode()) % 4 == 3 and c % 20]
     rows = [(c, 0, "user", "one") for c in short[:4]]  # no base, and fewer turns than they give up
