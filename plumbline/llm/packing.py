@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, text_column
+from plumbline.llm.common import slices, text_column, trimmed
 
 CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 # Lines of Latin-1 letters and single marks: lower case is all that normalizing does, and pieces are words and marks.
@@ -247,7 +247,7 @@ def pack(
     window: int = 2048,
     shard_docs: int = 1024,
     terms: int = 32,
-    cached: int = 400_000,
+    cached: int = 200_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
@@ -298,7 +298,7 @@ def pack(
         if id_type is not None:
             yield from rows()
 
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_RE, cut, slices, text_column
+from plumbline.llm.common import WORD_RE, cut, slices, text_column, trimmed
 
 ORDER = 4
 START = 0x110000  # stands for the code points before a text
@@ -124,7 +124,7 @@ def train(docs: DataFrame) -> DataFrame:
     """The probability table: lang, order, c1..c4 (NULL before the n-gram's first), logp and, for n-grams that are
     contexts, logw, the weight of the next lower order."""
     lang = docs["lang"].cast("string").alias("lang")
-    raw = docs.select(lang, text_column(docs).alias("text")).mapInArrow(_count, "lang string, c1 int, c2 int, c3 int, c4 int, n long")
+    raw = docs.select(lang, text_column(docs).alias("text")).mapInArrow(trimmed(_count), "lang string, c1 int, c2 int, c3 int, c4 int, n long")
     grams = {ORDER: cut(raw.groupBy("lang", *GRAM).agg(F.sum("n").alias("n")), "grams-4")}
     for order in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts the different ones it ends
         grams[order] = cut(grams[order + 1].groupBy("lang", *GRAM[ORDER - order :]).agg(F.count("*").alias("n")), f"grams-{order}")
@@ -310,7 +310,7 @@ def rate(docs: DataFrame, *, width: float = 3.0, least: float = 6.0, steady: int
                 columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[2 : len(names)], batch.column("__lang"), batch.column("__row"), *columns], names=extra)
 
-        return run
+        return trimmed(run)
 
     numbered = chosen.withColumn("__row", F.monotonically_increasing_id())
     parts = [numbered.filter(among(b)).mapInArrow(scorer(spark.sparkContext.broadcast(_collect(table, b))), schema) for b in batches]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import CHUNK, ROW, cut, in_chunks, per_chunk, row_places, slices, text_column
+from plumbline.llm.common import CHUNK, ROW, cut, in_chunks, per_chunk, row_places, slices, text_column, trimmed
 from plumbline.llm.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3, keep: tuple[str, ...] = (
 
     names = [*keep, out]
     schema = docs.select(*keep).withColumn(out, F.lit(0).cast("long")).schema
-    return docs.select(*keep, text_column(docs).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, text_column(docs).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def _keyed(batches):
