@@ -71,37 +71,69 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+EXACT = 10**9  # slots up to which numpy draws exactly
+
+
+def _split(left: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source are among ``take`` slots drawn from ``left`` without putting back. Beyond EXACT slots the
+    counts are drawn from the normal distribution with the same mean and spread, then made to add up."""
+    total = int(left.sum())
+    if total < EXACT:
+        return rng.multivariate_hypergeometric(left, take, method="marginals")
+    share = take / total
+    near = rng.normal(left * share, np.sqrt(left * share * (1 - share)))
+    near += (take - near.sum()) * left / total  # what draws that add up have: independent ones less their common error
+    part = np.clip(np.rint(near).astype(np.int64), 0, left)
+    while off := take - int(part.sum()):
+        room = left - part if off > 0 else part
+        order = np.argsort(-room, kind="stable")
+        upto = np.minimum(np.cumsum(room[order]), abs(off))
+        part[order] += np.sign(off) * np.diff(upto, prepend=0)
+    return part
+
+
+def draw(quotas: np.ndarray, shard_slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in one output shard, and in all shards before it.
+
+    The quotas are split in two halves of the shards, these in halves again, down to the shard: multinomial counts, given
+    that the shards together meet the quotas exactly. Every task finds its shards' counts by itself, from the quotas.
+    """
+    left, first = np.array(quotas, dtype=np.int64), np.zeros(len(quotas), dtype=np.int64)
+    low, high = 0, -(-int(left.sum()) // shard_slots)
+    while high - low > 1:
+        middle = (low + high) // 2
+        part = _split(left, (middle - low) * shard_slots, np.random.Generator(np.random.Philox([seed, (low << 32) + high])))
+        if shard < middle:
+            left, high = part, middle
+        else:
+            left, first, low = left - part, first + part, middle
+    return left, first
+
+
 def shard_counts(quotas: list[int], shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source in each output shard: a multinomial draw over what is left of the quotas, drawn again
-    where a quota is used up; the shards together meet the quotas exactly."""
-    rng, left, out = np.random.Generator(np.random.Philox(seed)), np.array(quotas, dtype=np.int64), []
-    while left.sum():
-        row, need = np.zeros_like(left), min(shard_slots, int(left.sum()))
-        while need:
-            rest = left - row
-            row += np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            need = min(shard_slots, int(left.sum())) - int(row.sum())
-        out.append(row)
-        left = left - row
-    return np.array(out, dtype=np.int64).reshape(len(out), len(quotas))
-
-
-def _slots(seed: int, step: int = 1 << 16):
+    """``draw`` for every shard."""
+    shards = -(-sum(quotas) // shard_slots)
+    return np.array([draw(np.array(quotas), shard_slots, s, seed)[0] for s in range(shards)], dtype=np.int64).reshape(shards, len(quotas))
+
+
+def _slots(quotas: list[int], blocks: list[int], shard_slots: int, seed: int, step: int = 1 << 16):
+    """The slots of the shards that a task gets: (shard, position, copy, source_no, block)."""
+
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                for at in range(0, r["n"], step):
-                    k = np.arange(at, min(r["n"], at + step), dtype=np.int64)
-                    copy, place = np.divmod(r["first"] + k, r["blocks"])
-                    block = np.empty_like(place)
-                    for c in np.unique(copy):
-                        block[copy == c] = permute(place[copy == c], r["blocks"], seed + 1000003 * r["source_no"] + int(c))
-                    position = permute(r["before"] + k, r["slots"], seed + 7919 * r["shard"])
-                    full = np.full(len(k), r["shard"], dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (full, position, copy, np.full(len(k), r["source_no"], dtype=np.int64), block)],
-                        names=["shard", "position", "copy", "source_no", "block"],
-                    )
+            for shard in batch.column(0).to_pylist():
+                counts, first = draw(np.array(quotas), shard_slots, shard, seed)
+                slots, before = int(counts.sum()), np.cumsum(counts) - counts
+                for source in np.flatnonzero(counts).tolist():
+                    for at in range(0, int(counts[source]), step):
+                        k = np.arange(at, min(int(counts[source]), at + step), dtype=np.int64)
+                        copy, place = np.divmod(first[source] + k, blocks[source])
+                        block = np.empty_like(place)
+                        for c in np.unique(copy):
+                            block[copy == c] = permute(place[copy == c], blocks[source], seed + 1000003 * source + int(c))
+                        position = permute(before[source] + k, slots, seed + 7919 * shard)
+                        columns = (np.full(len(k), shard, dtype=np.int64), position, copy, np.full(len(k), source, dtype=np.int64), block)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "position", "copy", "source_no", "block"])
 
     return run
 
@@ -149,8 +181,12 @@ def mix(
         "mix-rows",
     )
     streams = rows.groupBy("source_no", "stream").agg(F.ceil(F.max("end") / block_words).alias("blocks"))
-    # One row per stream, which are a thousandth of the documents.
-    streams = cut(streams.withColumn("first", F.sum("blocks").over(Window.partitionBy("source_no").orderBy("stream")) - F.col("blocks")), "mix-streams")
+    # A source's streams are numbered in runs of 4096, so that no task holds all of a source.
+    streams = cut(streams.withColumn("run", F.floor(F.col("stream") / 4096)), "mix-streams")
+    runs = streams.groupBy("source_no", "run").agg(F.sum("blocks").alias("m"))
+    runs = runs.select("source_no", "run", (F.sum("m").over(Window.partitionBy("source_no").orderBy("run")) - F.col("m")).alias("earlier"))
+    inside = F.sum("blocks").over(Window.partitionBy("source_no", "run").orderBy("stream")) - F.col("blocks")
+    streams = streams.join(runs, ["source_no", "run"]).withColumn("first", F.col("earlier") + inside).drop("run", "earlier")
     of = {r["source_no"]: r["blocks"] for r in streams.groupBy("source_no").agg(F.sum("blocks").alias("blocks")).collect()}
 
     key = F.concat_ws("-", "source_no", "stream", "n")
@@ -164,18 +200,12 @@ def mix(
     )
 
     quotas = [min(round(t / r["size"] * of[i]), int(cap * of[i])) if of.get(i) else 0 for i, (r, t) in enumerate(zip(found, aims, strict=True))]
-    counts = shard_counts(quotas, shard_slots, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    before = np.cumsum(counts, axis=1) - counts
-    shard, no = np.nonzero(counts)
-    plan = [
-        (int(s), int(i), int(first[s, i]), int(counts[s, i]), int(before[s, i]), int(counts[s].sum()), int(of[i]))
-        for s, i in zip(shard, no, strict=True)
-    ]
+    blocks = [int(of.get(i, 0)) for i in range(len(found))]
+    shards = -(-sum(quotas) // shard_slots)
     drawn = (
-        spark.createDataFrame(plan, "shard long, source_no long, first long, n long, before long, slots long, blocks long")
+        spark.range(0, shards, 1, max(1, min(shards, 4 * shuffle_partitions(spark))))
         .repartition(shuffle_partitions(spark))
-        .mapInArrow(_slots(seed), "shard long, position long, copy long, source_no long, block long")
+        .mapInArrow(_slots(quotas, blocks, shard_slots, seed), "shard long, position long, copy long, source_no long, block long")
     )
     # The slots come out of few rows, so their estimated size must not make them a broadcast.
     pieces = drawn.hint("merge").join(held, ["source_no", "block"]).select("shard", "position", "copy", "source_no", "block", "place", "row", "doc_id", "start", "words")

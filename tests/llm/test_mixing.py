@@ -76,3 +76,21 @@ def test_empty(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)]
     with pytest.raises(ValueError):
         mixing.mix(frame(spark, rows(1, 10)), max_sources=1)
+
+
+def test_shards_are_drawn_alike_by_every_task(monkeypatch):
+    rng = np.random.default_rng(1)
+    quotas = rng.integers(0, 5000, 40)
+    quotas[3] = 40_000  # a hot source
+    for exact in (10**9, 1000):  # all draws exact, or those of large parts by the normal distribution
+        monkeypatch.setattr(mixing, "EXACT", exact)
+        counts = mixing.shard_counts(quotas.tolist(), 512, 9)
+        assert (counts.sum(axis=0) == quotas).all() and (counts >= 0).all()
+        assert (counts.sum(axis=1)[:-1] == 512).all() and 0 < counts[-1].sum() <= 512
+        before = np.cumsum(counts, axis=0) - counts
+        for shard in (0, 7, len(counts) - 1):
+            own, first = mixing.draw(quotas, 512, shard, 9)
+            assert (own == counts[shard]).all() and (first == before[shard]).all()
+        share = counts[:-1, 3] / 512  # the hot source's share of a shard strays as in a random draw
+        expected = quotas[3] / quotas.sum()
+        assert abs(share.mean() - expected) < 0.01 and 0.5 < share.std() / np.sqrt(expected * (1 - expected) / 512) < 1.5
