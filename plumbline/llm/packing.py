@@ -247,7 +247,7 @@ def pack(
     window: int = 2048,
     shard_docs: int = 1024,
     terms: int = 32,
-    cached: int = 1_000_000,
+    cached: int = 2_000_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
