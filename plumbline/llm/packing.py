@@ -56,16 +56,22 @@ class Memory(dict):
             self.refused = 0
 
 
+#: Packs so many ids.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 class Pieces(Memory):
     """Normalized piece -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer, limit: int):
         super().__init__(limit)
-        self.model, self.letters = tokenizer.model, byte_letters()
+        self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        ids = struct.pack(f"<{len(found)}I", *found)
+        # Printable ASCII but the space stands for itself in the byte-level alphabet.
+        plain = piece.isascii() and piece.isprintable() and " " not in piece
+        found = [t.id for t in self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))]
+        ids = PACK[len(found)](*found) if len(found) < len(PACK) else struct.pack(f"<{len(found)}I", *found)
         self.keep(piece, ids)
         return ids
 
@@ -223,10 +229,11 @@ class Packer:
         sizes = tokens[order]
         at = 0
         while room and at < len(order):
-            fits = np.flatnonzero(sizes[at:] <= room)
-            if not len(fits):
+            fits = sizes[at:] <= room
+            first = int(fits.argmax())
+            if not fits[first]:
                 break
-            at += int(fits[0])
+            at += first
             doc, ids = docs[order[at]]
             used[order[at]] = True
             self.put(doc, 0, ids)
@@ -247,7 +254,7 @@ def pack(
     window: int = 2048,
     shard_docs: int = 1024,
     terms: int = 32,
-    cached: int = 2_000_000,
+    cached: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
