@@ -41,12 +41,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 CHUNK, ROW = "__chunk", "__row"
 
 
-def in_chunks(df: DataFrame, label: str, chunks_each: int = 8) -> DataFrame:
+def in_chunks(df: DataFrame, label: str, chunk_bytes: int = 16 << 20) -> DataFrame:
     """The rows, written once with a chunk and a row number, in a table bucketed by chunk: ``per_chunk`` brings rows of
-    other tables to a chunk's task without moving these. A task's rows make ``chunks_each`` chunks."""
+    other tables to a chunk's task without moving these. A chunk holds about ``chunk_bytes`` of the input files, and each
+    is a file: a task that reads spark.sql.files.maxPartitionBytes makes as many."""
     if taken := {CHUNK, ROW} & set(df.columns):
         raise ValueError(f"reserved column names: {sorted(taken)}")
     spark, name = df.sparkSession, scratch_table(df.sparkSession, "chunks")
+    read = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    chunks_each = max(1, -(-read // chunk_bytes))
     row = F.monotonically_increasing_id()
     chunk = F.shiftright(row, 33) * chunks_each + row % chunks_each  # the upper bits hold the partition
     numbered = df.withColumn(ROW, row).withColumn(CHUNK, chunk)
