@@ -179,7 +179,8 @@ def causal_prepare(t):
         t.view("causal_lineitem"), "treatment", "outcome", ["l_shipdate", "l_linestatus"], "row_key"
     )
     folded = prepared.agg(
-        F.sum("row_key").alias("key_sum"),
+        # added up wider than the keys: many large keys pass a bigint; a total that no bigint holds is NULL
+        F.sum(F.col("row_key").cast("decimal(20,0)")).try_cast("bigint").alias("key_sum"),
         F.count("*").alias("n"),
         F.round(F.avg("treatment"), 6).alias("treatment"),
         F.round(F.avg("outcome"), 4).alias("outcome"),

@@ -14,6 +14,7 @@ from plumbline.functions import replicates
 from plumbline.operators import causal, chartdata, replies, reshape, review
 from plumbline.operators.drift import split_by_filter
 from plumbline.operators.sqlview import run_sql
+from plumbline.plans import QUERIES, runner
 from plumbline.sources.scratch import scratch_path
 from plumbline.sources.tables import scan_csv, scan_parquet, sink_csv, sink_parquet
 
@@ -141,6 +142,23 @@ def test_prepare(spark):
     assert got == {1: (1.0, 1.0), 2: (0.0, 0.0)}
 
 
+@pytest.mark.parametrize(
+    ("orders", "total"),
+    [
+        ([80_000_000_000_000, 80_000_000_000_000, -80_000_000_000_000], 8_000_000_000_000_000_006),  # only on its way beyond a bigint
+        ([80_000_000_000_000, 80_000_000_000_000, 1], None),  # no bigint holds it
+        ([1, 2, 3], 600_006),
+    ],
+)
+def test_keys_whose_sum_passes_a_bigint(spark, tmp_path, orders, total):
+    rows = [(o, 2, 1, 1.0 + i, 10.0 * (i + 1), "R" if i else "N", "OF"[i % 2], dt.datetime(2024, 1, 1 + i)) for i, o in enumerate(orders)]
+    schema = "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = runner(QUERIES["causal_prepare"])(spark, str(tmp_path))
+    assert dict(got.dtypes)["key_sum"] == "bigint"
+    assert got.first().asDict() == {"key_sum": total, "n": 3, "treatment": 0.666667, "outcome": 20.0, "l_shipdate": 1.0, "l_linestatus": 0.666667, "top_code": 1.0}
+
+
 # ------------------------------------------------------------------- chart data
 def test_histogram_and_constant(spark):
     df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(100)], "x double, h string")
