@@ -549,10 +549,9 @@ def column_flags(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
 
 
 def low_cardinality(df: DataFrame, limit: int = 50) -> DataFrame:
-    """Columns other than numbers with at most ``limit`` distinct values; ``levels`` is NULL beyond it."""
-    numeric = of_kind(df, "numeric")
-    return levels(df, limit).select(
-        "column_name", "levels", (F.col("levels").isNotNull() & ~F.col("column_name").isin(numeric)).alias("is_low_cardinality")
+    """The number of distinct values of every column, and which of the columns other than numbers have at most ``limit``."""
+    return _with_distinct(df, None).select(
+        "column_name", "n_unique", ((F.col("n_unique") <= limit) & (F.col("kind") != "numeric")).alias("is_low_cardinality")
     )
 
 
