@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import MISSING_LABEL, as_double, as_text, col, of_kind, share
 from plumbline.functions.comoments import CoMoments
 from plumbline.functions.contingency import CELLS, count_pairs
-from plumbline.operators.stats import levels, mean_text_length
+from plumbline.operators.stats import levels, mean_text_length, uniqueness
 
 PAIR = ["col1", "col2"]
 HIGH_CORRELATION = 0.9
@@ -171,11 +171,11 @@ def statistical_signals(df: DataFrame, contexts: dict[str, Sequence[str]]) -> Da
 
 # ----------------------------------------------------------- review candidates
 def select_candidates(df: DataFrame, max_levels: int = 50, include_numeric: bool = True) -> DataFrame:
-    """Columns worth a semantic review: by name, few levels, or numeric; ``levels`` is NULL beyond ``max_levels``."""
-    few, numeric = F.col("levels").isNotNull(), F.col("column_name").isin(of_kind(df, "numeric"))
+    """Columns worth a semantic review, with the number of their distinct values: by name, few of these, or numeric."""
+    few, numeric = F.col("n_unique") <= max_levels, F.col("column_name").isin(of_kind(df, "numeric"))
     by_size = (few | numeric) if include_numeric else (few & ~numeric)
     named = F.lower("column_name").rlike(CANDIDATE_NAME)
-    return levels(df, max_levels).filter(named | by_size).select("column_name", named.alias("by_name"), "levels")
+    return uniqueness(df).filter(named | by_size).select("column_name", named.alias("by_name"), "n_unique")
 
 
 def rank_context_columns(df: DataFrame, target: str, k: int = 3) -> DataFrame:

@@ -162,3 +162,9 @@ def test_a_hundred_columns_of_fifty_levels(spark):
     assert ("c0", "c1") not in report and ("c1", "c0") not in report
     plan = rel.pair_counts(df, pairs)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
+def test_candidates_carry_all_distinct_values(spark):
+    df = spark.range(0, 900, 1, 4).selectExpr("id AS n", "CAST(id % 800 AS STRING) AS status", "CAST(id % 51 AS STRING) AS s", "CAST(id % 50 AS STRING) AS t", "repeat(CAST(id % 700 AS STRING), 90) AS type_text", "CAST(NULL AS STRING) AS nothing")
+    got = {r["column_name"]: (r["by_name"], r["n_unique"]) for r in rel.select_candidates(df).collect()}
+    assert got == {"n": (False, 900), "status": (True, 800), "t": (False, 50), "type_text": (True, 700), "nothing": (False, 0)}
