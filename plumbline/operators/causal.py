@@ -17,6 +17,8 @@ from plumbline.operators.ordering import numeric_cuts, running_totals, text_cuts
 
 REPLICATES = 100
 NORMAL_95 = 1.959963984540054
+BROADCAST_CODES = 1 << 24  # bytes of a column's category codes that are sent to all tasks
+SPREAD = 64
 
 
 def category_codes(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +29,28 @@ def category_codes(df: DataFrame, name: str) -> DataFrame:
     return ranked.select("value", (F.col("cum_n") - 1).alias("code"))
 
 
+def with_codes(df: DataFrame, complete: DataFrame, name: str) -> DataFrame:
+    """The text column ``name`` of ``df`` as its category code among the values of ``complete``.
+
+    Few codes are sent to all tasks, and the rows stay where they are. Else rows meet their code by value; those of a
+    frequent value are dealt to SPREAD parts by a hash of the whole row, each with a copy of the code, so that no task
+    gets all rows of a value.
+    """
+    text, codes = col(name).cast("string"), category_codes(complete, name).select(F.col("value").alias("_v"), F.col("code").cast("double").alias("_c"))
+    sizes = complete.agg(F.approx_count_distinct(text), F.max(F.octet_length(text)), F.count("*")).first()
+    if sizes[0] * ((sizes[1] or 0) + 16) <= BROADCAST_CODES:
+        joined = df.join(F.broadcast(codes), text == F.col("_v"), "left")
+    else:
+        counts = complete.groupBy(F.xxhash64(text).alias("h")).agg(F.count("*").alias("n"))
+        frequent = [r["h"] for r in counts.filter(F.col("n") > sizes[2] / (16 * SPREAD)).collect()]  # fewer than 16 * SPREAD
+        row = F.xxhash64(*[col(f.name) for f in df.schema if kind(f.dataType) != "nested"])
+        part = F.when(F.xxhash64(text).isin(frequent), F.pmod(row, F.lit(SPREAD))).otherwise(0)
+        parts = F.when(F.xxhash64("_v").isin(frequent), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        codes = codes.withColumn("_p", F.explode(parts))
+        joined = df.join(codes, (text == F.col("_v")) & (part == F.col("_p")), "left").drop("_p")
+    return joined.withColumn(name, F.col("_c")).drop("_v", "_c")
+
+
 def causal_prepare(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], key: str) -> DataFrame:
     """Key plus numeric columns only: missing rows dropped, datetimes as whole days
     since their first, texts as category codes."""
@@ -49,9 +73,7 @@ def causal_prepare(df: DataFrame, treatment: str, outcome: str, confounders: Seq
             seconds = F.unix_seconds(col(n).cast("timestamp")) - F.unix_seconds(first.cast("timestamp"))
             prepared = prepared.withColumn(n, F.floor(seconds / 86400.0).cast("double"))
         elif k == "text":
-            codes = category_codes(complete, n).select(F.col("value").alias("_v"), F.col("code").cast("double").alias("_c"))
-            joined = prepared.join(codes, col(n).cast("string") == F.col("_v"), "left")
-            prepared = joined.withColumn(n, F.col("_c")).drop("_v", "_c")
+            prepared = with_codes(prepared, complete, n)
         else:
             prepared = prepared.drop(n)
     return prepared

@@ -142,6 +142,27 @@ def test_prepare(spark):
     assert got == {1: (1.0, 1.0), 2: (0.0, 0.0)}
 
 
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+def test_rows_of_a_frequent_text_are_not_one_task(spark, monkeypatch, sent):
+    monkeypatch.setattr(causal, "BROADCAST_CODES", sent, raising=False)
+    texts = {i: "hot" if i % 10 else f"v{i:04d}" for i in range(4000)}
+    places = {v: float(i) for i, v in enumerate(sorted(set(texts.values())))}
+    df = spark.createDataFrame([(i, i % 2, float(i), t, "ab"[i % 2]) for i, t in texts.items()], "k bigint, t int, y double, g string, h string").repartition(8)
+    # joins as of tables that are too large to be sent, unless the code says so
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = causal.causal_prepare(df, "t", "y", ["g", "h"], "k").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["k"]: (r["g"], r["h"]) for r in got} == {i: (places[t], i % 2) for i, t in texts.items()} and len(got) == 4000
+    held = np.bincount([r["task"] for r in got])
+    assert held.max() < 1000
+
+
 @pytest.mark.parametrize(
     ("orders", "total"),
     [
