@@ -16,7 +16,7 @@ from plumbline.llm import mixing, packing, quality, secretscan, simhash
 from plumbline.llm.common import cut
 from plumbline.sources.scratch import Scope, scope
 
-CACHED = 200_000  # pieces of text a packing worker remembers: less than alone, as workers serve all stages
+CACHED = 200_000  # pieces of text a packing worker remembers, in a task only: less than alone, as workers serve all stages
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _PAST: list[Scope] = []
@@ -68,7 +68,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.digest(packing.pack(docs, cached=CACHED))
+    return packing.digest(packing.pack(docs, cached=CACHED, keep=False))
 
 
 STAGES = [

@@ -255,10 +255,12 @@ def pack(
     shard_docs: int = 1024,
     terms: int = 32,
     cached: int = 1_000_000,
+    keep: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     ``shard_docs`` is the reach of the retrieval, ``terms`` the length of a query to the index; every token is packed.
+    Workers remember ``cached`` pieces of text, beyond a task with ``keep``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -305,7 +307,13 @@ def pack(
         if id_type is not None:
             yield from rows()
 
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(trimmed(run), schema)
+    def once(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _WORKER.clear()
+
+    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(trimmed(run if keep else once), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import slices, text_column
+from plumbline.llm.common import slices, text_column, trimmed
 
 # The strong patterns.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -107,9 +108,15 @@ def scan(docs: DataFrame, *, reach: int = 200) -> DataFrame:
 def redact(docs: DataFrame, *, reach: int = 200) -> DataFrame:
     """The documents with every secret replaced by a mark; n_chars, where there is one, follows."""
 
-    @F.pandas_udf("string")
-    def clean(text):
-        return text.map(lambda t: None if t is None else redact_text(t, scan_text(t, reach)))
+    def cleaned(texts):
+        for batch in texts:
+            parts = (batch.slice(at, 512).to_pylist() for at in range(0, len(batch), 512))  # few texts are Python objects at a time
+            done = [pa.array([None if t is None else redact_text(t, scan_text(t, reach)) for t in part], pa.string()) for part in parts]
+            yield pa.concat_arrays(done or [pa.array([], pa.string())])
+
+    @F.arrow_udf("string")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(cleaned)(texts)
 
     out = docs.withColumn("text", clean(docs["text"].cast("string")))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -68,6 +68,14 @@ def test_redaction(spark):
     assert secretscan.redact_text("abcdef", [("x", 1, 4), ("y", 2, 5)]) == "a[x]f"
 
 
+def test_redaction_of_many_rows(spark):
+    texts = {i: f"row {i} {TEXTS[i % len(TEXTS)]}" if i % 7 else None for i in range(2600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string").coalesce(1)  # more than a slice of a batch
+    out = secretscan.redact(docs)
+    assert [tuple(r) for r in out.collect()] == [(i, t if t is None else secretscan.redact_text(t, secretscan.scan_text(t))) for i, t in texts.items()]
+    assert "ArrowEvalPython" in (plan := out._jdf.queryExecution().toString()) and "BatchEvalPython" not in plan
+
+
 def test_empty(spark):
     assert secretscan.digest(secretscan.scan(frame(spark, []))).collect() == []
     assert secretscan.redact(frame(spark, [])).collect() == []
